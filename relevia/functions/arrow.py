@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -59,10 +60,11 @@ def with_vector(
 def sum_vectors(parts: DataFrame, column: str, width: int) -> np.ndarray:
     """Sum an array column over a table of per-task partial results.
 
-    Two levels: about sqrt(tasks) tasks add up their share, the driver adds those few.
+    Two levels: a few tasks, about the square root of the shuffle width, add up their
+    share, and the driver adds those few.
     """
-    tasks = max(1, parts.rdd.getNumPartitions())
-    fan_in = max(1, int(np.ceil(np.sqrt(tasks))))
+    shuffle_width = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fan_in = max(1, math.ceil(math.sqrt(shuffle_width)))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         acc = np.zeros(width)
@@ -76,5 +78,3 @@ def sum_vectors(parts: DataFrame, column: str, width: int) -> np.ndarray:
     for row in merged.collect():
         acc += np.asarray(row[0])
     return acc
-
-
