@@ -13,6 +13,11 @@ def vector(values: Sequence[float]) -> Column:
     return F.array(*[F.lit(float(v)) for v in values]).cast("array<double>")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, also where the body uses it in a lambda."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def total(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x)
 
@@ -31,8 +36,7 @@ def l2_norm(v: Column) -> Column:
 
 def l2_normalize(v: Column) -> Column:
     """Unit length; a zero vector stays zero."""
-    norm = l2_norm(v)
-    return F.when(norm == 0.0, v).otherwise(F.transform(v, lambda x: x / norm))
+    return let(l2_norm(v), lambda norm: F.when(norm == 0.0, v).otherwise(F.transform(v, lambda x: x / norm)))
 
 
 def add(a: Column, b: Column) -> Column:
@@ -65,8 +69,7 @@ def euclidean(a: Column, b: Column) -> Column:
 
 def highlight(v: Column, share: float = 0.25) -> Column:
     """Flags of the entries above ``share`` of the row's largest entry."""
-    top = F.array_max(v)
-    return F.transform(v, lambda x: x > F.lit(share) * top)
+    return let(F.array_max(v) * F.lit(share), lambda limit: F.transform(v, lambda x: x > limit))
 
 
 def weighted_sums(v: Column, rows: Sequence[Sequence[float]]) -> Column:

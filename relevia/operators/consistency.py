@@ -63,14 +63,20 @@ def topk_ranking_distance(a: Column, b: Column, width: int, k: float = 0.25, win
     n = int(width * k)
     if n < window:
         return F.lit(None).cast("double")
-    top_a, top_b = V.top_positions(a, n, by_magnitude=False), V.top_positions(b, n, by_magnitude=False)
     steps = n - window + 1
-    missed = F.transform(
-        F.sequence(F.lit(1), F.lit(steps)),
-        lambda s: F.lit(1.0)
-        - F.size(F.array_intersect(F.slice(top_a, s, window), F.slice(top_b, s, window))) / F.lit(float(window)),
+
+    def mean_miss(top_a: Column, top_b: Column) -> Column:
+        missed = F.transform(
+            F.sequence(F.lit(1), F.lit(steps)),
+            lambda s: F.lit(1.0)
+            - F.size(F.array_intersect(F.slice(top_a, s, window), F.slice(top_b, s, window))) / F.lit(float(window)),
+        )
+        return V.total(missed) / F.lit(float(steps))
+
+    return V.let(
+        V.top_positions(a, n, by_magnitude=False),
+        lambda top_a: V.let(V.top_positions(b, n, by_magnitude=False), lambda top_b: mean_miss(top_a, top_b)),
     )
-    return V.total(missed) / F.lit(float(steps))
 
 
 PAIR_METRICS = {

@@ -299,20 +299,31 @@ class BucketEncoder:
     def fit(self, df: DataFrame) -> "BucketEncoder":
         source = df.select(*[f"`{c}`" for c in self.columns])
         if self.strategy == "uniform":
-            low, high = self._range(source)
-            edges = {c: self._spaced(low[c], high[c]) for c in self.columns if self._varies(low[c], high[c])}
+            return self._set_edges(*self._range(source), None)
+        # the exact order statistics read the columns several times
+        source = source.persist()
+        try:
+            return self._fit_ordered(source)
+        finally:
+            source.unpersist()
+
+    def _fit_ordered(self, source: DataFrame) -> "BucketEncoder":
+        selector = RankSelector(source, self.columns, skip_zero=True)
+        low, high = selector.minimum, selector.maximum
+        varying = [c for c in self.columns if self._varies(low[c], high[c])]
+        if self.strategy == "quantile":
+            edges = self._quantile(selector, varying)
+        elif self.strategy == "quantile_outlier":
+            edges = self._quantile_outlier(selector, varying)
         else:
-            selector = RankSelector(source, self.columns, skip_zero=True)
-            low, high = selector.minimum, selector.maximum
-            varying = [c for c in self.columns if self._varies(low[c], high[c])]
-            if self.strategy == "quantile":
-                edges = self._quantile(selector, varying)
-            elif self.strategy == "quantile_outlier":
-                edges = self._quantile_outlier(selector, varying)
-            else:
-                edges = self._kmeans(source, selector, varying)
-            if self.strategy != "quantile_outlier":
-                edges = {c: self._drop_narrow(e) for c, e in edges.items()}
+            edges = self._kmeans(source, selector, varying)
+        if self.strategy != "quantile_outlier":
+            edges = {c: self._drop_narrow(e) for c, e in edges.items()}
+        return self._set_edges(low, high, edges)
+
+    def _set_edges(self, low: dict, high: dict, edges: dict[str, list[float]] | None) -> "BucketEncoder":
+        if edges is None:
+            edges = {c: self._spaced(low[c], high[c]) for c in self.columns if self._varies(low[c], high[c])}
         for c in self.columns:
             if c not in edges:
                 edges[c] = [] if low[c] is None else [-float("inf"), float("inf")]
@@ -427,7 +438,8 @@ class BucketEncoder:
         """Bucket number: 0..n-1 for values, n for zero."""
         value = number_value(column)
         shifted = value + (F.lit(EDGE_ATOL) + F.lit(EDGE_RTOL) * F.abs(value))
-        place = F.size(F.filter(V.vector(self.edges[column][1:]), lambda e: shifted >= e))
+        edges = V.vector(self.edges[column][1:])
+        place = V.let(shifted, lambda x: F.size(F.filter(edges, lambda e: x >= e)))
         return F.when(value == 0.0, F.lit(self.n_buckets)).otherwise(
             F.least(place, F.lit(self.n_buckets - 1))
         )
@@ -440,7 +452,7 @@ class BucketEncoder:
 
     @staticmethod
     def _onehot(numbers: Column, bucket: Column) -> Column:
-        return F.transform(numbers, lambda b: (b == bucket).cast("double"))
+        return V.let(bucket, lambda place: F.transform(numbers, lambda b: (b == place).cast("double")))
 
     def transform(self, df: DataFrame, out: str = "features") -> DataFrame:
         return df.withColumn(out, self.expression())

@@ -6,7 +6,7 @@ no shuffle; only the summary per run aggregates.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,39 +18,55 @@ def _marked(phi: Column, gold: Column, mark: int) -> Column:
     return F.filter(phi, lambda v, i: F.get(gold, i) == mark)
 
 
+def _with_both(phi: Column, gold: Column, body: Callable[[Column, Column], Column]) -> Column:
+    """``body`` on the values of the marked and of the unmarked fields."""
+    return V.let(_marked(phi, gold, 1), lambda marked: V.let(_marked(phi, gold, 0), lambda rest: body(marked, rest)))
+
+
 def row_auc_roc(phi: Column, gold: Column) -> Column:
     """Chance that a marked field outranks an unmarked one; null without both kinds."""
-    marked, rest = _marked(phi, gold, 1), _marked(phi, gold, 0)
-    wins = F.aggregate(
-        marked,
-        F.lit(0.0),
-        lambda acc, v: acc
-        + F.size(F.filter(rest, lambda r: r < v))
-        + F.size(F.filter(rest, lambda r: r == v)) * 0.5,
-    )
-    return F.try_divide(wins, (F.size(marked) * F.size(rest)).cast("double"))
+
+    def share(marked: Column, rest: Column) -> Column:
+        wins = F.aggregate(
+            marked,
+            F.lit(0.0),
+            lambda acc, v: acc
+            + F.size(F.filter(rest, lambda r: r < v))
+            + F.size(F.filter(rest, lambda r: r == v)) * 0.5,
+        )
+        return F.try_divide(wins, (F.size(marked) * F.size(rest)).cast("double"))
+
+    return _with_both(phi, gold, share)
 
 
 def row_auc_pr(phi: Column, gold: Column) -> Column:
     """Average precision of the marked fields; null without both kinds."""
-    marked, rest = _marked(phi, gold, 1), _marked(phi, gold, 0)
 
-    def precision(v: Column) -> Column:
-        hits = F.size(F.filter(marked, lambda m: m >= v))
-        return hits / (hits + F.size(F.filter(rest, lambda r: r >= v)))
+    def average(marked: Column, rest: Column) -> Column:
+        def precision(v: Column) -> Column:
+            return V.let(
+                F.size(F.filter(marked, lambda m: m >= v)),
+                lambda hits: hits / (hits + F.size(F.filter(rest, lambda r: r >= v))),
+            )
+
+        precisions = F.aggregate(marked, F.lit(0.0), lambda acc, v: acc + precision(v))
+        return F.when(F.size(rest) > 0, F.try_divide(precisions, F.size(marked).cast("double")))
 
-    precisions = F.aggregate(marked, F.lit(0.0), lambda acc, v: acc + precision(v))
-    return F.when(F.size(rest) > 0, F.try_divide(precisions, F.size(marked).cast("double")))
+    return _with_both(phi, gold, average)
 
 
 def row_pearson(phi: Column, gold: Column) -> Column:
     """Correlation of marks and attributions; null when either is constant."""
     size = F.size(phi).cast("double")
-    mean_phi = V.total(phi) / size
-    mean_gold = F.aggregate(gold, F.lit(0.0), lambda acc, x: acc + x) / size
-    centred_phi = F.transform(phi, lambda x: x - mean_phi)
-    centred_gold = F.transform(gold, lambda x: x - mean_gold)
-    return F.try_divide(V.dot(centred_phi, centred_gold), V.l2_norm(centred_phi) * V.l2_norm(centred_gold))
+
+    def centred(v: Column) -> Column:
+        return V.let(V.total(v) / size, lambda mean: F.transform(v, lambda x: x - mean))
+
+    def correlation(a: Column, b: Column) -> Column:
+        return F.try_divide(V.dot(a, b), V.l2_norm(a) * V.l2_norm(b))
+
+    marks = F.transform(gold, lambda x: x.cast("double"))
+    return V.let(centred(phi), lambda a: V.let(centred(marks), lambda b: correlation(a, b)))
 
 
 def row_cosine(phi: Column, gold: Column) -> Column:
@@ -65,10 +81,13 @@ def _weights(phi: Column, absolute: bool) -> Column:
 
 def gini_index(phi: Column, absolute: bool = False) -> Column:
     """Gini index of the positive (or absolute) attributions; 0 for a zero row."""
-    values = F.array_sort(_weights(phi, absolute))
     size = F.size(phi)
-    ranked = F.transform(values, lambda v, i: (size - i - 0.5) * v)
-    return F.coalesce(F.lit(1.0) - F.try_divide(2.0 * V.total(ranked), size * V.total(values)), F.lit(0.0))
+
+    def index(values: Column) -> Column:
+        ranked = F.transform(values, lambda v, i: (size - i - 0.5) * v)
+        return F.lit(1.0) - F.try_divide(2.0 * V.total(ranked), size * V.total(values))
+
+    return F.coalesce(V.let(F.array_sort(_weights(phi, absolute)), index), F.lit(0.0))
 
 
 def distraction_weight(phi: Column, gold: Column, absolute: bool = False) -> Column:

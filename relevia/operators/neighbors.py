@@ -228,7 +228,10 @@ def _cell_join(queries: DataFrame, base: DataFrame, k: int, skip_same: bool, piv
         base_cells.withColumnRenamed("cell", "base_cell")
         .join(plan, ["key", "base_cell"])
         .where(F.col("r") >= F.col("from_r"))
-        .select("id", "x", "key", "cell", every("query_blocks").alias("qb"), block_of("base_blocks").alias("bb"))
+        .select(
+            "id", "x", F.col("key").alias("bkey"), F.col("cell").alias("bcell"),
+            every("query_blocks").alias("bqb"), block_of("base_blocks").alias("bbb"),
+        )
     )
 
     def match(left_table: pa.Table, right_table: pa.Table) -> pa.Table:
@@ -246,8 +249,8 @@ def _cell_join(queries: DataFrame, base: DataFrame, k: int, skip_same: bool, piv
             )
         return pa.Table.from_arrays(_candidate_batch(found), names=["query", "neighbor", "distance"])
 
-    unit = ["key", "cell", "qb", "bb"]
-    return left.groupBy(*unit).cogroup(right.groupBy(*unit)).applyInArrow(match, _CANDIDATES)
+    blocks = left.groupBy("key", "cell", "qb", "bb").cogroup(right.groupBy("bkey", "bcell", "bqb", "bbb"))
+    return blocks.applyInArrow(match, _CANDIDATES)
 
 
 def knn_join(

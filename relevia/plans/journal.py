@@ -108,11 +108,11 @@ def standardized(df: DataFrame) -> DataFrame:
     )
 
 
-def explained(df: DataFrame) -> DataFrame:
-    """row_id, split, label, phi (squared z-score per field) and gold marks."""
+def explained(df: DataFrame, signed: bool = False) -> DataFrame:
+    """row_id, split, label, phi (squared z-score per field, with its sign if ``signed``), gold."""
     return standardized(df).select(
         "row_id", "split", "label", "segment",
-        F.transform("features", lambda z: z * z).alias("phi"),
+        F.transform("features", lambda z: z * (F.abs(z) if signed else z)).alias("phi"),
         gold_marks().alias("gold"),
     )
 
@@ -126,7 +126,7 @@ def scored(df: DataFrame) -> DataFrame:
     )
 
 
-def explanation_set(df: DataFrame, digits: int = 4) -> DataFrame:
+def explanation_set(df: DataFrame, digits: int = 4, signed: bool = False) -> DataFrame:
     """seed, row_id, phi, gold: one explanation per model of a five-model set.
 
     Model ``s`` is fitted without the ``s``-th market segment, so the models differ the
@@ -148,7 +148,7 @@ def explanation_set(df: DataFrame, digits: int = 4) -> DataFrame:
         squares = []
         for c, v in zip(NUMERIC, numeric_values()):
             z = (v - (fitted[f"mean_{s}_{c}"] or 0.0)) / (fitted[f"std_{s}_{c}"] or 1.0)
-            squares.append(z * z)
+            squares.append(z * (F.abs(z) if signed else z))
         models.append(F.struct(F.lit(s).alias("seed"), F.array(*squares).alias("phi")))
     return (
         df.select("row_id", "label", gold_marks().alias("gold"), F.explode(F.array(*models)).alias("m"))

@@ -92,22 +92,24 @@ def read_gold(spark: SparkSession, path: str, drop: int | Sequence[str] = 0) ->
     return marks.unpivot(["row_id"], [f"`{c}`" for c in names], "feature", "gold")
 
 
-def _wide_to_long(raw: DataFrame, keys: Sequence[str]) -> DataFrame:
-    names = [c for c in raw.columns if c not in {"expected_value", *keys}]
-    typed = raw.select(*keys, *[F.col(f"`{c}`").cast("double").alias(c) for c in names])
+def _wide_to_long(raw: DataFrame, id_column: str, keys: Sequence[str]) -> DataFrame:
+    names = [c for c in raw.columns if c not in {id_column, "expected_value", *keys}]
+    typed = raw.withColumnRenamed(id_column, "row_id").select(
+        F.col("row_id").cast("long").alias("row_id"),
+        *[k for k in keys if k != "row_id"],
+        *[F.col(f"`{c}`").cast("double").alias(c) for c in names],
+    )
     return typed.unpivot(list(keys), [f"`{c}`" for c in names], "feature", "phi")
 
 
 def read_explanation(spark: SparkSession, path: str) -> DataFrame:
     """(row_id, feature, phi) from a wide file whose first column is the row id."""
     raw = spark.read.csv(path, header=True)
-    return _wide_to_long(raw.withColumn("row_id", F.col(f"`{raw.columns[0]}`").cast("long")).drop(raw.columns[0]), ["row_id"])
+    return _wide_to_long(raw, raw.columns[0], ["row_id"])
 
 
 def read_explanation_set(spark: SparkSession, folder: str) -> DataFrame:
     """(seed, row_id, feature, phi) from all files of a folder; the seed ends the file name."""
     raw = spark.read.csv(f"{folder}/*.csv", header=True)
-    first = raw.columns[0]
     seed = F.regexp_extract(F.col("_metadata.file_path"), r"_([0-9]+)\.csv(?:/[^/]*)?$", 1).cast("int")
-    keyed = raw.select("*", seed.alias("seed"))
-    return _wide_to_long(keyed.withColumn("row_id", F.col(f"`{first}`").cast("long")).drop(first), ["seed", "row_id"])
+    return _wide_to_long(raw.select("*", seed.alias("seed")), raw.columns[0], ["seed", "row_id"])
