@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,10 +72,6 @@ class CentroidDetector(Detector):
 
 
 def mean_vector(df: DataFrame, features: str = "features") -> list[float]:
-    """Mean of each vector position; partial sums per task, one value per position after."""
-    means = (
-        df.select(F.posexplode(features).alias("position", "value"))
-        .groupBy("position")
-        .agg(F.avg("value").alias("mean"))
-    )
-    return [r["mean"] for r in means.orderBy("position").collect()]
+    """Mean of each vector position, as one aggregation over whole vectors."""
+    mean = df.select(Summarizer.mean(array_to_vector(features)).alias("mean")).first()["mean"]
+    return [float(v) for v in mean]

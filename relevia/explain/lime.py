@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relevia.functions.arrow import lists, matrix
+from relevia.functions.arrow import lists, matrix, spread_rows
 
 # Samples per row, kernel width factor, ridge penalty, seed.
 SAMPLES = 5_000
@@ -87,4 +87,4 @@ def lime(
                 [*[batch.column(place[f.name]) for f in kept], lists(phi)], names=[*[f.name for f in kept], "phi"]
             )
 
-    return df.mapInArrow(run, f"{schema}, phi array<double>")
+    return spread_rows(df).mapInArrow(run, f"{schema}, phi array<double>")

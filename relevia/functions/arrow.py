@@ -78,3 +78,11 @@ def sum_vectors(parts: DataFrame, column: str, width: int) -> np.ndarray:
     for row in merged.collect():
         acc += np.asarray(row[0])
     return acc
+
+
+def spread_rows(df: DataFrame) -> DataFrame:
+    """Deal rows out over all shuffle partitions before work that is heavy per row.
+
+    Rows to explain are few and small, so by size alone they would end up in one task.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from relevia.functions.arrow import matrix
+from relevia.session import materialize
 
 BROADCAST_VALUES = 4_000_000
 BLOCK_ROWS = 4_096
@@ -210,6 +211,8 @@ def _cell_join(queries: DataFrame, base: DataFrame, k: int, skip_same: bool, piv
             "base_blocks": F.ceil(F.sum("rows").over(per_cell) / block_rows).cast("int"),
         }
     ).select("key", "cell", "base_cell", "from_r", "query_blocks", "base_blocks")
+    # used on both sides of the join below: keep the result of the passes behind it
+    plan = materialize(plan, "neighbour-cells")
     shape = plan.groupBy("key", "cell").agg(
         F.first("query_blocks").alias("query_blocks"), F.first("base_blocks").alias("base_blocks")
     )

@@ -17,6 +17,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from relevia.session import materialize
+
 MAX_BUCKETS = 8192
 ROWS_PER_BUCKET = 1_000_000
 MIN_BUCKETS = 16
@@ -102,8 +104,10 @@ def score_prefix(
     rows = df.select(
         *by, (F.col(score).cast("double") + F.lit(0.0)).alias("score"), F.col(y).cast("long").alias("y")
     ).where(F.col("score").isNotNull() & ~F.isnan("score") & F.col("y").isNotNull())
-    cuts = cut_points(rows, "score", by)
     counted = rows.groupBy(*by, "score").agg(F.sum("y").alias("p"), F.count(F.lit(1)).alias("n"))
+    # read three times below; written once so that the scores behind it are computed once
+    counted = materialize(counted, "score-counts")
+    cuts = cut_points(counted, "score", by)
     placed = with_bucket(counted, "score", cuts)
     group = by or [F.lit(0)]
     before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -1,33 +1,34 @@
-"""Counts over a trailing time range per key."""
+"""Counts over trailing time ranges per key."""
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SLICES_PER_RANGE = 8
 
 
-def trailing_count(df: DataFrame, key: str, ts: str, seconds: float, out: str) -> DataFrame:
-    """Add the number of rows with the same key in the ``seconds`` before and at each row.
+def trailing_counts(df: DataFrame, key: str, ts: str, seconds: Mapping[str, float]) -> DataFrame:
+    """Add the number of rows with the same key in the seconds before and at each row.
 
-    A key's rows are cut into time slices, and the tail of a slice that the next one can
-    still see is copied there. The unit of work is one key in one slice, so a key that
-    holds a third of the table is spread over as many tasks as it has slices.
+    ``seconds`` maps each new column to its range. A key's rows are cut into time slices,
+    and the tail of a slice that the next one can still see is copied there. The unit of
+    work is one key in one slice, so a key that holds a third of the table is spread over
+    as many tasks as it has slices. All ranges of a key share one shuffle.
     """
-    reach = int(seconds * 1_000_000)
-    slice_length = reach * SLICES_PER_RANGE
+    reach = {out: int(s * 1_000_000) for out, s in seconds.items()}
+    longest = max(reach.values())
+    slice_length = longest * SLICES_PER_RANGE
     timed = df.withColumn("_at", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn(
         "_slice", F.floor(F.col("_at") / slice_length)
     )
     next_start = (F.col("_slice") + 1) * slice_length
-    seen_in = F.when(F.col("_at") >= next_start - reach, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    seen_in = F.when(F.col("_at") >= next_start - longest, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     copies = timed.withColumn("_ahead", F.explode(seen_in))
-    window = (
-        Window.partitionBy(key, F.col("_slice") + F.col("_ahead")).orderBy("_at").rangeBetween(-reach, 0)
-    )
-    return (
-        copies.withColumn(out, F.count(F.lit(1)).over(window))
-        .where(F.col("_ahead") == 0)
-        .drop("_at", "_slice", "_ahead")
+    window = Window.partitionBy(key, F.col("_slice") + F.col("_ahead")).orderBy("_at")
+    counted = copies.withColumns(
+        {out: F.count(F.lit(1)).over(window.rangeBetween(-range_, 0)) for out, range_ in reach.items()}
     )
+    return counted.where(F.col("_ahead") == 0).drop("_at", "_slice", "_ahead")

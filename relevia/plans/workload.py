@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +28,7 @@ from relevia.operators import neighbors as N
 from relevia.operators import ranking as R
 from relevia.operators import shape as S
 from relevia.operators import similarity
-from relevia.operators.windows import trailing_count
+from relevia.operators.windows import trailing_counts
 from relevia.plans import journal as J
 from relevia.plans.detect import param_study
 from relevia.session import new_table_path
@@ -497,26 +498,25 @@ def shap_exact_query(spark, folder):
     return spread(shap_exact(df, _distance_score, len(J.NUMERIC), [_zeros()]), "phi", J.NUMERIC, "row_id")
 
 
-def _segment_references(df: DataFrame) -> tuple[list[list[float]], list[float]]:
+def _segment_references(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Mean point of each market segment in training, weighted by its rows."""
     train = _train(df)
     means = [F.round(F.avg(F.element_at("features", i + 1)), 4).alias(f"m{i}") for i in range(len(J.NUMERIC))]
     rows = train.groupBy("segment").agg(F.count(F.lit(1)).alias("rows"), *means).orderBy("segment").collect()
     total = sum(r["rows"] for r in rows)
-    return [[r[f"m{i}"] for i in range(len(J.NUMERIC))] for r in rows], [r["rows"] / total for r in rows]
+    points = np.array([[r[f"m{i}"] for i in range(len(J.NUMERIC))] for r in rows])
+    return points, np.array([r["rows"] / total for r in rows])
 
 
 def shap_background(spark, folder):
     df = J.standardized(J.journal(spark, folder)).select("row_id", "split", "segment", "features")
-    points, weights = _segment_references(df)
-    found = shap_exact(df, _distance_score, len(J.NUMERIC), points, weights)
+    found = kernel_shap(df.select("row_id", "features"), CentroidDetector(_zeros()), _segment_references(df))
     return spread(found, "phi", J.NUMERIC, "row_id")
 
 
 def shap_expected_value(spark, folder):
     df = J.standardized(J.journal(spark, folder)).select("row_id", "split", "segment", "features")
-    points, weights = _segment_references(df)
-    found = shap_exact(df, _distance_score, len(J.NUMERIC), points, weights)
+    found = kernel_shap(df.select("row_id", "features"), CentroidDetector(_zeros()), _segment_references(df))
     return rounded(
         found.select("row_id", "expected_value", (F.col("expected_value") + V.total(F.col("phi"))).alias("explained_score"))
     )
@@ -692,9 +692,7 @@ def model_set(spark, folder):
 
 
 def param_study_query(spark, folder):
-    def encoder():
-        return E.make_encoder(J.CATEGORICAL, J.NUMERIC, "onehot", "zscore")
-
+    encoder = E.make_encoder(J.CATEGORICAL, J.NUMERIC, "onehot", "zscore")
     grid = {"n_components": [0.5, 0.95], "weighted": [True, False]}
     return rounded(param_study(J.journal(spark, folder), encoder, "PCA", grid))
 
@@ -706,8 +704,7 @@ def conn_last_10s(spark, folder):
     events = J.read_table(spark, folder, "events").select("event_id", "ts", "user_id", "event_type")
     counted = events
     for key, side in (("user_id", "src"), ("event_type", "dst")):
-        for seconds, name in ((10, "10s"), (600, "10m")):
-            counted = trailing_count(counted, key, "ts", seconds, f"{side}_{name}")
+        counted = trailing_counts(counted, key, "ts", {f"{side}_10s": 10, f"{side}_10m": 600})
     return counted.drop("ts", "user_id", "event_type")
 
 
