@@ -97,12 +97,18 @@ def pair_metric(name: str, a: Column, b: Column, width: int, k: float = 3) -> Co
 MAX_MODELS = 1_000
 
 
-def model_columns(df: DataFrame, phi: str = "phi") -> tuple[DataFrame, list[int]]:
-    """One row per explained row with one array column per model (``m0``, ``m1``, ...)."""
-    seeds = [r[0] for r in df.select("seed").distinct().take(MAX_MODELS + 1)]
+def model_columns(
+    df: DataFrame, phi: str = "phi", seeds: Sequence[int] | None = None
+) -> tuple[DataFrame, list[int]]:
+    """One row per explained row with one array column per model (``m0``, ``m1``, ...).
+
+    Naming the ``seeds`` saves the pass that looks for them.
+    """
+    if seeds is None:
+        seeds = [r[0] for r in df.select("seed").distinct().take(MAX_MODELS + 1)]
     if len(seeds) > MAX_MODELS:
         raise ValueError(f"more than {MAX_MODELS} models in one set")
-    seeds.sort()
+    seeds = sorted(seeds)
     wide = df.groupBy("row_id").agg(
         *[F.first(F.when(F.col("seed") == s, F.col(phi)), ignorenulls=True).alias(f"m{i}") for i, s in enumerate(seeds)]
     )
@@ -117,6 +123,12 @@ def _top(values: np.ndarray, k: int) -> np.ndarray:
     return flags
 
 
+def _unit(values: np.ndarray) -> np.ndarray:
+    """Rows of length 1; zero rows stay zero."""
+    norm = np.sqrt((values**2).sum(axis=1, keepdims=True))
+    return values / np.where(norm == 0.0, 1.0, norm)
+
+
 def _window_sets(values: np.ndarray, n: int, window: int) -> np.ndarray:
     """(rows, windows, width) flags of the fields in each ranking window."""
     order = np.argsort(values, axis=1, kind="stable")[:, ::-1][:, :n]
@@ -128,7 +140,12 @@ def _window_sets(values: np.ndarray, n: int, window: int) -> np.ndarray:
 
 
 def consistency(
-    df: DataFrame, k: float = 5, ranking_k: float | None = None, normalize: bool = True, phi: str = "phi"
+    df: DataFrame,
+    k: float = 5,
+    ranking_k: float | None = None,
+    normalize: bool = True,
+    phi: str = "phi",
+    seeds: Sequence[int] | None = None,
 ) -> DataFrame:
     """Mean distance of every model pair over the rows both explain.
 
@@ -136,8 +153,7 @@ def consistency(
     Arrow batches, so only one partial sum per pair and task is shuffled, never a row
     per pair. With ``ranking_k`` the sliding-window ranking distance is added.
     """
-    source = df.withColumn(phi, V.l2_normalize(F.col(phi))) if normalize else df
-    wide, seeds = model_columns(source, phi)
+    wide, seeds = model_columns(df, phi, seeds)
     models = len(seeds)
     window = 3
     names = ["euclid_abs", "euclid", "sign_disagreement", "feature_disagreement"]
@@ -153,6 +169,8 @@ def consistency(
             cube = [matrix(batch.column(i)) for i in range(models)]
             width = max(m.shape[1] for m in cube)
             cube = [m if m.shape[1] == width else np.full((batch.num_rows, width), np.nan) for m in cube]
+            if normalize:
+                cube = [_unit(m) for m in cube]
             present = [~np.isnan(m[:, 0]) for m in cube]
             top_n = _count(k, width)
             tops = [_top(m, top_n) for m in cube]

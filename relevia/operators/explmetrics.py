@@ -116,18 +116,32 @@ def _mean_std(columns: Sequence[str]) -> list[Column]:
     return out
 
 
+def _compactness(phi: Column, gold: Column) -> dict[str, Column]:
+    return {
+        "gini": gini_index(phi),
+        "gini_abs": gini_index(phi, absolute=True),
+        "dist": distraction_weight(phi, gold),
+        "dist_abs": distraction_weight(phi, gold, absolute=True),
+    }
+
+
 def explanation_report(
-    df: DataFrame, phi: str = "phi", gold: str = "gold", by: Sequence[str] = ()
+    df: DataFrame, phi: str = "phi", gold: str = "gold", by: Sequence[str] = (), compactness: bool = False
 ) -> DataFrame:
     """Mean and population deviation of the row metrics per run, with row counts.
 
     Rows whose marks are all set or all clear have no ROC and are left out of its mean.
+    ``compactness`` adds Gini and distraction in the same pass, for runs that face up.
     """
+    measured = with_row_metrics(df, phi, gold)
+    names = ["roc", "pr", "pearson", "cosine"]
+    if compactness:
+        extra = _compactness(F.col(phi), F.col(gold))
+        measured, names = measured.withColumns(extra), names + list(extra)
     return (
-        with_row_metrics(df, phi, gold)
-        .groupBy(*by)
+        measured.groupBy(*by)
         .agg(
-            *_mean_std(["roc", "pr", "pearson", "cosine"]),
+            *_mean_std(names),
             F.count(F.lit(1)).alias("rows"),
             F.count("roc").alias("rows_with_roc"),
         )
@@ -157,16 +171,12 @@ def size_eval(df: DataFrame, phi: str = "phi", gold: str = "gold", by: Sequence[
     measured = df
     for sign in ("up", "down"):
         values = F.col(phi) if sign == "up" else F.transform(phi, lambda x: -x)
-        measured = measured.withColumns(
-            {
-                f"roc_{sign}": row_auc_roc(values, gold_column),
-                f"cos_{sign}": row_cosine(values, gold_column),
-                f"gini_{sign}": gini_index(values),
-                f"gini_abs_{sign}": gini_index(values, absolute=True),
-                f"dist_{sign}": distraction_weight(values, gold_column),
-                f"dist_abs_{sign}": distraction_weight(values, gold_column, absolute=True),
-            }
-        )
+        columns = {
+            "roc": row_auc_roc(values, gold_column),
+            "cos": row_cosine(values, gold_column),
+            **_compactness(values, gold_column),
+        }
+        measured = measured.withColumns({f"{name}_{sign}": column for name, column in columns.items()})
     summary = measured.groupBy(*by).agg(*_mean_std([f"{n}_{s}" for n in names for s in ("up", "down")]))
     keep = F.col("roc_up_mean") >= 0.5
     chosen = [

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from relevia.session import materialize
 
-MAX_BUCKETS = 8192
+MAX_BUCKETS = 4096
 ROWS_PER_BUCKET = 1_000_000
 MIN_BUCKETS = 16
 
@@ -293,19 +293,33 @@ class RankSelector:
         self.minimum = {c: stats[f"lo{i}"] for i, c in enumerate(self.columns)}
         self.maximum = {c: stats[f"hi{i}"] for i, c in enumerate(self.columns)}
         wide = self._wide
+        self._cuts = []
         for i, c in enumerate(self.columns):
-            wide = with_bucket(wide, f"v{i}", _thin(stats[f"cuts{i}"] or [], stats[f"n{i}"]), f"b{i}")
+            self._cuts.append(_thin(stats[f"cuts{i}"] or [], stats[f"n{i}"]))
+            wide = with_bucket(wide, f"v{i}", self._cuts[i], f"b{i}")
         cells = [
-            F.struct(F.lit(i).alias("c"), F.col(f"b{i}").alias("b"), F.col(f"v{i}").alias("v"))
+            F.struct(F.lit(i).alias("c"), F.when(F.col(f"v{i}").isNotNull(), F.col(f"b{i}")).alias("b"))
             for i in range(len(self.columns))
         ]
-        self._long = (
-            wide.select(F.explode(F.array(*cells)).alias("s")).select("s.*").where(F.col("v").isNotNull())
-        )
+        counts = wide.select(F.explode(F.array(*cells)).alias("s")).select("s.*").groupBy("c", "b").count()
         self._sizes: dict[int, list[tuple[int, int]]] = {}
-        for row in self._long.groupBy("c", "b").count().orderBy("c", "b").collect():
+        for row in counts.where(F.col("b").isNotNull()).orderBy("c", "b").collect():
             self._sizes.setdefault(row["c"], []).append((row["b"], row["count"]))
 
+    def _rows_of(self, buckets: Sequence[tuple[int, int]]) -> DataFrame:
+        """(c, b, v): the values in the given buckets, found by their bounds."""
+        cells = []
+        for c, b in buckets:
+            cuts = self._cuts[c]
+            v = F.col(f"v{c}") + F.lit(0.0)
+            inside = v.isNotNull()
+            if b > 0:
+                inside = inside & (v >= cuts[b - 1])
+            if b < len(cuts):
+                inside = inside & (v < cuts[b])
+            cells.append(F.when(inside, F.struct(F.lit(c).alias("c"), F.lit(b).alias("b"), v.alias("v"))))
+        return self._wide.select(F.explode(F.array_compact(F.array(*cells))).alias("s")).select("s.*")
+
     def select(self, ranks: Mapping[str, Sequence[int]]) -> dict[tuple[str, int], Selected]:
         """Values at the wanted ranks, keyed by (column, rank)."""
         wanted = []
@@ -322,13 +336,13 @@ class RankSelector:
                     raise ValueError(f"rank {rank} is outside column {column}")
         if not wanted:
             return {}
-        spark = self._long.sparkSession
+        spark = self._wide.sparkSession
         requests = spark.createDataFrame(wanted, "c int, b int, rank long, before long")
         running = (
             Window.partitionBy("c", "b").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         )
         counted = (
-            self._long.join(F.broadcast(requests.select("c", "b").distinct()), ["c", "b"], "left_semi")
+            self._rows_of(sorted({(c, b) for c, b, _, _ in wanted}))
             .groupBy("c", "b", "v")
             .agg(F.count(F.lit(1)).alias("n"))
             .withColumn("through", F.sum("n").over(running))

@@ -131,19 +131,21 @@ def _mean_std(name: str, column: str) -> str:
     return f"{r6(f'avg({column})', f'{name}_mean')}, {r6(f'stddev_pop({column})', f'{name}_std')}"
 
 
+_COMPACT_JOINS = f"""
+  JOIN ({_gini('greatest(phi, 0.0)')}) g USING (row_id) JOIN ({_gini('abs(phi)')}) ga USING (row_id)
+  JOIN ({_distraction('greatest(phi, 0.0)')}) d USING (row_id) JOIN ({_distraction('abs(phi)')}) da USING (row_id)"""
+
 # Mean ROC of the frauds is above one half for squared z-scores, so no sign is flipped.
 _SIZE_FROM = f"""
   FROM (SELECT DISTINCT row_id, label FROM long) l
-  LEFT JOIN ({ROW_ROC}) roc USING (row_id) JOIN ({ROW_COS}) cos USING (row_id)
-  JOIN ({_gini('greatest(phi, 0.0)')}) g USING (row_id) JOIN ({_gini('abs(phi)')}) ga USING (row_id)
-  JOIN ({_distraction('greatest(phi, 0.0)')}) d USING (row_id) JOIN ({_distraction('abs(phi)')}) da USING (row_id)"""
+  LEFT JOIN ({ROW_ROC}) roc USING (row_id) JOIN ({ROW_COS}) cos USING (row_id) {_COMPACT_JOINS}"""
 _COMPACT_COLUMNS = ", ".join(
     [
-        _mean_std("cos", "cos.cosine"), _mean_std("gini", "g.g"),
+        _mean_std("gini", "g.g"),
         _mean_std("gini_abs", "ga.g"), _mean_std("dist", "d.d"), _mean_std("dist_abs", "da.d"),
     ]
 )
-_SIZE_COLUMNS = _mean_std("roc", "roc.roc") + ", " + _COMPACT_COLUMNS
+_SIZE_COLUMNS = ", ".join([_mean_std("roc", "roc.roc"), _mean_std("cos", "cos.cosine"), _COMPACT_COLUMNS])
 _REPORT_FROM = f"""
   FROM (SELECT DISTINCT row_id, label FROM long) l
   LEFT JOIN ({ROW_ROC}) roc USING (row_id) LEFT JOIN ({ROW_PR}) pr USING (row_id)
@@ -522,8 +524,7 @@ CHECKS: dict[str, str] = {
     "size_eval": f"WITH {_fraud_long(EXPLAINED)} SELECT {_SIZE_COLUMNS} {_SIZE_FROM}",
     "explanation_report": f"WITH {_fraud_long(EXPLAINED_SIGNED)} SELECT l.label, {_REPORT_COLUMNS} {_REPORT_FROM} GROUP BY l.label",
     "flagship": f"""WITH {_fraud_long(EXPLAINED)}
-        SELECT * FROM (SELECT l.label, {_REPORT_COLUMNS} {_REPORT_FROM} GROUP BY l.label) JOIN (
-          SELECT l.label, {_COMPACT_COLUMNS} {_SIZE_FROM} GROUP BY l.label) USING (label)""",
+        SELECT l.label, {_REPORT_COLUMNS}, {_COMPACT_COLUMNS} {_REPORT_FROM} {_COMPACT_JOINS} GROUP BY l.label""",
     "model_set_summary": f"""WITH {MODEL_SET_SIGNED},
         long AS (SELECT row_id * 8 + seed AS row_id, unnest(phi) AS phi, unnest(gold) AS gold FROM model_set),
         per_seed AS (

@@ -12,7 +12,6 @@ from relevia.explain.lime import lime
 from relevia.explain.optimize import dynamic_background_shap
 from relevia.explain.reference import add_reference, background_summary, kmeans_reference
 from relevia.explain.shap import kernel_shap
-from relevia.functions import vectors as V
 from relevia.operators.consistency import consistency, density_histogram
 from relevia.operators.explmetrics import explanation_report, orient, size_eval
 from relevia.operators.groups import to_source_columns
@@ -95,7 +94,10 @@ def compactness(explained: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def model_set_consistency(explanations: DataFrame, k: float = 5, bins: int = 75) -> tuple[DataFrame, DataFrame]:
-    """(pair distances, histograms) of a model set with columns seed, row_id, phi, gold."""
+    """(pair distances, histograms) of a model set with columns seed, row_id, phi, gold.
+
+    Explanations are turned to face up as a set and brought to length 1 first.
+    """
     facing_up = orient(explanations) if "gold" in explanations.columns else explanations
-    pairs = consistency(facing_up.withColumn("phi", V.l2_normalize(F.col("phi"))), k, normalize=False)
+    pairs = consistency(facing_up, k)
     return pairs, density_histogram(pairs, PAIR_COLUMNS, bins)

@@ -49,7 +49,8 @@ def journal(spark: SparkSession, folder: str) -> DataFrame:
     customers = read_table(spark, folder, "customer").select("c_custkey", "c_mktsegment")
     joined = (
         read_table(spark, folder, "orders")
-        .join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+        # headers and lines grow together, and the sums are already partitioned by order
+        .join(lines.hint("merge"), F.col("o_orderkey") == F.col("l_orderkey"), "left")
         .join(customers, F.col("o_custkey") == F.col("c_custkey"))
         .select(
             F.col("o_orderkey").alias("row_id"),
@@ -126,13 +127,26 @@ def scored(df: DataFrame) -> DataFrame:
     )
 
 
-def explanation_set(df: DataFrame, digits: int = 4, signed: bool = False) -> DataFrame:
+MAX_MODELS = 1_000
+
+
+def left_out_segments(df: DataFrame) -> list[str]:
+    """The market segments in order; model ``s`` of the set is fitted without segment ``s``."""
+    segments = [r[0] for r in df.select("segment").distinct().take(MAX_MODELS + 1)]
+    if len(segments) > MAX_MODELS:
+        raise ValueError(f"more than {MAX_MODELS} segments")
+    return sorted(segments)
+
+
+def explanation_set(
+    df: DataFrame, digits: int = 4, signed: bool = False, segments: list[str] | None = None
+) -> DataFrame:
     """seed, row_id, phi, gold: one explanation per model of a five-model set.
 
     Model ``s`` is fitted without the ``s``-th market segment, so the models differ the
     way models trained on different samples do. All fits share one aggregation.
     """
-    segments = [r[0] for r in df.select("segment").distinct().orderBy("segment").take(64)]
+    segments = segments or left_out_segments(df)
     train = df.where("split = 'train'")
     aggregates = []
     for s, left_out in enumerate(segments):

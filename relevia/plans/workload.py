@@ -135,8 +135,11 @@ def reorder(spark, folder):
     return S.reorder(frauds, order.select("row_id", "position"))
 
 
-def _signed_set(spark, folder) -> DataFrame:
-    return J.explanation_set(J.journal(spark, folder), signed=True)
+def _signed_set(spark, folder) -> tuple[DataFrame, list[int]]:
+    """The explanations of the model set, with the signs of the deviations, and its seeds."""
+    df = J.journal(spark, folder)
+    segments = J.left_out_segments(df)
+    return J.explanation_set(df, signed=True, segments=segments), list(range(len(segments)))
 
 
 def orient(spark, folder):
@@ -346,7 +349,7 @@ def explanation_report(spark, folder):
 
 
 def model_set_summary(spark, folder):
-    return rounded(M.model_set_summary(_signed_set(spark, folder), subset=[0, 2, 4]))
+    return rounded(M.model_set_summary(_signed_set(spark, folder)[0], subset=[0, 2, 4]))
 
 
 def gold_join(spark, folder):
@@ -365,10 +368,8 @@ def gold_join(spark, folder):
 
 def explanation_set_scan(spark, folder):
     """A model set written as one file set per seed and read back with seeds from the names."""
-    explanations = J.explanation_set(J.journal(spark, folder))
-    seeds = [r[0] for r in explanations.select("seed").distinct().orderBy("seed").collect()]
     path = new_table_path(spark, "explanations")
-    write_explanation_set(explanations, path, "reconstruction_test", J.NUMERIC, seeds)
+    write_explanation_set(J.explanation_set(J.journal(spark, folder)), path, "reconstruction_test", J.NUMERIC)
     return rounded(read_explanation_set(spark, path))
 
 
@@ -378,7 +379,8 @@ def explanation_set_scan(spark, folder):
 def _pair(name: str) -> Callable:
     def query(spark, folder):
         ranking = 0.67 if name == "ranking" else None
-        pairs = C.consistency(_signed_set(spark, folder), k=3, ranking_k=ranking)
+        explanations, seeds = _signed_set(spark, folder)
+        pairs = C.consistency(explanations, k=3, ranking_k=ranking, seeds=seeds)
         return rounded(pairs.select("seed_a", "seed_b", "rows", name))
 
     return query
@@ -386,7 +388,7 @@ def _pair(name: str) -> Callable:
 
 def pair_row_metrics(spark, folder):
     """Per row distances of the first two models, as expressions."""
-    wide, seeds = C.model_columns(_signed_set(spark, folder))
+    wide, _ = C.model_columns(_signed_set(spark, folder)[0], seeds=[0, 1])
     a, b = F.col("m0"), F.col("m1")
     names = ["euclid", "euclid_abs", "sign_disagreement", "feature_disagreement"]
     width = len(J.NUMERIC)
@@ -401,12 +403,13 @@ def pair_row_metrics(spark, folder):
 
 
 def topk_euclid_as_written(spark, folder):
-    wide, _ = C.model_columns(_signed_set(spark, folder))
+    wide, _ = C.model_columns(_signed_set(spark, folder)[0], seeds=[0, 1])
     return rounded(C.topk_euclid_as_written(wide, "m0", "m1", len(J.NUMERIC)))
 
 
 def pair_histogram(spark, folder):
-    pairs = C.consistency(_signed_set(spark, folder), k=3)
+    explanations, seeds = _signed_set(spark, folder)
+    pairs = C.consistency(explanations, k=3, seeds=seeds)
     names = ["euclid_abs", "euclid", "sign_disagreement", "feature_disagreement"]
     return rounded(C.density_histogram(pairs, names, bins=20))
 
@@ -694,7 +697,7 @@ def model_set(spark, folder):
 def param_study_query(spark, folder):
     encoder = E.make_encoder(J.CATEGORICAL, J.NUMERIC, "onehot", "zscore")
     grid = {"n_components": [0.5, 0.95], "weighted": [True, False]}
-    return rounded(param_study(J.journal(spark, folder), encoder, "PCA", grid))
+    return rounded(param_study(J.journal(spark, folder), encoder, "PCA", grid, label=S.labels_fraud_only(F.col("label"))))
 
 
 # --- flow features ---------------------------------------------------------------------
@@ -717,9 +720,7 @@ def time_features(spark, folder):
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
     """Journal, z-scores, contributions, marks, row metrics, summary per fraud label."""
-    frauds = _fraud_explanations(spark, folder)
-    report = M.explanation_report(frauds, by=["label"])
-    return rounded(report.join(M.size_eval(frauds, by=["label"]).drop("roc_mean", "roc_std"), "label"))
+    return rounded(M.explanation_report(_fraud_explanations(spark, folder), by=["label"], compactness=True))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

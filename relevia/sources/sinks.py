@@ -24,11 +24,14 @@ def write_explanation(
     tagged.write.mode(if_exists).partitionBy(*RUN_COLUMNS).parquet(path)
 
 
-def write_explanation_set(df: DataFrame, folder: str, name: str, features: Sequence[str], seeds: Sequence[int]) -> None:
-    """One wide CSV file set per seed; ``df`` has seed, row_id and the vector phi."""
-    for seed in seeds:
-        columns = [F.element_at("phi", i + 1).alias(c) for i, c in enumerate(features)]
-        df.where(F.col("seed") == seed).select("row_id", *columns).write.csv(f"{folder}/{name}_{seed}.csv", header=True)
+def write_explanation_set(df: DataFrame, folder: str, name: str, features: Sequence[str]) -> None:
+    """One set of wide CSV files per seed, named ``<name>_<seed>.csv``, written in one job.
+
+    ``df`` has seed, row_id and the vector phi.
+    """
+    file = F.concat(F.lit(f"{name}_"), F.col("seed").cast("string"), F.lit(".csv"))
+    columns = [F.element_at("phi", i + 1).alias(c) for i, c in enumerate(features)]
+    df.select(file.alias("file"), "row_id", *columns).write.mode("append").partitionBy("file").csv(folder, header=True)
 
 
 def append_summary(summary: DataFrame, path: str) -> None:
