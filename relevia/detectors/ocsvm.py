@@ -12,7 +12,17 @@ from pyspark.sql import functions as F
 from relevia.detectors.base import Detector
 from relevia.functions.arrow import lists, matrix, sum_vectors
 
-BINS = 512
+BINS = 64
+
+
+def _next_range(counts: np.ndarray, cover: float, low: float, high: float) -> tuple[float, float]:
+    """Put the bins where the covered rows and about as many more lie; widen when they hit an end."""
+    step = (high - low) / BINS
+    filled = np.flatnonzero(counts)
+    reached = int(np.searchsorted(np.cumsum(counts), min(2.0 * cover, counts.sum())))
+    new_low = low - (high - low) if filled[0] == 0 else low + (filled[0] - 1) * step
+    new_high = high + (high - low) if reached >= BINS - 1 else low + (reached + 2) * step
+    return new_low, new_high
 
 
 class OneClassSVM(Detector):
@@ -59,24 +69,30 @@ class OneClassSVM(Detector):
             directions = rng.normal(scale=np.sqrt(2.0 * gamma), size=(components, width))
             phases = rng.uniform(0.0, 2.0 * np.pi, components)
             model = cls(directions, phases, np.zeros(components))
+            low, high = -1.0, 1.0
             for step in range(iterations):
-                counts, sums = model._bin_sums(data, features)
+                counts, sums = model._bin_sums(data, features, low, high)
+                if step == 0:
+                    # all scores are 0 for w = 0: start from the mean of all rows
+                    model = cls(directions, phases, sums.sum(axis=0) / counts.sum())
+                    high = float(np.sqrt(2.0) * np.linalg.norm(model.w))
+                    low = -high
+                    continue
                 cover = min(counts.sum(), max(1.0, nu * counts.sum()))
                 before = np.concatenate([[0.0], np.cumsum(counts)[:-1]])
                 part = np.clip((cover - before) / np.maximum(counts, 1.0), 0.0, 1.0)
                 target = (part[:, None] * sums).sum(axis=0) / cover
-                if step == 0:
-                    target = sums.sum(axis=0) / counts.sum()
-                pace = 1.0 if step == 0 else 2.0 / (step + 2.0)
+                pace = 2.0 / (step + 2.0)
                 model = cls(directions, phases, (1.0 - pace) * model.w + pace * target)
+                low, high = _next_range(counts, cover, low, high)
             boundary = model.transform(data, features).agg(F.percentile_approx("score", nu, F.lit(100_000))).first()[0]
             return cls(directions, phases, model.w, float(boundary))
         finally:
             data.unpersist()
 
-    def _bin_sums(self, data: DataFrame, features: str) -> tuple[np.ndarray, np.ndarray]:
+    def _bin_sums(self, data: DataFrame, features: str, low: float, high: float) -> tuple[np.ndarray, np.ndarray]:
+        """Row count and sum of the mapped rows per score bin; the outer bins are open."""
         size = len(self.phases)
-        edge = float(np.sqrt(2.0) * np.linalg.norm(self.w)) or 1.0
         model = self
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,7 +101,7 @@ class OneClassSVM(Detector):
                 if batch.num_rows == 0:
                     continue
                 mapped = model._map(matrix(batch.column(0)))
-                place = ((mapped @ model.w + edge) / (2.0 * edge) * BINS).astype(np.int64).clip(0, BINS - 1)
+                place = np.floor((mapped @ model.w - low) / (high - low) * BINS).clip(0, BINS - 1).astype(np.int64)
                 counts += np.bincount(place, minlength=BINS)
                 np.add.at(sums, place, mapped)
             yield pa.RecordBatch.from_arrays([lists(np.concatenate([counts, sums.ravel()])[None, :])], names=["s"])

@@ -152,10 +152,17 @@ def mean_row_roc(df: DataFrame, phi: str = "phi", gold: str = "gold", by: Sequen
     return df.groupBy(*by).agg(F.avg(row_auc_roc(F.col(phi), F.col(gold))).alias("roc_mean"))
 
 
+MAX_RUNS = 100_000
+
+
 def orient(df: DataFrame, phi: str = "phi", gold: str = "gold", by: Sequence[str] = ()) -> DataFrame:
     """Flip the sign of every run whose mean ROC is below one half."""
     means = mean_row_roc(df, phi, gold, by)
-    joined = df.join(means, list(by)) if by else df.join(F.broadcast(means))
+    rows = means.take(MAX_RUNS + 1)
+    if len(rows) > MAX_RUNS:
+        raise ValueError(f"more than {MAX_RUNS} runs")
+    known = F.broadcast(df.sparkSession.createDataFrame(rows, means.schema))
+    joined = df.join(known, list(by)) if by else df.withColumn("roc_mean", F.lit(rows[0]["roc_mean"]))
     sign = F.when(F.col("roc_mean") < 0.5, F.lit(-1.0)).otherwise(F.lit(1.0))
     return joined.withColumn(phi, V.scale(F.col(phi), sign)).drop("roc_mean")
 

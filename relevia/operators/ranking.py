@@ -17,24 +17,52 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from relevia.functions.vectors import let
 from relevia.session import materialize
 
 MAX_BUCKETS = 4096
 ROWS_PER_BUCKET = 1_000_000
 MIN_BUCKETS = 16
+SKETCH_GROUPS = 64
 
 
 def _thin(cuts: Sequence[float], rows: int) -> list[float]:
-    """Keep as many of the sketch's cut points as the row count calls for."""
+    """Keep as many of the cut points as the row count calls for."""
     wanted = max(MIN_BUCKETS, min(MAX_BUCKETS, rows // ROWS_PER_BUCKET))
-    step = max(1, MAX_BUCKETS // wanted)
+    step = max(1, len(cuts) // wanted)
     return sorted({float(c) for c in cuts[step - 1 :: step]})
 
 
 def _sketch(column: Column) -> Column:
     # one text literal instead of thousands of number literals keeps the plan small
     text = ",".join(str(i / MAX_BUCKETS) for i in range(1, MAX_BUCKETS))
-    return F.percentile_approx(column, F.split(F.lit(text), ",").cast("array<double>"), F.lit(2 * MAX_BUCKETS))
+    return F.percentile_approx(column, F.split(F.lit(text), ",").cast("array<double>"), F.lit(MAX_BUCKETS))
+
+
+def _value_stats(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Per group and column ``<c>_rows``, ``<c>_low``, ``<c>_high`` and sorted ``<c>_cuts``.
+
+    The sketches of all tasks would be too much for one task to merge, so each of up to
+    ``SKETCH_GROUPS`` tasks merges a share and only their cut points are put together.
+    """
+    share = F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS))
+    first, second = [], []
+    for c in columns:
+        first += [F.count(c).alias(f"{c}_rows"), F.min(c).alias(f"{c}_low"), F.max(c).alias(f"{c}_high"), _sketch(F.col(c)).alias(f"{c}_cuts")]
+        merged = F.array_sort(F.flatten(F.collect_list(f"{c}_cuts")))
+        second += [
+            F.sum(f"{c}_rows").alias(f"{c}_rows"), F.min(f"{c}_low").alias(f"{c}_low"),
+            F.max(f"{c}_high").alias(f"{c}_high"), merged.alias(f"{c}_cuts"),
+        ]
+    shares = df.withColumn("_share", share).groupBy(*by, "_share").agg(*first)
+    stats = shares.groupBy(*by).agg(*second)
+    return stats.withColumns({f"{c}_cuts": _every_nth(F.col(f"{c}_cuts")) for c in columns})
+
+
+def _every_nth(cuts: Column) -> Column:
+    """About ``MAX_BUCKETS`` of the sorted cut points of all shares."""
+    step = F.greatest(F.lit(1).cast("long"), F.floor(F.size(cuts) / MAX_BUCKETS))
+    return let(step, lambda n: F.filter(cuts, lambda _, i: F.pmod(i + 1, n) == 0))
 
 
 def cut_points(df: DataFrame, column: str, by: Sequence[str] = ()) -> list[float]:
@@ -43,15 +71,11 @@ def cut_points(df: DataFrame, column: str, by: Sequence[str] = ()) -> list[float
     ``by`` names a handful of groups (splits, model seeds), not a row key.
     """
     value = F.col(column).cast("double")
-    stats = (
-        df.where(value.isNotNull() & ~F.isnan(value))
-        .groupBy(*by)
-        .agg(F.count(F.lit(1)).alias("rows"), _sketch(value).alias("cuts"))
-    )
+    values = df.where(value.isNotNull() & ~F.isnan(value)).select(*by, value.alias("_v"))
     merged: set[float] = set()
-    for row in stats.collect():
-        if row["cuts"]:
-            merged.update(_thin(row["cuts"], row["rows"]))
+    for row in _value_stats(values, ["_v"], by).collect():
+        if row["_v_cuts"]:
+            merged.update(_thin(row["_v_cuts"], row["_v_rows"]))
     return sorted(merged)
 
 
@@ -279,23 +303,15 @@ class RankSelector:
             for c in self.columns
         }
         self._wide = df.select(*[value[c].alias(f"v{i}") for i, c in enumerate(self.columns)])
-        aggregates = []
-        for i in range(len(self.columns)):
-            v = F.col(f"v{i}")
-            aggregates += [
-                F.count(v).alias(f"n{i}"),
-                F.min(v).alias(f"lo{i}"),
-                F.max(v).alias(f"hi{i}"),
-                _sketch(v).alias(f"cuts{i}"),
-            ]
-        stats = self._wide.agg(*aggregates).first()
-        self.count = {c: stats[f"n{i}"] for i, c in enumerate(self.columns)}
-        self.minimum = {c: stats[f"lo{i}"] for i, c in enumerate(self.columns)}
-        self.maximum = {c: stats[f"hi{i}"] for i, c in enumerate(self.columns)}
+        names = [f"v{i}" for i in range(len(self.columns))]
+        stats = _value_stats(self._wide, names).first()
+        self.count = {c: stats[f"{v}_rows"] or 0 for c, v in zip(self.columns, names)}
+        self.minimum = {c: stats[f"{v}_low"] for c, v in zip(self.columns, names)}
+        self.maximum = {c: stats[f"{v}_high"] for c, v in zip(self.columns, names)}
         wide = self._wide
         self._cuts = []
         for i, c in enumerate(self.columns):
-            self._cuts.append(_thin(stats[f"cuts{i}"] or [], stats[f"n{i}"]))
+            self._cuts.append(_thin(stats[f"v{i}_cuts"] or [], self.count[c]))
             wide = with_bucket(wide, f"v{i}", self._cuts[i], f"b{i}")
         cells = [
             F.struct(F.lit(i).alias("c"), F.when(F.col(f"v{i}").isNotNull(), F.col(f"b{i}")).alias("b"))

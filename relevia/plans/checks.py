@@ -547,6 +547,12 @@ CHECKS: dict[str, str] = {
         {r6('t', 'topk_euclid')} FROM pairs_by_row JOIN (
           SELECT a.row_id, sqrt({_TOP3}) AS t FROM cube a JOIN cube b ON a.row_id = b.row_id AND a.seed = 0 AND b.seed = 1)
         USING (row_id) WHERE seed_a = 0 AND seed_b = 1""",
+    "topk_euclid_as_written": f"""WITH {RAW_CUBE},
+        both_ AS (SELECT a.row_id, a.x AS xa, b.x AS xb, a.val AS va, b.val AS vb
+                  FROM cube a JOIN cube b ON a.row_id = b.row_id AND a.seed = 0 AND b.seed = 1),
+        met AS (SELECT j, va[j] AS fa, vb[j] AS fb, count(*) AS n FROM both_, range(1, 7) t(j) GROUP BY 1, 2, 3),
+        by_rank AS (SELECT row_id, j, sqrt(sum(n * (xa[fa] - xb[fb]) ** 2)) AS d FROM both_, met GROUP BY row_id, j)
+        SELECT {r6('avg(d)', 'distance')} FROM by_rank""",
     "pair_histogram": f"""WITH {CUBE}, long AS ({_PAIR_LONG}),
         scaled AS (SELECT metric, value / CASE WHEN metric LIKE '%euclid%' AND max(value) OVER (PARTITION BY metric) > 1
                                                THEN max(value) OVER (PARTITION BY metric) ELSE 1 END AS v FROM long),

@@ -146,11 +146,11 @@ def test_registry(spark, data, tmp_path):
         Autoencoder.fit(df, n_layers=1, n_bottleneck=2, epochs=1, workers=1, batch_norm=True),
     ]
     for model in models:
-        save_model(spark, model, path, "normal_2", metric=0.5)
-        loaded = load_model(spark, path, model.kind, "normal_2")
+        save_model(spark, model, path, "train_a", metric=0.5)
+        loaded = load_model(spark, path, model.kind, "train_a")
         assert np.array_equal(loaded.score_batch(x), model.score_batch(x))
     better = CentroidDetector(np.ones(4))
-    save_model(spark, better, path, "normal_2", metric=0.9)
-    assert np.array_equal(load_model(spark, path, "centroid", "normal_2").centre, better.centre)
+    save_model(spark, better, path, "train_a", metric=0.9)
+    assert np.array_equal(load_model(spark, path, "centroid", "train_a").centre, better.centre)
     with pytest.raises(ValueError):
-        load_model(spark, path, "centroid", "normal_1")
+        load_model(spark, path, "centroid", "train_b")

@@ -16,7 +16,7 @@ ENGLISH = ["account", "currency", "amount", "quantity", *HEADER[4:]]
 
 @pytest.fixture
 def catalog(spark, tmp_path):
-    path = tmp_path / "column_information.csv"
+    path = tmp_path / "catalog.csv"
     lines = [
         ",".join(str(i) for i in range(10)),
         "ger," + ",".join(HEADER),
@@ -112,7 +112,7 @@ def test_explanations_round_trip(spark, tmp_path):
     assert sorted(tuple(r) for r in tables.read_explanation(spark, str(wide)).collect()) == [(3, "a_1", 0.5), (3, "a_2", -1.0)]
     df = spark.createDataFrame([(s, i, [s + 0.5, float(i)]) for s in (5, 19) for i in range(4)], "seed int, row_id long, phi array<double>")
     folder = str(tmp_path / "set")
-    sinks.write_explanation_set(df, folder, "shap_fraud_3", ["x", "y"])
+    sinks.write_explanation_set(df, folder, "shap_runs", ["x", "y"])
     back = tables.read_explanation_set(spark, folder)
     assert {(r["seed"], r["row_id"], r["feature"], r["phi"]) for r in back.collect()} == {
         (s, i, f, v) for s in (5, 19) for i in range(4) for f, v in (("x", s + 0.5), ("y", float(i)))
