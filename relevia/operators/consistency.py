@@ -95,6 +95,7 @@ def pair_metric(name: str, a: Column, b: Column, width: int, k: float = 3) -> Co
 
 
 MAX_MODELS = 1_000
+BLOCK_CELLS = 20_000_000
 
 
 def model_columns(
@@ -160,6 +161,30 @@ def consistency(
     if ranking_k is not None:
         names.append("ranking")
 
+    def add_block(cube: list[np.ndarray], sums: np.ndarray, rows: np.ndarray) -> None:
+        width = cube[0].shape[1]
+        if normalize:
+            cube = [_unit(m) for m in cube]
+        present = [~np.isnan(m[:, 0]) for m in cube]
+        top_n = _count(k, width)
+        tops = [_top(m, top_n) for m in cube]
+        ranks = None
+        if ranking_k is not None and int(width * ranking_k) >= window:
+            ranks = [_window_sets(m, int(width * ranking_k), window) for m in cube]
+        for i in range(models):
+            for j in range(i + 1, models):
+                both = present[i] & present[j]
+                a, b = cube[i][both], cube[j][both]
+                shared = tops[i][both] & tops[j][both]
+                rows[i, j] += int(both.sum())
+                sums[i, j, 0] += np.sqrt(((np.abs(a) - np.abs(b)) ** 2).sum(axis=1)).sum()
+                sums[i, j, 1] += np.sqrt(((a - b) ** 2).sum(axis=1)).sum()
+                sums[i, j, 2] += (1.0 - (shared & (a * b >= 0)).sum(axis=1) / top_n).sum()
+                sums[i, j, 3] += (1.0 - shared.sum(axis=1) / top_n).sum()
+                if ranks is not None:
+                    overlap = (ranks[i][both] & ranks[j][both]).sum(axis=2) / window
+                    sums[i, j, 4] += (1.0 - overlap).mean(axis=1).sum()
+
     def add_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((models, models, len(names)))
         rows = np.zeros((models, models), dtype=np.int64)
@@ -169,27 +194,9 @@ def consistency(
             cube = [matrix(batch.column(i)) for i in range(models)]
             width = max(m.shape[1] for m in cube)
             cube = [m if m.shape[1] == width else np.full((batch.num_rows, width), np.nan) for m in cube]
-            if normalize:
-                cube = [_unit(m) for m in cube]
-            present = [~np.isnan(m[:, 0]) for m in cube]
-            top_n = _count(k, width)
-            tops = [_top(m, top_n) for m in cube]
-            ranks = None
-            if ranking_k is not None and int(width * ranking_k) >= window:
-                ranks = [_window_sets(m, int(width * ranking_k), window) for m in cube]
-            for i in range(models):
-                for j in range(i + 1, models):
-                    both = present[i] & present[j]
-                    a, b = cube[i][both], cube[j][both]
-                    shared = tops[i][both] & tops[j][both]
-                    rows[i, j] += int(both.sum())
-                    sums[i, j, 0] += np.sqrt(((np.abs(a) - np.abs(b)) ** 2).sum(axis=1)).sum()
-                    sums[i, j, 1] += np.sqrt(((a - b) ** 2).sum(axis=1)).sum()
-                    sums[i, j, 2] += (1.0 - (shared & (a * b >= 0)).sum(axis=1) / top_n).sum()
-                    sums[i, j, 3] += (1.0 - shared.sum(axis=1) / top_n).sum()
-                    if ranks is not None:
-                        overlap = (ranks[i][both] & ranks[j][both]).sum(axis=2) / window
-                        sums[i, j, 4] += (1.0 - overlap).mean(axis=1).sum()
+            step = max(1, BLOCK_CELLS // (models * width * width))
+            for start in range(0, batch.num_rows, step):
+                add_block([m[start : start + step] for m in cube], sums, rows)
         pairs = [(i, j) for i in range(models) for j in range(i + 1, models) if rows[i, j]]
         if pairs:
             yield pa.RecordBatch.from_arrays(

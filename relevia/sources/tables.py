@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from relevia.operators.ranking import global_index
-from relevia.operators.shape import split_by_row
+from relevia.operators.shape import binarize_is_normal, split_by_row
 from relevia.sources.catalog import _language_column, flow_schema
 
 # Folder, files and split row of the named tasks.
@@ -76,6 +76,13 @@ def flow_features(df: DataFrame, columns: Sequence[str], out: str = "features")
     return df.withColumn(out, F.array(*[F.col(f"`{c}`").cast("double") for c in columns]))
 
 
+def flow_rows(df: DataFrame, split: str, columns: Sequence[str], row_id: str = "row_id") -> DataFrame:
+    """(row_id, split, y, features) of encoded flows, as detector runs expect them."""
+    labelled = df.withColumn("y", binarize_is_normal(F.col("isNormal")))
+    vectors = flow_features(labelled, columns)
+    return vectors.select(F.col(row_id).cast("long").alias("row_id"), F.lit(split).alias("split"), "y", "features")
+
+
 def read_gold(spark: SparkSession, path: str, drop: int | Sequence[str] = 0) -> DataFrame:
     """(row_id, feature, gold): 1 where the cell is ``X``.
 
