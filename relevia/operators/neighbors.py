@@ -20,7 +20,7 @@ from relevia.functions.arrow import matrix
 from relevia.session import materialize
 
 BROADCAST_VALUES = 4_000_000
-BLOCK_ROWS = 4_096
+BLOCK_VALUES = 4_000_000
 PIVOTS = 64
 
 _CANDIDATES = "query long, neighbor long, distance double"
@@ -266,7 +266,7 @@ def knn_join(
     skip_same: bool = False,
     broadcast_values: int = BROADCAST_VALUES,
     pivots: int = PIVOTS,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """(query, neighbor, distance, rank): the k nearest base rows of every query row.
 
@@ -282,7 +282,8 @@ def knn_join(
     if broadcast_values and len(shipped) <= fits:
         candidates = _scan_join(shipped, base_rows, k, skip_same)
     else:
-        candidates = _cell_join(query_rows, base_rows, k, skip_same, pivots, block_rows)
+        rows = block_rows or max(1, BLOCK_VALUES // width)
+        candidates = _cell_join(query_rows, base_rows, k, skip_same, pivots, rows)
     order = Window.partitionBy("query").orderBy("distance", "neighbor")
     return candidates.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

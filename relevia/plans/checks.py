@@ -390,7 +390,7 @@ def _nearest(k: int, where: str = "true", name: str = "nearest", source: str = "
                  FROM {source} WHERE {where}) WHERE rank <= {k})"""
 
 
-_KNN_COLUMNS = f"query, neighbor, {r6('distance', 'distance')}, rank"
+_KNN_COLUMNS = f"query, neighbor, {r6('distance', 'distance')}, CAST(rank AS INTEGER) AS rank"
 
 
 def _lof(k: int, novelty: bool) -> str:
