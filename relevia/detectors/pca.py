@@ -63,12 +63,13 @@ class PcaDetector(Detector):
         df: DataFrame,
         features: str = "features",
         n_components: float | None = None,
+        whiten: bool = False,
         weighted: bool = True,
         standardization: bool = False,
     ) -> "PcaDetector":
         """``n_components``: a count, or the share of variance to keep when below 1.
 
-        Whitening rescales projections only and this score uses none, so it has no option.
+        ``whiten`` rescales projections only; this score uses none, so it changes nothing.
         """
         _, mean, covariance = moments(df, features)
         width = len(mean)

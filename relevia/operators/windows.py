@@ -4,12 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampNTZType
 
 SLICES_PER_RANGE = 8
 
 
+def _micros(df: DataFrame, ts: str) -> Column:
+    """Microseconds since 1970; a timestamp without time zone is counted without one."""
+    if not isinstance(df.schema[ts].dataType, TimestampNTZType):
+        return F.unix_micros(ts)
+    span = F.col(ts) - F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    minutes = (F.extract(F.lit("DAY"), span) * 24 + F.extract(F.lit("HOUR"), span)) * 60 + F.extract(
+        F.lit("MINUTE"), span
+    )
+    micros = (F.extract(F.lit("SECOND"), span) * 1_000_000).cast("long")
+    return minutes.cast("long") * 60_000_000 + micros
+
+
 def trailing_counts(df: DataFrame, key: str, ts: str, seconds: Mapping[str, float]) -> DataFrame:
     """Add the number of rows with the same key in the seconds before and at each row.
 
@@ -21,9 +34,7 @@ def trailing_counts(df: DataFrame, key: str, ts: str, seconds: Mapping[str, floa
     reach = {out: int(s * 1_000_000) for out, s in seconds.items()}
     longest = max(reach.values())
     slice_length = longest * SLICES_PER_RANGE
-    timed = df.withColumn("_at", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn(
-        "_slice", F.floor(F.col("_at") / slice_length)
-    )
+    timed = df.withColumn("_at", _micros(df, ts)).withColumn("_slice", F.floor(F.col("_at") / slice_length))
     next_start = (F.col("_slice") + 1) * slice_length
     seen_in = F.when(F.col("_at") >= next_start - longest, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     copies = timed.withColumn("_ahead", F.explode(seen_in))

@@ -15,6 +15,7 @@ from relevia.explain.shap import kernel_shap
 from relevia.operators.consistency import consistency, density_histogram
 from relevia.operators.explmetrics import explanation_report, orient, size_eval
 from relevia.operators.groups import to_source_columns
+from relevia.session import materialize
 from relevia.sources.sinks import append_summary, write_explanation
 
 PAIR_COLUMNS = ["euclid_abs", "euclid", "sign_disagreement", "feature_disagreement"]
@@ -79,6 +80,8 @@ def explain_anomalies(
     explained = attribute(rows, detector, method, background, train, **options)
     if groups is not None:
         explained = explained.withColumn("phi", to_source_columns(F.col("phi"), groups))
+    # attribution is expensive: it runs once for report, sink and caller
+    explained = materialize(explained, "explained")
     report = None
     if "gold" in rows.columns:
         report = explanation_report(explained).withColumns({"xai": F.lit(method), "variant": F.lit(background)})

@@ -7,7 +7,7 @@ Order lines are summed per order before the join, so the join moves one row per
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relevia.functions import vectors as V
@@ -75,7 +75,7 @@ def journal(spark: SparkSession, folder: str) -> DataFrame:
     return joined.withColumn("label", label)
 
 
-def gold_marks() -> F.Column:
+def gold_marks() -> Column:
     """``array<int>``: one mark per numeric field."""
     return F.array(
         *[
@@ -85,7 +85,7 @@ def gold_marks() -> F.Column:
     )
 
 
-def numeric_values() -> list[F.Column]:
+def numeric_values() -> list[Column]:
     return [F.coalesce(F.col(c), F.lit(0.0)) for c in NUMERIC]
 
 

@@ -51,7 +51,7 @@ def test_unknown_algorithm(ledger):
 
 
 def test_grids(spark):
-    assert len(detect.param_grid(detect.LEDGER_GRIDS["PCA"])) == 12
+    assert len(detect.param_grid(detect.LEDGER_GRIDS["PCA"])) == 24
     frame = detect.param_grid_frame(spark, detect.LEDGER_GRIDS["PCA"])
     assert {tuple(r) for r in frame.collect()} == {tuple(p.values()) for p in detect.param_grid(detect.LEDGER_GRIDS["PCA"])}
     assert set(detect.FLOW_GRIDS) == {"IsolationForest", "OneClassSVM", "Autoencoder"}
