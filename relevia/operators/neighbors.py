@@ -38,7 +38,8 @@ def _best(
     for start in range(0, len(queries), step):
         block = queries[start : start + step]
         squares = (block**2).sum(axis=1)[:, None] + base_squares[None, :] - 2.0 * block @ base.T
-        slack = 1e-9 * (1.0 + squares.max(initial=0.0) + (block**2).sum(axis=1).max(initial=0.0))
+        # rounding of the quick distances, bounded by the size of their terms; set before any inf
+        slack = 1e-12 * (1.0 + 4.0 * (base_squares.max(initial=0.0) + (block**2).sum(axis=1).max(initial=0.0)))
         same = query_ids[start : start + step][:, None] == base_ids[None, :] if skip_same else None
         if same is not None:
             squares[same] = np.inf
