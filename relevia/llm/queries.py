@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from relevia.llm import separator_scan, token_parquet
+from relevia.llm import decontaminate, exact_dedup, mixing, separator_scan, token_parquet
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -21,9 +21,64 @@ def op4_token_output(spark, folder):
     return token_parquet.write_and_index(table(spark, folder, "documents"))
 
 
+def op8_exact_dedup(spark, folder):
+    return exact_dedup.exact_dedup(table(spark, folder, "documents"))
+
+
+def op9_decontamination(spark, folder):
+    return decontaminate.contamination_report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op10_mixing(spark, folder):
+    return mixing.mix(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op4_token_output": op4_token_output,
+    "op8_exact_dedup": op8_exact_dedup,
+    "op9_decontamination": op9_decontamination,
+    "op10_mixing": op10_mixing,
 }
 
-CHECKS: dict[str, str] = {}
+CHECKS: dict[str, str] = {
+    "op8_exact_dedup": r"""
+        WITH n AS (
+          SELECT doc_id, length(coalesce(text, '')) AS n_chars,
+                 regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm
+          FROM documents
+        ), r AS (
+          SELECT doc_id, norm, count(*) OVER (PARTITION BY norm) AS group_size,
+                 first_value(doc_id) OVER (PARTITION BY norm ORDER BY n_chars DESC, doc_id) AS keep_id
+          FROM n
+        )
+        SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM r
+    """,
+    "op9_decontamination": r"""
+        WITH iw AS (
+          SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+          FROM benchmark WHERE text IS NOT NULL
+        ), wins AS (
+          SELECT item_id, least(len(w), 10) AS size, array_to_string(w[k:k + least(len(w), 10) - 1], ' ') AS run
+          FROM iw, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS t(k) WHERE len(w) > 0
+        ), dw AS (
+          SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+          FROM documents
+        ), runs AS (
+          SELECT doc_id, k, size, array_to_string(w[k:k + size - 1], ' ') AS run
+          FROM dw, (SELECT DISTINCT size FROM wins), unnest(range(1, len(w) - size + 2)) AS t(k)
+        ), hits AS (
+          SELECT doc_id, k, wins.size, item_id FROM runs JOIN wins ON runs.size = wins.size AND runs.run = wins.run
+        ), words AS (
+          SELECT doc_id, count(DISTINCT p) AS n_hit FROM hits, unnest(range(k, k + size)) AS t(p) GROUP BY doc_id
+        ), found AS (
+          SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids
+          FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id
+        )
+        SELECT dw.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)
+    """,
+}
