@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from relevia.llm import decontaminate, exact_dedup, mixing, separator_scan, token_parquet
+from relevia.llm import decontaminate, exact_dedup, minhash_dedup, mixing, separator_scan, token_parquet
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op2_token_counts(spark, folder):
     return separator_scan.count_tokens(table(spark, folder, "documents"))
 
 
+def op3_minhash_dedup(spark, folder):
+    return minhash_dedup.near_duplicates(table(spark, folder, "documents"))
+
+
 def op4_token_output(spark, folder):
     return token_parquet.write_and_index(table(spark, folder, "documents"))
 
@@ -35,6 +39,7 @@ def op10_mixing(spark, folder):
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
+    "op3_minhash_dedup": op3_minhash_dedup,
     "op4_token_output": op4_token_output,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_decontamination": op9_decontamination,
