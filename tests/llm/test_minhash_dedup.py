@@ -76,15 +76,16 @@ def test_empty(spark, documents):
 
 def test_sketches_estimate_similarity():
     method = D.Method()
-    texts = variants(9, 120, 300, 60)
+    texts = variants(9, 120, 300, 20)
     sets = [shingles(t) for t in texts]
     for _, values, bounds in D.shingle_sets(pa.array(texts)):
         _, sketch = D._signatures(values, bounds, method)
-    worst = 0
+    errors = []
     for i in range(1, 120):
         bits = int(np.bitwise_count((sketch[i] ^ sketch[0]).view(np.uint64)).sum())
         true = len(sets[i] & sets[0]) / len(sets[i] | sets[0])
         estimate = 1 + method.bits / (4 * method.samples) * np.log(max(1e-9, 1 - 2 * bits / method.bits))
-        worst = max(worst, abs(true - estimate) if true >= 0.75 else 0)
+        errors.append(true - estimate)
         assert true < 0.8 or bits <= method.most_different_bits
-    assert 0 < worst < 0.12
+    # the standard error of 192 samples is 0.03 to 0.036 from similarity 0.8 down to 0.5
+    assert abs(np.mean(errors)) < 0.05 and np.std(errors) < 0.06
