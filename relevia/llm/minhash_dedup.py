@@ -9,8 +9,10 @@
    its band only, so a band of m classes gives m pairs. Sketches sort out what is far from the
    threshold; what is left is confirmed on the full sets, read from the texts again.
 4. Components of the confirmed links are found. Where a band still holds classes of different
-   components, all of its pairs across components are compared, sketch against sketch in
-   blocks of a set size inside tasks, and the near ones are confirmed like the others.
+   components, its pairs across components are compared in blocks of a set size inside tasks:
+   sketch against sketch first, which leaves the classes with a near one in another component,
+   then these on their full sets. A task joins components as it goes, and only the links that
+   join some leave it, fewer than it has classes.
 
 With 24 bands of 4 samples a pair at the threshold of 0.8 is missed with probability 3e-6, at
 0.85 with 2e-8. Sketches let a pair pass down to five standard errors below the threshold.
@@ -32,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from relevia.llm.buckets import mixed_rows
 from relevia.llm.components import connected_components
 from relevia.llm.textkit import NON_BLANK, Hasher, list_array, mix, slices, word_hashes
 from relevia.session import materialize
@@ -179,53 +182,80 @@ def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, method: Metho
     return full.filter(100 * common >= method.percent * (F.col("n_a") + F.col("n_b") - common)).select("a", "b")
 
 
-def _blocks(method: Method):
+def _pairs_to_check(frame, method: Method) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, later rows) that are near by sketch, with the bucket's key as the first that both share."""
+    n, sketch = frame["n"].to_numpy(), np.stack(frame["sketch"].to_numpy()).view(np.uint64)
+    bands, key = np.stack(frame["bands"].to_numpy()), frame["key"].iloc[0]
+    for i in range(len(frame) - 1):
+        rest = slice(i + 1, None)
+        found = np.bitwise_count(sketch[rest] ^ sketch[i]).sum(axis=1) <= method.most_different_bits
+        found &= 100 * np.minimum(n[rest], n[i]) >= method.percent * np.maximum(n[rest], n[i])
+        later = np.flatnonzero(found) + i + 1
+        if len(later):
+            first = (bands[later] == bands[i]).argmax(axis=1)
+            yield i, later[bands[i][first] == key]
+
+
+def _active(method: Method):
+    """Classes of a group with a near class in another component."""
+
     def run(frame):
-        nodes = frame.drop_duplicates(["d", "u"]).reset_index(drop=True)
-        out = {"a_d": [], "a_u": [], "b_d": [], "b_u": []}
-        label = nodes["label"].to_numpy()
-        n = nodes["n"].to_numpy()
-        d, u = nodes["d"].to_numpy(), nodes["u"].to_numpy()
-        sketch = np.stack(nodes["sketch"].to_numpy()).view(np.uint64)
-        for i in range(len(nodes) - 1):
-            bits = np.bitwise_count(sketch[i + 1 :] ^ sketch[i]).sum(axis=1)
-            near = (bits <= method.most_different_bits) & (label[i + 1 :] != label[i])
-            near &= 100 * np.minimum(n[i + 1 :], n[i]) >= method.percent * np.maximum(n[i + 1 :], n[i])
-            for j in np.flatnonzero(near) + i + 1:
-                for name, value in zip(out, (d[i], u[i], d[j], u[j])):
-                    out[name].append(value)
-        return type(frame)(out, dtype="int64")
+        frame = frame.drop_duplicates(["d", "u"]).reset_index(drop=True)
+        label, keep = frame["label"].to_numpy(), np.zeros(len(frame), dtype=bool)
+        for i, later in _pairs_to_check(frame, method):
+            later = later[label[later] != label[i]]
+            keep[later] = True
+            keep[i] |= len(later) > 0
+        return frame.loc[keep, ["key", "d", "u", "label"]]
 
     return run
 
 
-def pairs_across(buckets: DataFrame, classes: DataFrame, labels: DataFrame, method: Method) -> DataFrame:
-    """Near pairs (a, b) of classes in one bucket and in different components, by sketch.
+def _joining_links(method: Method):
+    """Links of a group that join components, confirmed on the full sets."""
+
+    def run(frame):
+        frame = frame.drop_duplicates(["d", "u"]).reset_index(drop=True)
+        label = frame["label"].to_numpy().copy()
+        sets = [np.asarray(x) for x in frame["items"]]
+        links = []
+        for i, later in _pairs_to_check(frame, method):
+            for j in later.tolist():
+                if label[i] != label[j]:
+                    common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if 100 * common >= method.percent * (len(sets[i]) + len(sets[j]) - common):
+                        links.append((i, j))
+                        label[label == label[j]] = label[i]
+        left, right = frame.iloc[[a for a, _ in links]], frame.iloc[[b for _, b in links]]
+        columns = {"a_d": left["d"], "a_u": left["u"], "b_d": right["d"], "b_u": right["u"]}
+        return type(frame)({name: values.to_numpy() for name, values in columns.items()}, dtype="int64")
+
+    return run
+
 
-    ``buckets`` has key, node and the leader that all others were held against already. A bucket
-    is cut into blocks; each pair of blocks is one group of at most two blocks' rows.
-    """
-    named = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    others = named.filter("node != leader").select("key", "node", "label")
-    mixed = others.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("m"))
-    mixed = mixed.filter("low != high").select("key", F.ceil(F.col("m") / method.block).cast("int").alias("blocks"))
-    rows = others.join(mixed, "key").join(classes.select("node", "n", "sketch"), "node")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+def links_across(
+    buckets: DataFrame, classes: DataFrame, labels: DataFrame, docs: DataFrame, method: Method, doc_id: str, text: str
+) -> DataFrame:
+    """Links (a, b) between components among classes that share a bucket; enough of them to join all that are linked."""
+    parts = classes.select("node", "n", "sketch", "bands")
+    rows = mixed_rows(buckets, labels, method.block).join(parts, "node")
+    rows = rows.select("key", "i", "j", "node.d", "node.u", F.xxhash64("label").alias("label"), "n", "sketch", "bands")
+    active = rows.groupBy("key", "i", "j").applyInPandas(_active(method), "key long, d long, u long, label long").distinct()
+    node = F.struct("d", "u").alias("node")
+    active = materialize(active.select("key", node, "label"), "near-active")
+    wanted = active.select("node").distinct()
+    sets = materialize(_sets_of(docs, classes.select("node", "f1", "f2").join(wanted, "node"), doc_id, text), "near-sets")
+    sizes = active.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / method.block).cast("int").alias("blocks"))
+    rows = active.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.join(parts, "node").join(sets, "node")
     rows = rows.select(
-        "key",
-        F.least("own", "other").alias("i"),
-        F.greatest("own", "other").alias("j"),
-        F.col("node.d").alias("d"),
-        F.col("node.u").alias("u"),
-        F.xxhash64("label").alias("label"),
-        "n",
-        "sketch",
-    )
-    found = rows.groupBy("key", "i", "j").applyInPandas(_blocks(method), "a_d long, a_u long, b_d long, b_u long")
-    node = lambda c: F.struct(F.col(f"{c}_d").alias("d"), F.col(f"{c}_u").alias("u"))
-    pairs = found.select(F.least(node("a"), node("b")).alias("a"), F.greatest(node("a"), node("b")).alias("b"))
-    return pairs.distinct()
+        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+        "node.d", "node.u", "label", "n", "sketch", "bands", "items",
+    )
+    found = rows.groupBy("key", "i", "j").applyInPandas(_joining_links(method), "a_d long, a_u long, b_d long, b_u long")
+    side = lambda c: F.struct(F.col(f"{c}_d").alias("d"), F.col(f"{c}_u").alias("u")).alias(c)
+    return found.select(side("a"), side("b"))
 
 
 def near_duplicates(docs: DataFrame, method: Method | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -246,9 +276,9 @@ def near_duplicates(docs: DataFrame, method: Method | None = None, doc_id: str =
     pairs = buckets.filter("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     links = materialize(confirm(pairs, classes, docs, method, doc_id, text), "near-links")
     labels = connected_components(links, "near")
-    across = materialize(pairs_across(buckets.filter("m > 2"), classes, labels, method), "near-across")
-    if not across.isEmpty():
-        more = materialize(confirm(across, classes, docs, method, doc_id, text), "near-links")
+    several = buckets.filter("m > 2")
+    more = materialize(links_across(several, classes, labels, docs, method, doc_id, text), "near-links")
+    if not more.isEmpty():
         labels = connected_components(links.union(more), "near")
 
     named = classes.select("f1", "f2", "n", "node").join(labels, "node", "left")
