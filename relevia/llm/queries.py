@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from relevia.llm import decontaminate, exact_dedup, minhash_dedup, mixing, pii, quality, separator_scan, token_parquet
+from relevia.llm import decontaminate, exact_dedup, line_dedup, minhash_dedup, mixing, pii, quality, separator_scan, token_parquet
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op4_token_output(spark, folder):
     return token_parquet.write_and_index(table(spark, folder, "documents"))
 
 
+def op5_line_dedup(spark, folder):
+    return line_dedup.line_report(table(spark, folder, "documents"))
+
+
 def op6_quality(spark, folder):
     return quality.quality_report(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -49,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_minhash_dedup": op3_minhash_dedup,
     "op4_token_output": op4_token_output,
+    "op5_line_dedup": op5_line_dedup,
     "op6_quality": op6_quality,
     "op7_pii": op7_pii,
     "op8_exact_dedup": op8_exact_dedup,
