@@ -6,13 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from relevia.llm import decontaminate, exact_dedup, line_dedup, minhash_dedup, mixing, pii, quality, separator_scan, token_parquet
+from relevia.llm import decontaminate, exact_dedup, line_dedup, minhash_dedup, mixing, pii, quality, separator_scan, token_parquet, url_filter
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: The rules that the url query is asked to apply.
+URL_RULES = [
+    url_filter.Rule("org/", "allow"),
+    url_filter.Rule("example.org/es/", "block"),
+    url_filter.Rule("example.org/en/1", "block"),
+    url_filter.Rule("com/fr/", "allow"),
+    url_filter.Rule("com/de/", "block"),
+]
+
+
+def op1_url_filter(spark, folder):
+    return url_filter.judge_urls(table(spark, folder, "pages"), URL_RULES)
+
+
 def op2_token_counts(spark, folder):
     return separator_scan.count_tokens(table(spark, folder, "documents"))
 
@@ -50,6 +64,7 @@ def op10_mixing(spark, folder):
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filter": op1_url_filter,
     "op2_token_counts": op2_token_counts,
     "op3_minhash_dedup": op3_minhash_dedup,
     "op4_token_output": op4_token_output,
