@@ -87,6 +87,11 @@ class Hasher:
                 values[0] = 1
                 setattr(self, name, np.cumprod(values, dtype=np.uint64))
 
+    def factors(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Powers for ``length`` places, and their inverses for one more."""
+        self._grow(length)
+        return self.powers[:length], self.inverses[: length + 1]
+
     def prefix(self, data: np.ndarray) -> np.ndarray:
         """Sums before each byte, to be cut into ranges by ``ranges``."""
         self._grow(len(data))
