@@ -29,22 +29,32 @@ def _blocks(near: Near):
     return run
 
 
-def mixed_rows(buckets: DataFrame, labels: DataFrame, block: int) -> DataFrame:
-    """``key, node, label, i, j``: members of buckets with several components, once per pair of blocks.
+def tiles(members: DataFrame, block: int) -> DataFrame:
+    """``key, node, label, i, j``: members of buckets with several labels, once per pair of blocks to compare.
 
-    ``buckets`` has key, node and the leader that all others were held against already. A bucket is
-    cut into blocks of about ``block`` classes, so a group (key, i, j) has at most two blocks' rows.
+    Only classes with different labels are of interest, so the members with a bucket's most common
+    label meet the others but not each other. Members are cut into blocks of about ``block``; a
+    group (key, i, j) has at most two blocks' rows, whatever the bucket's size.
     """
-    named = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    others = named.filter("node != leader").select("key", "node", "label")
-    mixed = others.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("m"))
-    mixed = mixed.filter("low != high").select("key", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    rows = others.join(mixed, "key").withColumn("own", own)
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sizes = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m"))
+    mixed = sizes.groupBy("key").agg(
+        F.count(F.lit(1)).alias("labels"), F.max_by("label", "m").alias("main"), F.max("m").alias("most"), F.sum("m").alias("all")
+    )
+    rest, most = F.ceil((F.col("all") - F.col("most")) / block), F.ceil(F.col("most") / block)
+    mixed = mixed.filter("labels > 1").select("key", "main", rest.cast("int").alias("rest"), most.cast("int").alias("most"))
+    rows, turn, is_main = members.join(mixed, "key"), F.xxhash64("node"), F.col("label") == F.col("main")
+    own = F.when(is_main, F.col("rest") + F.pmod(turn, F.col("most"))).otherwise(F.pmod(turn, F.col("rest"))).cast("int")
+    last = F.when(is_main, F.col("rest")).otherwise(F.col("rest") + F.col("most")) - 1
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
     return rows.select("key", "node", "label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
 
+def mixed_rows(buckets: DataFrame, labels: DataFrame, block: int) -> DataFrame:
+    """The tiles of buckets: key, node and the leader that all others were held against already."""
+    named = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    return tiles(named.filter("node != leader").select("key", "node", "label"), block)
+
+
 def pairs_across(buckets: DataFrame, classes: DataFrame, labels: DataFrame, near: Near, block: int) -> DataFrame:
     """Near pairs (a, b) of classes in one bucket and in different components.
 

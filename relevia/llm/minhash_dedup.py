@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relevia.llm.buckets import mixed_rows
+from relevia.llm.buckets import mixed_rows, tiles
 from relevia.llm.components import connected_components
 from relevia.llm.textkit import NON_BLANK, Hasher, list_array, mix, slices, word_hashes
 from relevia.session import materialize
@@ -245,14 +245,8 @@ def links_across(
     active = materialize(active.select("key", node, "label"), "near-active")
     wanted = active.select("node").distinct()
     sets = materialize(_sets_of(docs, classes.select("node", "f1", "f2").join(wanted, "node"), doc_id, text), "near-sets")
-    sizes = active.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / method.block).cast("int").alias("blocks"))
-    rows = active.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.join(parts, "node").join(sets, "node")
-    rows = rows.select(
-        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-        "node.d", "node.u", "label", "n", "sketch", "bands", "items",
-    )
+    rows = tiles(active, method.block).join(parts, "node").join(sets, "node")
+    rows = rows.select("key", "i", "j", "node.d", "node.u", "label", "n", "sketch", "bands", "items")
     found = rows.groupBy("key", "i", "j").applyInPandas(_joining_links(method), "a_d long, a_u long, b_d long, b_u long")
     side = lambda c: F.struct(F.col(f"{c}_d").alias("d"), F.col(f"{c}_u").alias("u")).alias(c)
     return found.select(side("a"), side("b"))
