@@ -8,6 +8,7 @@ With one worker this is plain mini-batch training.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -24,6 +25,7 @@ NORM_EPS = 1e-5
 NORM_MOMENTUM = 0.1
 ADAM_BETA1, ADAM_BETA2, ADAM_EPS = 0.9, 0.999, 1e-8
 DATA_ORDER_SEED = 42
+SHARD_ROWS = 100_000
 
 
 class Network:
@@ -230,17 +232,19 @@ def fit_model_set(
     epochs: int = 50,
     batch_size: int = 2048,
     learning_rate: float = 1e-2,
-    workers: int | None = None,
+    shard_rows: int = SHARD_ROWS,
 ) -> list[Autoencoder]:
     """One autoencoder per seed, all trained in the same passes over the data.
 
-    The seeds change the initial weights only; data order and placement are the same.
+    The seeds change the initial weights only; data order and placement are the same. Rows are
+    dealt by a hash into shards of about ``shard_rows``, each trained on its own within an epoch, so the
+    models follow from the rows and not from the size of the cluster.
     """
     spark = df.sparkSession
-    workers = workers or spark.sparkContext.defaultParallelism
+    shards = max(1, math.ceil(df.count() / shard_rows))
     data = (
         df.select(features, F.xxhash64(F.col(row_id), F.lit(DATA_ORDER_SEED)).alias("_order"))
-        .repartition(workers, "_order")
+        .repartition(shards, "_order")
         .sortWithinPartitions("_order")
         .persist()
     )

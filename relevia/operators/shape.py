@@ -128,6 +128,7 @@ def oversample(df: DataFrame, seed: int = 0, label: str = "label", row_id: str =
     A smaller class gets as many draws as the largest class has rows. Adds ``copy``:
     0 for the row itself, 1 and up for its draws. Draws are counted per drawn row
     before they meet the rows, so a class of few rows does not gather them in one task.
+    Rows without a label are a class like the others.
     """
     counts = class_counts(df, label).take(MAX_CLASSES + 1)
     if len(counts) > MAX_CLASSES:
@@ -149,7 +150,10 @@ def oversample(df: DataFrame, seed: int = 0, label: str = "label", row_id: str =
         .select(
             F.col("class.name").alias(label),
             "draw",
-            F.floor(uniform(F.lit(seed), F.col("class.name"), F.col("draw")) * F.col("class.rows"))
+            F.floor(
+                uniform(F.lit(seed), F.coalesce(F.col("class.name").cast("string"), F.lit("")), F.col("draw"))
+                * F.col("class.rows")
+            )
             .cast("long")
             .alias("_index"),
             F.floor(F.col("draw") / DRAWS_PER_PIECE).alias("_piece"),
@@ -157,10 +161,14 @@ def oversample(df: DataFrame, seed: int = 0, label: str = "label", row_id: str =
         .groupBy(label, "_index", "_piece")
         .agg(F.count(F.lit(1)).alias("_times"))
     )
-    small_rows = global_index(
-        df.where(F.col(label).isin([name for name, _ in smaller])), row_id, out="_index", by=[label]
-    )
-    drawn = small_rows.join(draws, [label, "_index"]).select(
+    is_small = F.col(label).isin([name for name, _ in smaller if name is not None])
+    if any(name is None for name, _ in smaller):
+        is_small = is_small | F.col(label).isNull()
+    # a name that no label has stands for the missing one
+    named = F.when(F.col(label).isNull(), "-").otherwise(F.concat(F.lit("+"), F.col(label).cast("string")))
+    small_rows = global_index(df.where(is_small).withColumn("_class", named), row_id, out="_index", by=["_class"])
+    draws = draws.withColumn("_class", named).drop(label)
+    drawn = small_rows.join(draws, ["_class", "_index"]).select(
         *[f"`{c}`" for c in df.columns],
         F.explode(
             F.sequence(

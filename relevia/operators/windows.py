@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampNTZType
 
+#: Time slices per longest range: a slice's distinct times of one key are the unit of work.
 SLICES_PER_RANGE = 8
 
 
@@ -26,20 +27,36 @@ def _micros(df: DataFrame, ts: str) -> Column:
 def trailing_counts(df: DataFrame, key: str, ts: str, seconds: Mapping[str, float]) -> DataFrame:
     """Add the number of rows with the same key in the seconds before and at each row.
 
-    ``seconds`` maps each new column to its range. A key's rows are cut into time slices,
-    and the tail of a slice that the next one can still see is copied there. The unit of
-    work is one key in one slice, so a key that holds a third of the table is spread over
-    as many tasks as it has slices. All ranges of a key share one shuffle.
+    ``seconds`` maps each new column to its range. Rows are counted per key and time first, so
+    equal times are one row. A count up to now minus a count up to just before the range is
+    the result; both are running sums inside short time slices plus the sum of the slices before.
+    So a key that holds a third of the table, or a burst of it, is spread over all its slices.
+    Rows with a null key count among themselves; a null time gets null counts.
     """
     reach = {out: int(s * 1_000_000) for out, s in seconds.items()}
-    longest = max(reach.values())
-    slice_length = longest * SLICES_PER_RANGE
-    timed = df.withColumn("_at", _micros(df, ts)).withColumn("_slice", F.floor(F.col("_at") / slice_length))
-    next_start = (F.col("_slice") + 1) * slice_length
-    seen_in = F.when(F.col("_at") >= next_start - longest, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    copies = timed.withColumn("_ahead", F.explode(seen_in))
-    window = Window.partitionBy(key, F.col("_slice") + F.col("_ahead")).orderBy("_at")
-    counted = copies.withColumns(
-        {out: F.count(F.lit(1)).over(window.rangeBetween(-range_, 0)) for out, range_ in reach.items()}
+    slice_length = max(1, max(reach.values()) // SLICES_PER_RANGE)
+    timed = df.withColumn("_at", _micros(df, ts))
+    known = timed.where("_at is not null")
+    times = known.groupBy(F.col(key).alias("_key"), "_at").agg(F.count(F.lit(1)).alias("_n"))
+    # marks: the time itself, and for each range the last moment that is outside of it
+    marks = [F.struct(F.col("_at").alias("at"), F.col("_n").alias("n"), F.lit("").alias("out"))]
+    marks += [F.struct((F.col("_at") - r - 1).alias("at"), F.lit(0).cast("long").alias("n"), F.lit(out).alias("out")) for out, r in reach.items()]
+    points = times.select("_key", F.col("_at").alias("_origin"), F.explode(F.array(*marks)).alias("_mark"))
+    points = points.select("_key", "_origin", "_mark.*", F.floor(F.col("_mark.at") / slice_length).alias("_slice"))
+    inside = points.withColumn("_upto", F.sum("n").over(Window.partitionBy("_key", "_slice").orderBy("at")))
+    totals = times.groupBy("_key", F.floor(F.col("_at") / slice_length).alias("_slice")).agg(F.sum("_n").alias("_total"))
+    # slices without rows of their own may still hold marks
+    empty = points.select("_key", "_slice").distinct().withColumn("_total", F.lit(0).cast("long"))
+    every = totals.unionByName(empty).groupBy("_key", "_slice").agg(F.sum("_total").alias("_total"))
+    earlier = Window.partitionBy("_key").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = every.select(
+        F.col("_key").alias("_k"), F.col("_slice").alias("_s"), F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_ahead")
     )
-    return counted.where(F.col("_ahead") == 0).drop("_at", "_slice", "_ahead")
+    summed = inside.join(ahead, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_slice") == F.col("_s")))
+    upto = F.col("_upto") + F.col("_ahead")
+    now = F.sum(F.when(F.col("out") == "", upto))
+    counts = summed.groupBy("_key", "_origin").agg(
+        *[(now - F.sum(F.when(F.col("out") == out, upto))).alias(out) for out in reach]
+    )
+    same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_at") == F.col("_origin"))
+    return timed.drop(*reach).join(counts, same, "left").drop("_at", "_key", "_origin")

@@ -26,7 +26,7 @@ joined AS (
               WHEN o_orderdate < TIMESTAMP '{EVAL_UNTIL}' THEN 'eval' ELSE 'test' END AS split,
          o_orderstatus AS status, o_orderpriority AS priority, c_mktsegment AS segment,
          o_totalprice AS totalprice, CAST(n_lines AS DOUBLE) AS n_lines, qty, amt, disc, tax
-  FROM orders LEFT JOIN lines ON o_orderkey = l_orderkey JOIN customer ON o_custkey = c_custkey),
+  FROM orders LEFT JOIN lines ON o_orderkey = l_orderkey LEFT JOIN customer ON o_custkey = c_custkey),
 journal AS (
   SELECT *, CASE {_CASES} ELSE 'NonFraud' END AS label, [{_GOLD}] AS gold FROM joined)
 """
@@ -598,6 +598,10 @@ CHECKS: dict[str, str] = {
           FROM standard)
         SELECT row_id, {r6('((t_ - none_) + (both_ - q_)) / 2', 'totalprice')}, 0.0::DOUBLE AS n_lines,
                {r6('((q_ - none_) + (both_ - t_)) / 2', 'qty')}, 0.0::DOUBLE AS amt, 0.0::DOUBLE AS disc, 0.0::DOUBLE AS tax FROM s""",
+    "shap_additive": f"""WITH {STANDARD}, x AS (
+          SELECT row_id, unnest(range(0, 18)) AS p,
+                 unnest(z || list_transform(z, lambda v: v * 0.5) || list_transform(z, lambda v: v * -0.25)) AS v FROM standard)
+        SELECT row_id, p::INTEGER AS position, round((p + 1) * (v - 9.0), 3) + 0.0 AS phi FROM x""",
     "conn_last_10s": f"""SELECT event_id, {_trailing('user_id', 10, 'src_10s')}, {_trailing('user_id', 600, 'src_10m')},
         {_trailing('event_type', 10, 'dst_10s')}, {_trailing('event_type', 600, 'dst_10m')} FROM events""",
     "time_features": """SELECT event_id, CASE WHEN isodow(ts) <= 5 THEN 1 ELSE 0 END AS is_weekday,

@@ -51,7 +51,8 @@ def journal(spark: SparkSession, folder: str) -> DataFrame:
         read_table(spark, folder, "orders")
         # headers and lines grow together, and the sums are already partitioned by order
         .join(lines.hint("merge"), F.col("o_orderkey") == F.col("l_orderkey"), "left")
-        .join(customers, F.col("o_custkey") == F.col("c_custkey"))
+        # an order without a known customer stays, without a segment
+        .join(customers, F.col("o_custkey") == F.col("c_custkey"), "left")
         .select(
             F.col("o_orderkey").alias("row_id"),
             F.when(F.col("o_orderdate") < F.lit(TRAIN_UNTIL).cast("timestamp_ntz"), "train")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,12 +17,30 @@ def write_explanation(
 ) -> None:
     """Write long or vector explanations; ``if_exists`` is ``append`` or ``ignore``.
 
-    Partitioned by run, so that reading one run prunes the others.
+    Partitioned by run, so that reading one run prunes the others. ``ignore`` leaves a run alone
+    that is there already; other runs in the folder do not matter.
     """
     if if_exists not in ("append", "ignore"):
         raise ValueError(f"unknown mode {if_exists!r}")
-    tagged = df.withColumns({c: F.lit(v) for c, v in zip(RUN_COLUMNS, (model, method, background))})
-    tagged.write.mode(if_exists).partitionBy(*RUN_COLUMNS).parquet(path)
+    run = dict(zip(RUN_COLUMNS, (model, method, background)))
+    if if_exists == "ignore" and _has_run(df.sparkSession, path, run):
+        return
+    tagged = df.withColumns({c: F.lit(v) for c, v in run.items()})
+    tagged.write.mode("append").partitionBy(*RUN_COLUMNS).parquet(path)
+
+
+def _has_run(spark: SparkSession, path: str, run: Mapping[str, str]) -> bool:
+    """Whether a run has rows; the filter is on partition columns, so only their folders are listed."""
+    try:
+        found = spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return False
+        raise
+    if not set(run) <= set(found.columns):
+        return False
+    same = [F.col(c).cast("string") == F.lit(v) for c, v in run.items()]
+    return not found.where(same[0] & same[1] & same[2]).isEmpty()
 
 
 def write_explanation_set(df: DataFrame, folder: str, name: str, features: Sequence[str]) -> None:

@@ -99,7 +99,7 @@ def test_network_shape():
 
 def test_one_worker_equals_plain_training(spark, data):
     df, x = data
-    model = Autoencoder.fit(df, seed=3, n_layers=1, n_bottleneck=2, epochs=2, batch_size=100, learning_rate=0.01, workers=1)
+    model = Autoencoder.fit(df, seed=3, n_layers=1, n_bottleneck=2, epochs=2, batch_size=100, learning_rate=0.01)
     from pyspark.sql import functions as F
 
     order = [r["row_id"] for r in df.orderBy(F.xxhash64("row_id", F.lit(42))).select("row_id").collect()]
@@ -115,7 +115,7 @@ def test_one_worker_equals_plain_training(spark, data):
 
 def test_autoencoder(spark, data):
     df, x = data
-    model = Autoencoder.fit(df, n_layers=2, n_bottleneck=2, epochs=12, batch_size=64, workers=3)
+    model = Autoencoder.fit(df, n_layers=2, n_bottleneck=2, epochs=12, batch_size=64)
     assert model.history[-1] < 0.7 * model.history[0]
     assert np.allclose(scores(model, df), -model.network.error(x))
     row = model.reconstruct(model.embed(df)).where("row_id = 9").first()
@@ -127,7 +127,7 @@ def test_autoencoder(spark, data):
 
 def test_model_set_differs_by_seed_only(spark, data):
     df, _ = data
-    options = {"n_layers": 1, "n_bottleneck": 2, "epochs": 2, "batch_size": 64, "workers": 2, "batch_norm": True}
+    options = {"n_layers": 1, "n_bottleneck": 2, "epochs": 2, "batch_size": 64, "batch_norm": True}
     first, second = fit_model_set(df, [1, 2], **options)
     alone = Autoencoder.fit(df.repartition(5), seed=2, **options)
     assert not np.allclose(first.network.flat(), second.network.flat())
@@ -143,7 +143,7 @@ def test_registry(spark, data, tmp_path):
         IsolationForest.fit(df, n_estimators=3, max_samples=32),
         OneClassSVM.fit(df, components=20, iterations=2),
         PcaDetector.fit(df),
-        Autoencoder.fit(df, n_layers=1, n_bottleneck=2, epochs=1, workers=1, batch_norm=True),
+        Autoencoder.fit(df, n_layers=1, n_bottleneck=2, epochs=1, batch_norm=True),
     ]
     for model in models:
         save_model(spark, model, path, "train_a", metric=0.5)
@@ -154,3 +154,10 @@ def test_registry(spark, data, tmp_path):
     assert np.array_equal(load_model(spark, path, "centroid", "train_a").centre, better.centre)
     with pytest.raises(ValueError):
         load_model(spark, path, "centroid", "train_b")
+
+
+def test_autoencoder_does_not_depend_on_the_layout(spark):
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(300, 4)))], "row_id long, features array<double>")
+    fits = [Autoencoder.fit(df.repartition(n), n_layers=1, n_bottleneck=2, epochs=2, batch_size=32, shard_rows=100) for n in (1, 7)]
+    assert np.allclose(fits[0].network.flat(), fits[1].network.flat(), atol=1e-12)

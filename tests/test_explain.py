@@ -17,7 +17,7 @@ from relevia.explain.optimize import (
 )
 from relevia.explain.reference import add_reference, background_summary, kmeans_reference
 from relevia.explain.shap import (
-    Coalitions, coalition_plan, default_samples, kernel_shap, shap_exact, shapley_coefficients,
+    Coalitions, all_masks, coalition_plan, default_samples, kernel_shap, shap_batch, shap_exact, shapley_coefficients,
 )
 from relevia.functions import vectors as V
 
@@ -43,7 +43,7 @@ def data(spark):
 
 @pytest.fixture(scope="module")
 def network(data):
-    return Autoencoder.fit(data[0], n_layers=2, n_bottleneck=2, epochs=5, batch_size=16, workers=1).network
+    return Autoencoder.fit(data[0], n_layers=2, n_bottleneck=2, epochs=5, batch_size=16).network
 
 
 def phis(df):
@@ -109,6 +109,34 @@ def test_coalition_plan():
     assert default_samples(10) == 1022 and default_samples(40) == 2128
 
 
+@pytest.mark.parametrize("width", range(12, 21))
+@pytest.mark.parametrize("samples", [None, 60, 700])
+def test_every_size_has_its_kernel_weight(width, samples):
+    masks, weights = coalition_plan(width, samples, seed=1)
+    size = masks.sum(axis=1).astype(int)
+    kernel = np.array([1 / (s * (width - s)) for s in range(1, width)])
+    got = np.bincount(size, weights=weights, minlength=width)[1:width]
+    assert got == pytest.approx(kernel / kernel.sum())
+    assert len({m.tobytes() for m in masks}) == len(masks) <= max(samples or 10**6, 2 * (width // 2))
+    # every mask comes with its complement, so each column is in half of the weight
+    assert weights @ masks == pytest.approx(np.full(width, 0.5))
+
+
+def test_sampled_shapley_against_all_masks():
+    rng = np.random.default_rng(7)
+    x, width = rng.normal(size=(5, 12)), 12
+    coefficients, every = shapley_coefficients(width), all_masks(width)
+    score = lambda v: np.tanh(v[..., :6].sum(axis=-1)) + v[..., 6] * v[..., 7] + v[..., 8:].sum(axis=-1)
+    exact = np.array([coefficients @ score(every * row) for row in x])
+    errors = []
+    for seed in range(20):
+        found, _ = shap_batch(lambda v: -score(v), x, np.zeros((5, 1, 12)), np.ones(1), Coalitions(800, seed))
+        assert found.sum(axis=1) == pytest.approx(exact.sum(axis=1))
+        errors.append(found - exact)
+    assert np.abs(np.mean(errors, axis=0)).max() < 0.02
+    assert np.abs(errors).max() < 0.15
+
+
 def test_sampled_shapley(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(6, 14))

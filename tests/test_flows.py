@@ -60,7 +60,7 @@ def flows(spark, tmp_path_factory):
 @pytest.mark.parametrize(
     "algorithm,params",
     [
-        ("Autoencoder", {"n_layers": 1, "n_bottleneck": 16, "epochs": 15, "batch_size": 64, "workers": 2}),
+        ("Autoencoder", {"n_layers": 1, "n_bottleneck": 16, "epochs": 15, "batch_size": 64}),
         ("IsolationForest", {"n_estimators": 64, "max_samples": 0.8}),
         ("OneClassSVM", {"nu": 0.2, "gamma": 0.1, "components": 200, "iterations": 15}),
     ],
@@ -73,7 +73,7 @@ def test_flow_detectors(flows, algorithm, params):
 
 def test_flow_explanations(spark, flows):
     detector, _ = fit_and_score(
-        flows, "Autoencoder", {"n_layers": 1, "n_bottleneck": 16, "epochs": 15, "batch_size": 64, "workers": 2}
+        flows, "Autoencoder", {"n_layers": 1, "n_bottleneck": 16, "epochs": 15, "batch_size": 64}
     )
     marks = [int(source in MOVED) for source in GROUPS]
     attacks = flows.where("y = 1").withColumn("gold", F.array(*[F.lit(m) for m in marks]))

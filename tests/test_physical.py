@@ -53,3 +53,12 @@ def test_trailing_counts_on_a_hot_key(spark):
         for position, reach in enumerate((10, 100)):
             window = same & (seconds >= seconds[i] - reach) & (seconds <= seconds[i])
             assert found[i][position] == window.sum()
+
+
+def test_trailing_counts_with_repeats_and_nulls(spark):
+    rows = [(0, "a", 10.0), (1, "a", 10.0), (2, "a", 12.0), (3, None, 11.0), (4, None, 11.5), (5, "a", None), (6, "a", 400.0)]
+    start = dt.datetime(2024, 1, 1)
+    data = [(i, k, None if s is None else start + dt.timedelta(seconds=s)) for i, k, s in rows]
+    df = spark.createDataFrame(data, "id long, k string, ts timestamp")
+    found = {r["id"]: r["near"] for r in trailing_counts(df, "k", "ts", {"near": 2}).collect()}
+    assert found == {0: 2, 1: 2, 2: 3, 3: 1, 4: 2, 5: None, 6: 1}

@@ -28,7 +28,7 @@ SMALL = {
     "IsolationForest": {"n_estimators": 16, "max_samples": 128},
     "OneClassSVM": {"nu": 0.1, "gamma": 0.1, "components": 50, "iterations": 5},
     "PCA": {"weighted": True},
-    "Autoencoder": {"n_layers": 1, "n_bottleneck": 2, "epochs": 3, "batch_size": 64, "workers": 2},
+    "Autoencoder": {"n_layers": 1, "n_bottleneck": 2, "epochs": 3, "batch_size": 64},
     "LocalOutlierFactor": {"n_neighbors": 20},
 }
 
@@ -77,7 +77,7 @@ def prepared(ledger):
     gold = F.concat(F.slice(marks, 7, 3), F.slice(marks, 1, 6))
     rows = S.get_frauds(encoded).select("row_id", "features", gold.alias("gold")).cache()
     train = encoded.where("split = 'train'").select("row_id", "features").cache()
-    model = Autoencoder.fit(train, n_layers=1, n_bottleneck=3, epochs=4, batch_size=128, workers=2)
+    model = Autoencoder.fit(train, n_layers=1, n_bottleneck=3, epochs=4, batch_size=128)
     groups = list(G.positions_by_source(encoder.catalog()).values())
     return rows, train, model, groups
 
@@ -123,7 +123,7 @@ def test_model_set(ledger):
 
 def test_stream_scores_equal_batch_scores(spark, ledger, tmp_path):
     encoder = E.make_encoder(J.CATEGORICAL, J.NUMERIC, "None", "minmax").fit(ledger)
-    model = Autoencoder.fit(encoder.transform(ledger), n_layers=1, n_bottleneck=2, epochs=1, workers=1)
+    model = Autoencoder.fit(encoder.transform(ledger), n_layers=1, n_bottleneck=2, epochs=1)
     source = str(tmp_path / "in")
     ledger.write.parquet(source)
     stream = spark.readStream.schema(ledger.schema).parquet(source)

@@ -52,6 +52,12 @@ def test_oversample_adds_draws(labels, monkeypatch):
     assert again == sorted(map(tuple, rows))
 
 
+def test_oversample_counts_missing_labels_as_a_class(spark):
+    rows = [(i, None) for i in range(3)] + [(10 + i, "a") for i in range(7)] + [(30 + i, "b") for i in range(20)]
+    found = S.oversample(spark.createDataFrame(rows, "row_id long, label string")).groupBy("label").count().collect()
+    assert {r["label"]: r["count"] for r in found} == {None: 23, "a": 27, "b": 20}
+
+
 def test_sample_depends_on_key_only(spark):
     df = spark.range(2000).withColumnRenamed("id", "row_id")
     first = {r[0] for r in S.hash_sample(df, 0.1, 1).collect()}

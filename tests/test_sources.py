@@ -127,6 +127,10 @@ def test_explanation_sink(spark, tmp_path):
     sinks.write_explanation(df, path, "AE", "shap", "zeros", if_exists="ignore")
     rows = spark.read.parquet(path)
     assert rows.count() == 2
+    fresh = str(tmp_path / "fresh")
+    for method in ("shap", "lime", "shap"):
+        sinks.write_explanation(df, fresh, "AE", method, "zeros", if_exists="ignore")
+    assert sorted(r["method"] for r in spark.read.parquet(fresh).collect()) == ["lime", "shap"]
     pruned = rows.where(F.col("method") == "lime")
     assert pruned.count() == 1
     assert "PartitionFilters: [isnotnull(method" in pruned._jdf.queryExecution().toString()
