@@ -18,6 +18,7 @@ KERNEL_WIDTH = 0.75
 RIDGE_ALPHA = 1.0
 SEED = 42
 MAX_VALUES = 200_000
+BLOCK_CELLS = 2_000_000
 
 
 def value_frequencies(train: DataFrame, features: str = "features") -> list[tuple[np.ndarray, np.ndarray]]:
@@ -41,20 +42,31 @@ def value_frequencies(train: DataFrame, features: str = "features") -> list[tupl
     return out
 
 
-def surrogate(score_batch, x: np.ndarray, frequencies, rng: np.random.Generator, samples: int) -> np.ndarray:
-    """Coefficients of one row: which columns, kept as they are, raise the anomaly score."""
-    width = len(x)
-    drawn = np.column_stack([values[rng.choice(len(values), samples, p=shares)] for values, shares in frequencies])
-    drawn[0] = x
-    same = (drawn == x).astype(np.float64)
-    target = -score_batch(drawn)
-    distance = np.sqrt((1.0 - same).sum(axis=1))
-    weight = np.sqrt(np.exp(-(distance**2) / (KERNEL_WIDTH * math.sqrt(width)) ** 2))
-    centre = weight @ same / weight.sum()
-    centred = same - centre
-    level = weight @ target / weight.sum()
-    left = (centred.T * weight) @ centred + RIDGE_ALPHA * np.eye(width)
-    return np.linalg.solve(left, (centred.T * weight) @ (target - level))
+def surrogates(
+    score_batch, x: np.ndarray, ids: np.ndarray, frequencies, seed: int, samples: int
+) -> np.ndarray:
+    """Coefficients of a block of rows: which columns, kept as they are, raise the anomaly score.
+
+    Each row has its own draws, by seed and id; the block is scored at once.
+    """
+    rows, width = x.shape
+    draws = np.stack([np.random.default_rng([seed, int(i) & (2**63 - 1)]).random((samples, width)) for i in ids])
+    drawn = np.empty_like(draws)
+    for j, (values, shares) in enumerate(frequencies):
+        at = np.searchsorted(np.cumsum(shares), draws[:, :, j].ravel(), side="right")
+        drawn[:, :, j] = values[np.minimum(at, len(values) - 1)].reshape(rows, samples)
+    drawn[:, 0] = x
+    same = (drawn == x[:, None, :]).astype(np.float64)
+    target = -score_batch(drawn.reshape(-1, width)).reshape(rows, samples)
+    distance = (1.0 - same).sum(axis=2)
+    weight = np.sqrt(np.exp(-distance / (KERNEL_WIDTH * math.sqrt(width)) ** 2))
+    whole = weight.sum(axis=1)
+    centred = same - (np.einsum("rs,rsw->rw", weight, same) / whole[:, None])[:, None, :]
+    level = (weight * target).sum(axis=1) / whole
+    weighted = centred * weight[:, :, None]
+    left = weighted.transpose(0, 2, 1) @ centred + RIDGE_ALPHA * np.eye(width)
+    right = np.einsum("rsw,rs->rw", weighted, target - level[:, None])
+    return np.linalg.solve(left, right[:, :, None])[:, :, 0]
 
 
 def lime(
@@ -79,9 +91,10 @@ def lime(
                 continue
             x = matrix(batch.column(place[features]))
             ids = np.asarray(batch.column(place[row_id]))
+            step = max(1, BLOCK_CELLS // (samples * x.shape[1]))
             phi = np.vstack([
-                surrogate(detector.score_batch, row, shipped.value, np.random.default_rng([seed, int(i) & (2**63 - 1)]), samples)
-                for i, row in zip(ids, x)
+                surrogates(detector.score_batch, x[at : at + step], ids[at : at + step], shipped.value, seed, samples)
+                for at in range(0, len(x), step)
             ])
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(place[f.name]) for f in kept], lists(phi)], names=[*[f.name for f in kept], "phi"]
