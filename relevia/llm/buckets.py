@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,19 +13,39 @@ from pyspark.sql import functions as F
 Near = Callable[[np.ndarray, int, np.ndarray, np.ndarray], np.ndarray]
 
 
-def _blocks(near: Near):
-    def run(frame):
-        nodes = frame.drop_duplicates(["d", "u"]).reset_index(drop=True)
-        out = {"a_d": [], "a_u": [], "b_d": [], "b_u": []}
-        label, n = nodes["label"].to_numpy(), nodes["n"].to_numpy()
-        d, u = nodes["d"].to_numpy(), nodes["u"].to_numpy()
-        sketch = np.stack(nodes["sketch"].to_numpy()).view(np.uint64)
-        for i in range(len(nodes) - 1):
-            found = near(sketch[i], n[i], sketch[i + 1 :], n[i + 1 :]) & (label[i + 1 :] != label[i])
-            for j in np.flatnonzero(found) + i + 1:
-                for name, value in zip(out, (d[i], u[i], d[j], u[j])):
-                    out[name].append(value)
-        return type(frame)(out, dtype="int64")
+def _near_pairs(near: Near):
+    """Pairs of each group (key, i, j); rows come sorted by group, and one group at a time is kept."""
+    names = ["a_d", "a_u", "b_d", "b_u"]
+
+    def pairs(batch: pa.RecordBatch, bounds: list[int]) -> pa.RecordBatch:
+        d, u, label, n = (batch.column(c).to_numpy() for c in ("d", "u", "label", "n"))
+        sketch = batch.column("sketch").flatten().to_numpy().view(np.uint64).reshape(len(d), -1)
+        left, right = [], []
+        for first, last in zip(bounds[:-1], bounds[1:]):
+            for i in range(first, last - 1):
+                rest = slice(i + 1, last)
+                found = near(sketch[i], n[i], sketch[rest], n[rest]) & (label[rest] != label[i])
+                later = np.flatnonzero(found) + i + 1
+                left.append(np.full(len(later), i))
+                right.append(later)
+        left, right = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (left, right))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (d[left], u[left], d[right], u[right])], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if held is not None:
+                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            if not batch.num_rows:
+                continue
+            group = np.stack([batch.column(c).to_numpy() for c in ("key", "i", "j")])
+            starts = np.flatnonzero((group[:, 1:] != group[:, :-1]).any(axis=0)) + 1
+            done = int(starts[-1]) if len(starts) else 0
+            if done:
+                yield pairs(batch.slice(0, done), [0, *starts.tolist()])
+            held = batch.slice(done)
+        if held is not None and held.num_rows:
+            yield pairs(held, [0, held.num_rows])
 
     return run
 
@@ -63,7 +84,10 @@ def pairs_across(buckets: DataFrame, classes: DataFrame, labels: DataFrame, near
     """
     rows = mixed_rows(buckets, labels, block).join(classes.select("node", "n", "sketch"), "node")
     rows = rows.select("key", "i", "j", "node.d", "node.u", F.xxhash64("label").alias("label"), "n", "sketch")
-    found = rows.groupBy("key", "i", "j").applyInPandas(_blocks(near), "a_d long, a_u long, b_d long, b_u long")
+    # most groups are a few rows, far too few for a call each
+    width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(width, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    found = rows.mapInArrow(_near_pairs(near), "a_d long, a_u long, b_d long, b_u long")
     node = lambda c: F.struct(F.col(f"{c}_d").alias("d"), F.col(f"{c}_u").alias("u"))
     pairs = found.select(F.least(node("a"), node("b")).alias("a"), F.greatest(node("a"), node("b")).alias("b"))
     return pairs.distinct()
