@@ -39,11 +39,17 @@ def kmeans_reference(train: DataFrame, features: str = "features", k: int = 5, s
     return np.array(model.clusterCenters()), sizes / sizes.sum()
 
 
-def background_summary(train: DataFrame, features: str = "features", seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Training rows as reference set; more than 100 rows become 20 weighted centres."""
-    rows = train.select(features).take(SUMMARY_FROM_ROWS + 1)
-    if len(rows) > SUMMARY_FROM_ROWS:
-        return kmeans_reference(train, features, SUMMARY_CENTRES, seed)
+def background_summary(
+    train: DataFrame,
+    features: str = "features",
+    seed: int = 0,
+    most_rows: int = SUMMARY_FROM_ROWS,
+    centres: int = SUMMARY_CENTRES,
+) -> tuple[np.ndarray, np.ndarray]:
+    """Training rows as reference set; more than ``most_rows`` become weighted centres (0: always centres)."""
+    rows = train.select(features).take(most_rows + 1)
+    if len(rows) > most_rows:
+        return kmeans_reference(train, features, centres, seed)
     return np.array([r[0] for r in rows]), np.full(len(rows), 1.0 / len(rows))
 
 

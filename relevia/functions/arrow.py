@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def matrix(column) -> np.ndarray:
@@ -57,26 +58,48 @@ def with_vector(
     return df.mapInArrow(run, f"{schema}, `{out}` {kind}")
 
 
+VECTOR_BLOCK = 65_536
+
+
 def sum_vectors(parts: DataFrame, column: str, width: int) -> np.ndarray:
     """Sum an array column over a table of per-task partial results.
 
-    Two levels: a few tasks, about the square root of the shuffle width, add up their
-    share, and the driver adds those few.
+    Vectors are cut into blocks. Tasks add up a block's parts in two levels, about the square
+    root of the shuffle width first, so that one vector in all reaches the driver.
     """
     shuffle_width = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     fan_in = max(1, math.ceil(math.sqrt(shuffle_width)))
+    schema = "block int, lane int, part array<double>"
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lane = np.random.default_rng().integers(fan_in)
+        for batch in batches:
+            for row in matrix(batch.column(0)) if batch.num_rows else ():
+                for block, start in enumerate(range(0, width, VECTOR_BLOCK)):
+                    part = row[None, start : start + VECTOR_BLOCK]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([block], pa.int32()), pa.array([lane], pa.int32()), lists(part)], names=["block", "lane", "part"]
+                    )
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        acc = np.zeros(width)
+        sums: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
-            if batch.num_rows:
-                acc += matrix(batch.column(0)).sum(axis=0)
-        yield pa.RecordBatch.from_arrays([lists(acc[None, :])], names=[column])
+            keys = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+            for i, key in enumerate(keys):
+                part = matrix(batch.column(2).slice(i, 1))[0]
+                sums[key] = sums[key] + part if key in sums else part
+        for (block, lane), part in sums.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([block], pa.int32()), pa.array([lane], pa.int32()), lists(part[None, :])], names=["block", "lane", "part"]
+            )
 
-    merged = parts.select(column).repartition(fan_in).mapInArrow(add, f"`{column}` array<double>")
+    blocks = math.ceil(width / VECTOR_BLOCK)
+    lanes = parts.select(column).mapInArrow(cut, schema).repartition(fan_in * blocks, "block", "lane").mapInArrow(add, schema)
+    merged = lanes.withColumn("lane", F.lit(0)).repartition(blocks, "block").mapInArrow(add, schema)
     acc = np.zeros(width)
     for row in merged.collect():
-        acc += np.asarray(row[0])
+        start = row["block"] * VECTOR_BLOCK
+        acc[start : start + len(row["part"])] += np.asarray(row["part"])
     return acc
 
 

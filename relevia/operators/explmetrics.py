@@ -225,11 +225,18 @@ def model_set_summary(
 
 
 def checked_rows(explanations: DataFrame, gold: DataFrame, row_id: str = "row_id") -> DataFrame:
-    """Explanations of the marked rows; fails when a marked row has no explanation."""
-    missing = gold.select(row_id).distinct().join(explanations.select(row_id), row_id, "left_anti").count()
-    if missing:
-        raise ValueError(f"{missing} marked rows have no explanation")
-    return explanations.join(gold.select(row_id).distinct(), row_id, "left_semi")
+    """Explanations of the marked rows; fails when a marked row has none, or not as many entries as marks."""
+    marks = gold.groupBy(row_id).agg(F.count(F.lit(1)).alias("_marks"))
+    entries = explanations.groupBy(row_id).agg(F.count(F.lit(1)).alias("_entries"))
+    found = marks.join(entries, row_id, "left").agg(
+        F.count_if(F.col("_entries").isNull()).alias("missing"),
+        F.count_if(F.col("_entries") != F.col("_marks")).alias("uneven"),
+    ).first()
+    if found["missing"]:
+        raise ValueError(f"{found['missing']} marked rows have no explanation")
+    if found["uneven"]:
+        raise ValueError(f"{found['uneven']} marked rows have more or fewer entries than marks")
+    return explanations.join(marks.select(row_id), row_id, "left_semi")
 
 
 def to_vectors(

@@ -464,7 +464,7 @@ CHECKS: dict[str, str] = {
     "oversample": _OVERSAMPLE,
     "group_map": f"WITH {GROUP_MAP} SELECT * FROM group_map",
     "groups_from_names": f"""WITH {GROUP_MAP} SELECT source_name, string_agg(CAST(enc_pos AS VARCHAR), ',' ORDER BY enc_pos) AS positions
-        FROM group_map WHERE enc_name LIKE '%\\_%' ESCAPE '\\' GROUP BY source_name""",
+        FROM group_map GROUP BY source_name""",
     "reorder": f"""WITH {JOURNAL} SELECT row_id, label, row_number() OVER (ORDER BY row_id DESC) - 1 AS position
         FROM journal WHERE {_IS_FRAUD}""",
     "orient": f"WITH {MODEL_SET} SELECT seed, row_id, {per_field('phi')} FROM model_set",

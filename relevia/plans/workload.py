@@ -124,8 +124,7 @@ def group_map(spark, folder):
 
 
 def groups_from_names(spark, folder):
-    names = group_map(spark, folder).where("enc_name LIKE '%\\_%'")
-    found = G.groups_from_names(names)
+    found = G.groups_from_names(group_map(spark, folder), keep=[*G.NAMES_WITH_UNDERSCORE, "n_lines"])
     return found.select("source_name", F.array_join("positions", ",").alias("positions"))
 
 
