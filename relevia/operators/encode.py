@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from relevia.functions import vectors as V
 from relevia.operators.ranking import RankSelector
+from relevia.session import materialize
 
 MISSING = "nan"
 UNSEEN_CODE = -1000000
@@ -39,22 +40,38 @@ def number_value(column: str) -> Column:
     return F.coalesce(F.col(f"`{column}`").cast("double"), F.lit(0.0))
 
 
-def fit_dictionary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, value, code): the distinct values of each column, coded in sorted order."""
+def distinct_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, value): the distinct values of each column."""
     cells = F.explode(
         F.array(*[F.struct(F.lit(c).alias("column"), text_value(c).alias("value")) for c in columns])
     )
-    distinct = df.select(cells.alias("s")).select("s.*").distinct()
-    order = Window.partitionBy("column").orderBy("value")
-    return distinct.withColumn("code", F.row_number().over(order) - 1)
+    return df.select(cells.alias("s")).select("s.*").distinct()
+
 
+def fit_dictionary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, value, code): the distinct values of each column, coded in sorted order, as a written table.
 
-def _literal_categories(dictionary: DataFrame, limit: int) -> dict[str, list[str]] | None:
-    rows = dictionary.take(limit + 1)
+    Values are cut into ranges and numbered inside them; a range's first code is the sum of the
+    ranges before it. So no task orders all values of a column, and codes stay as they were fitted.
+    """
+    ranges = distinct_values(df, columns).repartitionByRange("column", "value")
+    ranges = materialize(ranges.withColumn("_range", F.spark_partition_id()), "dictionary-ranges")
+    before = Window.partitionBy("column").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranges.groupBy("column", "_range").agg(F.count(F.lit(1)).alias("_size"))
+    sizes = sizes.select("column", "_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_first"))
+    inside = F.row_number().over(Window.partitionBy("column", "_range").orderBy("value")) - 1
+    coded = ranges.withColumn("_inside", inside).join(sizes, ["column", "_range"])
+    return materialize(coded.select("column", "value", (F.col("_first") + F.col("_inside")).alias("code")), "dictionary")
+
+
+def _literal_categories(distinct: DataFrame, limit: int) -> dict[str, list[str]] | None:
+    """Sorted values per column, or None if there are more than ``limit`` in all."""
+    rows = distinct.take(limit + 1)
     if len(rows) > limit:
         return None
     found: dict[str, list[str]] = {}
-    for row in sorted(rows, key=lambda r: (r["column"], r["code"])):
+    # code points order texts as their UTF-8 bytes do
+    for row in sorted(rows, key=lambda r: (r["column"], r["value"])):
         found.setdefault(row["column"], []).append(row["value"])
     return found
 
@@ -70,7 +87,7 @@ class OneHotEncoder:
         self.categories: dict[str, list[str]] = {}
 
     def fit(self, df: DataFrame) -> "OneHotEncoder":
-        found = _literal_categories(fit_dictionary(df, self.columns), MAX_ENCODED_WIDTH)
+        found = _literal_categories(distinct_values(df, self.columns), MAX_ENCODED_WIDTH)
         if found is None:
             raise ValueError(f"more than {MAX_ENCODED_WIDTH} categories: use OrdinalEncoder")
         self.categories = {c: found.get(c, []) for c in self.columns}
@@ -115,8 +132,9 @@ class OrdinalEncoder:
         self.categories: dict[str, list[str]] | None = None
 
     def fit(self, df: DataFrame) -> "OrdinalEncoder":
-        self.dictionary = fit_dictionary(df, self.columns)
-        self.categories = _literal_categories(self.dictionary, MAX_LITERAL_CATEGORIES)
+        self.categories = _literal_categories(distinct_values(df, self.columns), MAX_LITERAL_CATEGORIES)
+        if self.categories is None:
+            self.dictionary = fit_dictionary(df, self.columns)
         return self
 
     def expression(self) -> Column:

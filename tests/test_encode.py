@@ -121,3 +121,15 @@ def test_training_counts_are_kept(frame):
     sums = np.array(vectors(encoder.transform(frame))).sum(axis=0)
     counts = {r["v"]: r["count"] for r in frame.groupBy(F.coalesce("c", F.lit("nan")).alias("v")).count().collect()}
     assert sums.tolist() == [counts[v] for v in encoder.categories["c"]]
+
+
+def test_long_dictionary_keeps_its_codes(spark, monkeypatch):
+    monkeypatch.setattr(E, "MAX_LITERAL_CATEGORIES", 5)
+    names = [f"{c}{i}" for i in range(40) for c in "aZé"]
+    df = spark.createDataFrame([(n, "x" if i % 2 else None) for i, n in enumerate(names)], "a string, b string").repartition(6)
+    encoder = E.OrdinalEncoder(["a", "b"]).fit(df)
+    place = {v: i for i, v in enumerate(sorted(names))}
+    found = encoder.transform(df).collect()
+    assert all(r["features"] == [place[r["a"]], 1.0 if r["b"] == "x" else 0.0] for r in found)
+    back = encoder.inverse(encoder.transform(df).select("features")).collect()
+    assert {r["a"] for r in back} == set(names) and {r["b"] for r in back} == {"x", "nan"}
