@@ -40,7 +40,7 @@ def op4_token_output(spark, folder):
 
 
 def op5_line_dedup(spark, folder):
-    return line_dedup.line_report(table(spark, folder, "documents"))
+    return line_dedup.line_report(table(spark, folder, "documents"), bands=line_dedup.BANDS)
 
 
 def op6_quality(spark, folder):
