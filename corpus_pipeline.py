@@ -21,9 +21,13 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return scored.filter("`#score` >= 0.5").select(*docs.columns)
 
 
+#: Five words to a shingle; the two of the op3 query are a much looser test at the same similarity.
+NEAR = minhash_dedup.Method(percent=80, width=5)
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates; of rows that repeat an id and a text, one."""
-    report = materialize(minhash_dedup.near_duplicates(docs), "pipeline-near")
+    report = materialize(minhash_dedup.near_duplicates(docs, NEAR), "pipeline-near")
     kept = report.filter("kept").select(F.col("doc_id").alias("#kept")).distinct()
     stay = docs.join(kept, docs["doc_id"].eqNullSafe(kept["#kept"]), "left_semi")
     return stay.withColumn("#text", F.xxhash64("text")).dropDuplicates(["doc_id", "#text"]).select(*docs.columns)

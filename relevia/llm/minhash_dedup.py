@@ -1,7 +1,7 @@
 """MinHash near-dedup with odd sketches.
 
-1. A scan turns each text into its set of 2-word shingles (64-bit hashes) and keeps a
-   fingerprint of the set, its MinHash bands and its odd sketch: each MinHash sample flips one
+1. A scan turns each text into its set of shingles of ``width`` words (64-bit hashes; a text of
+   fewer words is one shingle) and keeps a fingerprint of the set, its MinHash bands and its odd sketch: each MinHash sample flips one
    bit of a small bitmap, so that the bits in which two bitmaps differ tell how many samples
    differ, most precisely where similarity is high.
 2. Rows with the same set are one class from here on, however many they are.
@@ -45,7 +45,7 @@ _HASHER = Hasher(seed=5)
 
 @dataclass(frozen=True)
 class Method:
-    """Similarity in percent, bands of samples, samples and bits of the odd sketch, classes per block."""
+    """Similarity in percent, bands of samples, samples and bits of the odd sketch, classes per block, words of a shingle."""
 
     percent: int = 80
     bands: int = 24
@@ -53,6 +53,7 @@ class Method:
     samples: int = 192
     bits: int = 512
     block: int = 512
+    width: int = 2
 
     @property
     def most_different_bits(self) -> int:
@@ -62,17 +63,20 @@ class Method:
         return math.ceil(self.bits / 2 * (1 - math.exp(-4 * self.samples * (1 - least) / self.bits)))
 
 
-def shingle_sets(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, sorted shingles of all texts, bounds) per slice: sets of 64-bit hashes of two words each."""
+def shingle_sets(column: pa.Array, width: int = 2) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, sorted shingles of all texts, bounds) per slice: sets of 64-bit hashes of ``width`` words each."""
     for first_row, data, starts in slices(column):
         words, bounds, _, _ = word_hashes(data, starts, _HASHER, NON_BLANK)
-        pairs = mix(words[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[1:]) if len(words) else words
+        runs = [words]
+        for size in range(2, width + 1):
+            runs.append(mix(runs[-1][:-1] * np.uint64(0x9E3779B97F4A7C15) + words[size - 1 :]) if len(words) >= size else words[:0])
         sets = []
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-            if b - a == 1:
-                sets.append(mix(words[a:b] ^ np.uint64(0x5851F42D4C957F2D)))
+            if 0 < b - a < width:
+                # a run that is a text of its own is no shingle of a longer one
+                sets.append(mix(runs[b - a - 1][a : a + 1] ^ np.uint64(0x5851F42D4C957F2D)))
                 continue
-            found = np.sort(pairs[a : max(a, b - 1)])
+            found = np.sort(runs[-1][a : max(a, b - width + 1)])
             sets.append(found[np.concatenate(([True], found[1:] != found[:-1]))] if len(found) else found)
         sizes = np.array([len(s) for s in sets])
         yield first_row, np.concatenate(sets), np.concatenate(([0], np.cumsum(sizes)))
@@ -120,7 +124,7 @@ def signatures(docs: DataFrame, method: Method, doc_id: str = "doc_id", text: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, values, bounds in shingle_sets(batch.column(1)):
+            for first, values, bounds in shingle_sets(batch.column(1), method.width):
                 sizes = np.diff(bounds)
                 full = np.flatnonzero(sizes)
                 bands, sketch = np.zeros((0, method.bands), np.int64), np.zeros((0, method.bits // 64), np.int64)
@@ -147,12 +151,12 @@ def _differing_bits(a: Column, b: Column) -> Column:
     return F.aggregate(counts, F.lit(0), lambda total, x: total + x)
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataFrame:
+def _sets_of(docs: DataFrame, wanted: DataFrame, width: int, doc_id: str, text: str) -> DataFrame:
     """``node, items``: the shingles of the wanted classes, from the text of one row of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, values, bounds in shingle_sets(batch.column(3)):
+            for first, values, bounds in shingle_sets(batch.column(3), width):
                 part = batch.slice(first, len(bounds) - 1)
                 f1, f2 = fingerprints(values, bounds)
                 # another row of the same doc_id may have another text
@@ -175,7 +179,7 @@ def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, method: Metho
     near = near.filter(_differing_bits(F.col("s_a"), F.col("s_b")) <= method.most_different_bits)
     near = materialize(near.select("a", "b", "n_a", "n_b"), "near-pairs")
     wanted = near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))).distinct()
-    sets = materialize(_sets_of(docs, classes.select("node", "f1", "f2").join(wanted, "node"), doc_id, text), "near-sets")
+    sets = materialize(_sets_of(docs, classes.select("node", "f1", "f2").join(wanted, "node"), method.width, doc_id, text), "near-sets")
     full = near.join(sets.select(F.col("node").alias("a"), F.col("items").alias("i_a")), "a")
     full = full.join(sets.select(F.col("node").alias("b"), F.col("items").alias("i_b")), "b")
     common = F.size(F.array_intersect("i_a", "i_b"))
@@ -244,7 +248,7 @@ def links_across(
     node = F.struct("d", "u").alias("node")
     active = materialize(active.select("key", node, "label"), "near-active")
     wanted = active.select("node").distinct()
-    sets = materialize(_sets_of(docs, classes.select("node", "f1", "f2").join(wanted, "node"), doc_id, text), "near-sets")
+    sets = materialize(_sets_of(docs, classes.select("node", "f1", "f2").join(wanted, "node"), method.width, doc_id, text), "near-sets")
     rows = tiles(active, method.block).join(parts, "node").join(sets, "node")
     rows = rows.select("key", "i", "j", "node.d", "node.u", "label", "n", "sketch", "bands", "items")
     found = rows.groupBy("key", "i", "j").applyInPandas(_joining_links(method), "a_d long, a_u long, b_d long, b_u long")

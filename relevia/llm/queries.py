@@ -32,7 +32,7 @@ def op2_token_counts(spark, folder):
 
 
 def op3_minhash_dedup(spark, folder):
-    return minhash_dedup.near_duplicates(table(spark, folder, "documents"))
+    return minhash_dedup.near_duplicates(table(spark, folder, "documents"), minhash_dedup.Method(width=2))
 
 
 def op4_token_output(spark, folder):

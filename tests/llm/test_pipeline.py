@@ -103,3 +103,34 @@ def test_stages_take_nulls_repeats_and_empty_tables(spark, folder):
             assert out.count() <= 2 * len(rows_in)
     near = C.drop_near_duplicates(spark, spark.createDataFrame(data, schema), folder)
     assert Counter(r.doc_id for r in near.collect()) == {1: 1, 2: 1, 3: 1, None: 1}
+
+
+def near_by_five(data):
+    """One doc_id of each component of texts whose 5-word shingle sets have a similarity of 0.8 or more."""
+    sets = []
+    for _, text in data:
+        w = re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    label = list(range(len(data)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and label[i] != label[j] and 10 * len(a & sets[j]) >= 8 * len(a | sets[j]):
+                label = [label[j] if x == label[i] else x for x in label]
+    return {min(doc for (doc, _), x in zip(data, label) if x == one) for one in set(label)}
+
+
+def test_near_duplicates_by_five_words(spark, tables, folder):
+    before = rows(tables[1])
+    assert sorted(rows(tables[2])) == sorted(r for r in before if r[0] in near_by_five(before))
+
+
+def test_lightly_edited_texts_stay(spark, folder):
+    """One word in 20 replaced: 2-word sets are above 0.8, 5-word sets below."""
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join(f"v{k}x{i}" if k and i % 20 == 10 else w for i, w in enumerate(base)) for k in (0, 1)]
+    texts += [" ".join(base[:-1] + ["end"]), "one two three", "One two  three", "one two", "one two three four"]
+    data = list(enumerate(texts))
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in data], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in C.drop_near_duplicates(spark, docs, folder).collect()}
+    assert kept == near_by_five(data) == {0, 1, 3, 5, 6}
+    assert {doc for doc, _, _, keep in brute_near(data) if keep} != kept
