@@ -46,15 +46,19 @@ def _byte_letters() -> list[str]:
 
 
 class Encoder:
-    """Encodes text columns; one per worker process, see ``shared``."""
+    """Encodes text columns; one per worker process, see ``shared``.
 
-    _shared: dict[str, Encoder] = {}
+    With ``literal`` the name of a special token inside a text is encoded as the characters it has.
+    """
 
-    def __init__(self, path: str, kept: int = KEPT_PIECES) -> None:
+    _shared: dict[tuple[str, bool], Encoder] = {}
+
+    def __init__(self, path: str, kept: int = KEPT_PIECES, literal: bool = False) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = literal
         self.letters = _byte_letters()
         self.line_end = self._whole("\n")
         self.hasher = Hasher(seed=7, fold_case=False)
@@ -62,10 +66,10 @@ class Encoder:
         self._clear()
 
     @classmethod
-    def shared(cls, path: str) -> Encoder:
-        if path not in cls._shared:
-            cls._shared[path] = cls(path)
-        return cls._shared[path]
+    def shared(cls, path: str, literal: bool = False) -> Encoder:
+        if (path, literal) not in cls._shared:
+            cls._shared[path, literal] = cls(path, literal=literal)
+        return cls._shared[path, literal]
 
     def _clear(self) -> None:
         size = 1 << (2 * self.kept - 1).bit_length()

@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from relevia.llm.encoder import Encoder, default_vocabulary
 from relevia.session import new_table_path
 
-#: The end id of the public vocabulary; no text contains it, so a scan may rely on it.
+#: The end id of the public vocabulary. A text may hold its name, which is encoded as ordinary text here,
+#: so the id is in no text and a scan may rely on it.
 END_ID = 50256
 BLOCK_BYTES = 8 << 20
 
@@ -35,12 +36,12 @@ def write_flat(docs: DataFrame, path: str, vocabulary: str | None = None, end_id
     vocabulary = vocabulary or default_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.shared(vocabulary)
+        encoder = Encoder.shared(vocabulary, literal=True)
         for batch in batches:
             for _, ids, counts in encoder.column(batch.column(0)):
                 if len(ids) and ids.max() >= 1 << 16:
                     raise ValueError("ids of this vocabulary do not fit 16 bits")
-                # an end id inside a text, from its literal name, must not split the document
+                # another vocabulary may give the end id to plain text, which must not split the document
                 if (ids == end_id).any():
                     raise ValueError(f"a text holds the end id {end_id}")
                 data = ids.astype("<u2").tobytes()

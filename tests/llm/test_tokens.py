@@ -112,3 +112,21 @@ def test_op2_query(spark, folder, library):
     texts = [r.text for r in spark.read.parquet(f"{folder}/documents.parquet").select("text").collect()]
     got = QUERIES["op2_token_counts"](spark, folder).orderBy("file", "doc_no").collect()
     assert sorted(r.n_tokens for r in got) == sorted(len(library(t)) + 1 for t in texts)
+
+
+NAMED = ["<|endoftext|>", "a<|endoftext|>b", "x  <|endoftext|>\n<|endoftext|><|endoftext|> é", " <|endoftext|> end", "no name"]
+
+
+def test_name_of_the_end_id_is_ordinary_text(spark, documents):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(default_vocabulary())
+    plain.encode_special_tokens = True
+    want = [plain.encode(t, add_special_tokens=False).ids for t in NAMED]
+    assert not any(separator_scan.END_ID in ids for ids in want)
+    encoder = Encoder(default_vocabulary(), literal=True)
+    got = [x.tolist() for _, ids, n in encoder.column(pa.array(NAMED)) for x in np.split(ids, np.cumsum(n)[:-1])]
+    assert got == want
+    counts = separator_scan.count_tokens(documents(list(enumerate(NAMED))).coalesce(1)).orderBy("file", "doc_no").collect()
+    assert [r.n_tokens for r in counts] == [len(ids) + 1 for ids in want]
+    assert all(r.ended for r in counts)
