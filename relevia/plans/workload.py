@@ -585,7 +585,7 @@ def shap_additive(spark, folder):
 
 def shap_kmeans(spark, folder):
     rows, train = _numeric_rows(spark, folder)
-    detector = IsolationForest.fit(train, n_estimators=32, max_samples=256)
+    detector = IsolationForest.fit(train)
     return _attributed(kernel_shap(rows, detector, kmeans_reference(train, k=5)), ["expected_value"])
 
 
@@ -672,7 +672,7 @@ def _all_and_train(spark, folder) -> tuple[DataFrame, DataFrame]:
 
 def isolation_forest(spark, folder):
     df, train = _all_and_train(spark, folder)
-    detector = IsolationForest.fit(train, n_estimators=32, max_samples=256)
+    detector = IsolationForest.fit(train)
     return rounded(detector.transform(df).select("row_id", "score"))
 
 
