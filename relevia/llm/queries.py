@@ -2,11 +2,27 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from relevia.llm import decontaminate, exact_dedup, line_dedup, minhash_dedup, mixing, pii, quality, separator_scan, token_parquet, url_filter
+from relevia.llm import (
+    decontaminate,
+    exact_dedup,
+    importance,
+    line_dedup,
+    minhash_dedup,
+    mixing,
+    periodic_runs,
+    pii,
+    pieces,
+    quality,
+    separator_scan,
+    token_parquet,
+    url_filter,
+)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -63,6 +79,31 @@ def op10_mixing(spark, folder):
     return mixing.mix(table(spark, folder, "documents"))
 
 
+def op11_importance(spark, folder):
+    return importance.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op12_sentencepiece(spark, folder):
+    return pieces.round_trip(table(spark, folder, "documents"))
+
+
+def repeated_tail(doc_id: int | None, n: int) -> np.ndarray | None:
+    """Fixed by the query: one document in ten, by its id, repeats a stretch of its words to the end."""
+    h = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
+    if h % 10 or not n:
+        return None
+    g = h // 10
+    a = g % n
+    period = 1 + (n - a) // (3 + g % 8)
+    numbers = np.arange(n)
+    numbers[a:] = a + (numbers[a:] - a) % period
+    return numbers
+
+
+def op13_periodic_runs(spark, folder):
+    return periodic_runs.run_report(table(spark, folder, "documents"), rewrite=repeated_tail)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_token_counts": op2_token_counts,
@@ -74,6 +115,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_mixing": op10_mixing,
+    "op11_importance": op11_importance,
+    "op12_sentencepiece": op12_sentencepiece,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 CHECKS: dict[str, str] = {
