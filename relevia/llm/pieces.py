@@ -21,6 +21,7 @@ an empty table gives an empty result, and only the two named columns are read.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -205,6 +206,25 @@ class Pieces:
     end: np.ndarray
 
 
+class Strings:
+    """A table of short byte strings, put together in the order of given numbers."""
+
+    def __init__(self, values: list[bytes]) -> None:
+        self.flat = np.frombuffer(b"".join(values), dtype=np.uint8)
+        self.size = np.array([len(v) for v in values], dtype=np.int64)
+        self.begin = np.cumsum(self.size) - self.size
+
+    def runs(self, numbers: np.ndarray, counts: np.ndarray) -> list[bytes]:
+        """The strings of each run of numbers, end to end."""
+        size = self.size[numbers]
+        stop = np.cumsum(size)
+        move = np.repeat(self.begin[numbers] - stop + size, size)
+        move += np.arange(len(move))
+        whole = self.flat[move].tobytes()
+        ends = np.concatenate(([0], stop))[np.cumsum(counts)].tolist()
+        return [whole[a:b] for a, b in zip([0, *ends], ends)]
+
+
 class PieceEncoder:
     """Encodes text columns; one per worker process, see ``shared``."""
 
@@ -233,9 +253,9 @@ class PieceEncoder:
         self.is_byte = np.array([k == 6 for k in kinds])
         self.plain = np.array([k in (1, 5) for k in kinds])
         surface = [bytes([int(p.piece[1:-1], 16)]) if p.type == 6 else p.piece.replace(SYMBOL, " ").encode() for p in proto.pieces]
-        self.surface = pa.array(surface, pa.binary())
+        self.surface = Strings(surface)
         self.blank_first = np.array([s.startswith(b" ") for s in surface]) & self.plain
-        self.decimal = pa.array([str(i) for i in range(len(kinds))])
+        self.decimal = Strings([b"%d," % i for i in range(len(kinds))])
         self._clear()
 
     @classmethod
@@ -245,7 +265,7 @@ class PieceEncoder:
         return cls._shared[path]
 
     def _clear(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.known: dict[str, int] = {}
         self.known_bytes = 0
         self.begin = np.zeros(1 << 10, dtype=np.int64)
         self.count = np.zeros(1 << 10, dtype=np.int64)
@@ -258,24 +278,45 @@ class PieceEncoder:
         while self.pool.shape[1] < pieces:
             self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)), axis=1)
 
-    def _learn(self, chunks: list[bytes]) -> None:
-        for chunk, proto in zip(chunks, self.chunks.encode([c.decode() for c in chunks], return_type="proto", num_threads=1)):
-            rows = np.array([(p.id, p.begin, p.end) for p in proto.pieces], dtype=np.int32).reshape(-1, 3).T
-            number = len(self.known)
-            self._room(number + 1, self.used + rows.shape[1])
-            self.known[chunk] = number
-            self.known_bytes += len(chunk)
-            self.begin[number], self.count[number] = self.used, rows.shape[1]
-            self.pool[:, self.used : self.used + rows.shape[1]] = rows
-            self.used += rows.shape[1]
-
-    def _numbers(self, distinct: list[bytes]) -> np.ndarray:
+    def _learn(self, chunks: list[str]) -> None:
+        coded = self.chunks.encode(chunks, return_type=int, num_threads=1)
+        count = np.fromiter(map(len, coded), dtype=np.int64, count=len(coded))
+        ids = np.fromiter(itertools.chain.from_iterable(coded), dtype=np.int32, count=int(count.sum()))
+        data = np.frombuffer("".join(chunks).encode(), dtype=np.uint8)
+        end = np.cumsum(self.surface.size[ids])
+        lost = not (self.plain[ids] | self.is_byte[ids]).all()
+        if lost:
+            # what an unknown id stands for is only known to the library
+            protos = self.chunks.encode(chunks, return_type="proto", num_threads=1)
+            end = np.cumsum([p.end - p.begin for proto in protos for p in proto.pieces])
+        start = np.concatenate(([0], end[:-1])) if len(end) else end
+        if not lost:
+            # bytes of one character: the last one stands for it, the others for nothing
+            at = np.flatnonzero(self.is_byte[ids])
+            heads = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+            char = np.searchsorted(heads, start[at], side="right") - 1
+            end[at] = np.where(end[at] == heads[char + 1], end[at], heads[char])
+            start[at] = heads[char]
+        size = np.fromiter((len(c.encode()) for c in chunks), dtype=np.int64, count=len(chunks))
+        base = np.repeat(np.cumsum(size) - size, count)
+        number = len(self.known)
+        self._room(number + len(chunks), self.used + len(ids))
+        self.known.update(zip(chunks, range(number, number + len(chunks))))
+        self.known_bytes += int(size.sum())
+        self.begin[number : number + len(chunks)] = self.used + np.cumsum(count) - count
+        self.count[number : number + len(chunks)] = count
+        self.pool[:, self.used : self.used + len(ids)] = ids, start - base, end - base
+        self.used += len(ids)
+
+    def _numbers(self, distinct: list[str]) -> np.ndarray:
         if len(self.known) > KEPT_CHUNKS or self.known_bytes > KEPT_BYTES:
             self._clear()
-        fresh = [c for c in distinct if c not in self.known]
+        numbers = list(map(self.known.get, distinct))
+        fresh = [c for c, k in zip(distinct, numbers) if k is None]
         if fresh:
             self._learn(fresh)
-        return np.array([self.known[c] for c in distinct], dtype=np.int64)
+            numbers = list(map(self.known.get, distinct))
+        return np.array(numbers, dtype=np.int64)
 
     def _slice(self, first: int, data: np.ndarray, starts: np.ndarray) -> Pieces:
         surface, begin, offset, tail = self.normalizer.slice(data, starts)
@@ -288,11 +329,11 @@ class PieceEncoder:
         text = np.searchsorted(begin, heads, side="right") - 1
         # Arrow finds the distinct chunks, comparing bytes
         bounds = np.append(heads, len(surface)).astype(np.int32 if len(surface) < 1 << 31 else np.int64)
-        kind = pa.binary() if bounds.dtype == np.int32 else pa.large_binary()
+        kind = pa.string() if bounds.dtype == np.int32 else pa.large_string()
         chunks = pa.Array.from_buffers(kind, len(heads), [None, pa.py_buffer(bounds), pa.py_buffer(surface)])
         used = np.flatnonzero(size[text] > 1)
         coded = chunks.take(pa.array(used)).dictionary_encode() if len(used) < len(heads) else chunks.dictionary_encode()
-        number = self._numbers(coded.dictionary.to_pylist())[np.asarray(coded.indices)]
+        number = self._numbers(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[np.asarray(coded.indices)]
         heads, text = heads[used], text[used]
         count = self.count[number]
         step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
@@ -318,9 +359,8 @@ class PieceEncoder:
         Ids of plain pieces and whole characters in bytes are looked up; any other run (control
         or unknown ids, broken characters, no blank first) goes to the library.
         """
-        offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
-        runs = pa.ListArray.from_arrays(pa.array(offsets), self.surface.take(pa.array(ids)))
-        joined = pc.binary_join(runs, b"").to_pylist()
+        offsets = np.concatenate(([0], np.cumsum(counts)))
+        joined = self.surface.runs(ids, counts)
         usual = self.plain[ids] | self.is_byte[ids]
         odd = np.bincount(np.repeat(np.arange(len(counts)), counts)[~usual], minlength=len(counts)) > 0
         filled = np.flatnonzero(counts)
@@ -339,9 +379,7 @@ class PieceEncoder:
 
     def digests(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
         """SHA-256 of each run's decimal ids, joined by commas."""
-        offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(offsets), self.decimal.take(pa.array(ids)))
-        return [hashlib.sha256(s).hexdigest() for s in pc.binary_join(lists, ",").cast(pa.binary()).to_pylist()]
+        return [hashlib.sha256(s[:-1]).hexdigest() for s in self.decimal.runs(ids, counts)]
 
 
 def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
