@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,6 +48,32 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL_FOLDERS[context.applicationId]
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+SMALL_BATCH = 8 << 20
+
+
+def bound_batches(spark: SparkSession, size: int = SMALL_BATCH) -> str:
+    """Let rows with whole texts reach Python in batches of at most so many bytes (a longer row is one batch).
+
+    Returns the setting as it was. Batches that are smaller already stay as they are.
+    """
+    before = spark.conf.get(BATCH_BYTES)
+    now = int(re.sub(r"\D", "", before)) if re.fullmatch(r"\d+b?", before) else 0
+    if now <= 0 or now > size:
+        spark.conf.set(BATCH_BYTES, f"{size}b")
+    return before
+
+
+@contextmanager
+def small_batches(spark: SparkSession, size: int = SMALL_BATCH) -> Iterator[None]:
+    """The same for the actions inside the block only."""
+    before = bound_batches(spark, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_BYTES, before)
+
+
 def new_table_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other run uses."""
     return f"{shared_folder(spark)}/relevia/{name}-{uuid.uuid4().hex}"
