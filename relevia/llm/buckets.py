@@ -32,32 +32,40 @@ def _near_pairs(near: Near):
         return pa.RecordBatch.from_arrays([pa.array(x) for x in (d[left], u[left], d[right], u[right])], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            if held is not None:
-                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-            if not batch.num_rows:
-                continue
-            group = np.stack([batch.column(c).to_numpy() for c in ("key", "i", "j")])
-            starts = np.flatnonzero((group[:, 1:] != group[:, :-1]).any(axis=0)) + 1
-            done = int(starts[-1]) if len(starts) else 0
-            if done:
-                yield pairs(batch.slice(0, done), [0, *starts.tolist()])
-            held = batch.slice(done)
-        if held is not None and held.num_rows:
-            yield pairs(held, [0, held.num_rows])
+        for batch, bounds in grouped(batches):
+            yield pairs(batch, bounds)
 
     return run
 
 
-def tiles(members: DataFrame, block: int) -> DataFrame:
+def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[int]]]:
+    """Rows sorted by group (key, i, j), cut between groups: whole groups and where each begins and the last ends."""
+    held = None
+    for batch in batches:
+        if held is not None:
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        if not batch.num_rows:
+            continue
+        group = np.stack([batch.column(c).to_numpy() for c in ("key", "i", "j")])
+        starts = np.flatnonzero((group[:, 1:] != group[:, :-1]).any(axis=0)) + 1
+        done = int(starts[-1]) if len(starts) else 0
+        if done:
+            yield batch.slice(0, done), [0, *starts.tolist()]
+        held = batch.slice(done)
+    if held is not None and held.num_rows:
+        yield held, [0, held.num_rows]
+
+
+def tiles(members: DataFrame, block: int, weight: str | None = None, most_weight: int = 1) -> DataFrame:
     """``key, node, label, i, j``: members of buckets with several labels, once per pair of blocks to compare.
 
     Only classes with different labels are of interest, so the members with a bucket's most common
     label meet the others but not each other. Members are cut into blocks of about ``block``; a
-    group (key, i, j) has at most two blocks' rows, whatever the bucket's size.
+    group (key, i, j) has at most two blocks' rows, whatever the bucket's size. With a ``weight``
+    column a block is also of at most about ``most_weight``, so rows that are large come in smaller blocks.
     """
-    sizes = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m"))
+    one = F.lit(1.0) if weight is None else F.greatest(F.lit(1.0), F.col(weight) * (block / most_weight))
+    sizes = members.groupBy("key", "label").agg(F.sum(one).alias("m"))
     mixed = sizes.groupBy("key").agg(
         F.count(F.lit(1)).alias("labels"), F.max_by("label", "m").alias("main"), F.max("m").alias("most"), F.sum("m").alias("all")
     )

@@ -24,17 +24,20 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relevia.session import materialize
+from relevia.session import materialize, small_batches
 
 #: Packed bytes that a bucket should hold at most; one key alone may exceed it.
 BUCKET_BYTES = 64 << 20
 #: Directories have at most so many bits.
 MOST_BITS = 22
+#: What normalisation deletes: `[\\x20\\x09-\\x0D]`.
+BLANK_BYTES = b"\x20\x09\x0a\x0b\x0c\x0d"
 
 RECORDS = (
     "doc_id long, task long, local int, row int, sha binary, "
@@ -45,16 +48,16 @@ INDEX = "task long, local int, key long, chain int, n long, best_chars long, bes
 
 def records(docs: DataFrame, key_bits: int = 63, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One record per row; the first row of a batch-local group also has the group's text and totals."""
-    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1).compress
         task = uuid.uuid4().int >> 65
         at = 0
         for batch in batches:
-            ids, chars = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            whole = pc.fill_null(batch.column(1), "")
+            ids, chars = batch.column(0).to_pylist(), pc.utf8_length(whole).to_pylist()
             groups: dict[bytes, int] = {}
-            local = [groups.setdefault(t, len(groups)) for t in batch.column(2).cast(pa.binary()).to_pylist()]
+            # one text at a time is in hand; only a group's first stays
+            local = [groups.setdefault(t.as_buffer().to_pybytes().translate(None, BLANK_BYTES), len(groups)) for t in whole.cast(pa.binary())]
             sha = [hashlib.sha256(t).digest() for t in groups]
             best, n, first = {}, [0] * len(groups), {}
             for row, g in enumerate(local):
@@ -85,11 +88,7 @@ def records(docs: DataFrame, key_bits: int = 63, doc_id: str = "doc_id", text: s
             )
             at += len(groups)
 
-    rows = docs.select(
-        F.col(doc_id).cast("long").alias("doc_id"),
-        F.char_length(whole).cast("long").alias("n_chars"),
-        F.regexp_replace(whole, "[\\x20\\x09-\\x0D]+", "").alias("norm"),
-    )
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(run, RECORDS)
 
 
@@ -184,7 +183,8 @@ def exact_dedup(
 
     Of equal texts the one with most code points stays, then the smallest doc_id.
     """
-    found = materialize(records(docs, key_bits, doc_id, text), "hash-records")
+    with small_batches(docs.sparkSession):
+        found = materialize(records(docs, key_bits, doc_id, text), "hash-records")
     index = build_index(found, key_bits, bucket_bytes).drop("packed")
     best = F.min(F.struct(-F.col("best_chars"), F.col("best_id").isNull(), "best_id", "task", "local", "best_row"))
     classes = index.groupBy("key", "chain").agg(F.sum("n").alias("group_size"), best.alias("best"))

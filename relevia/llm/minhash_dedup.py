@@ -14,8 +14,9 @@
    then these on their full sets. A task joins components as it goes, and only the links that
    join some leave it, fewer than it has classes.
 
-With 24 bands of 4 samples a pair at the threshold of 0.8 is missed with probability 3e-6, at
-0.85 with 2e-8. Sketches let a pair pass down to five standard errors below the threshold.
+With 24 bands of 4 samples a pair at the threshold of 0.8 shares no band with probability 3e-6, at
+0.85 with 2e-8. The sketch bound lies five standard errors, of the samples and of the bitmap's
+collisions together, above the bits that differ at the threshold; a pair fails it with less than 1e-6.
 
 Nulls: a null text has no words; texts without words have an empty set and are linked with
 nothing. A null doc_id is a row like others and comes last where the smallest counts. Repeated
@@ -34,13 +35,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relevia.llm.buckets import mixed_rows, tiles
+from relevia.llm.buckets import grouped, mixed_rows, tiles
 from relevia.llm.components import connected_components
 from relevia.llm.textkit import NON_BLANK, Hasher, list_array, mix, slices, word_hashes
-from relevia.session import materialize
+from relevia.session import materialize, small_batches
 
 _LAST = (1 << 63) - 1
 _HASHER = Hasher(seed=5)
+#: Shingles of the full sets in one block, 16 MB.
+BLOCK_ITEMS = 1 << 21
 
 
 @dataclass(frozen=True)
@@ -57,10 +60,18 @@ class Method:
 
     @property
     def most_different_bits(self) -> int:
-        """Bits that may differ at five standard errors below the threshold."""
+        """Bits that may differ at the threshold: their mean and five standard errors.
+
+        The variance is that of the number of differing samples, through the slope of the mean, and
+        that of the parities of a bitmap into which so many (twice the samples that differ) are thrown.
+        """
         similarity = self.percent / 100
-        least = similarity - 5 * math.sqrt(similarity * (1 - similarity) / self.samples)
-        return math.ceil(self.bits / 2 * (1 - math.exp(-4 * self.samples * (1 - least) / self.bits)))
+        thrown = 2 * self.samples * (1 - similarity)
+        mean = self.bits / 2 * (1 - math.exp(-2 * thrown / self.bits))
+        slope = 2 * math.exp(-2 * thrown / self.bits)
+        sampling = slope**2 * self.samples * similarity * (1 - similarity)
+        parity = self.bits / 4 * (1 - math.exp(-4 * thrown / self.bits))
+        return math.ceil(mean + 5 * math.sqrt(sampling + parity))
 
 
 def shingle_sets(column: pa.Array, width: int = 2) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -186,11 +197,9 @@ def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, method: Metho
     return full.filter(100 * common >= method.percent * (F.col("n_a") + F.col("n_b") - common)).select("a", "b")
 
 
-def _pairs_to_check(frame, method: Method) -> Iterator[tuple[int, np.ndarray]]:
+def _pairs_to_check(key: int, n: np.ndarray, sketch: np.ndarray, bands: np.ndarray, method: Method) -> Iterator[tuple[int, np.ndarray]]:
     """(row, later rows) that are near by sketch, with the bucket's key as the first that both share."""
-    n, sketch = frame["n"].to_numpy(), np.stack(frame["sketch"].to_numpy()).view(np.uint64)
-    bands, key = np.stack(frame["bands"].to_numpy()), frame["key"].iloc[0]
-    for i in range(len(frame) - 1):
+    for i in range(len(n) - 1):
         rest = slice(i + 1, None)
         found = np.bitwise_count(sketch[rest] ^ sketch[i]).sum(axis=1) <= method.most_different_bits
         found &= 100 * np.minimum(n[rest], n[i]) >= method.percent * np.maximum(n[rest], n[i])
@@ -200,17 +209,30 @@ def _pairs_to_check(frame, method: Method) -> Iterator[tuple[int, np.ndarray]]:
             yield i, later[bands[i][first] == key]
 
 
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Each group (key, i, j) of sorted rows, its classes once: (rows, key, n, sketch, bands)."""
+    for batch, bounds in grouped(batches):
+        node = np.stack([batch.column("d").to_numpy(), batch.column("u").to_numpy()])
+        for first, last in zip(bounds[:-1], bounds[1:]):
+            once = np.sort(np.unique(node[:, first:last], axis=1, return_index=True)[1])
+            part = batch.slice(first, last - first)
+            part = part.take(pa.array(once)) if len(once) < last - first else part
+            wide = lambda c: part.column(c).flatten().to_numpy().reshape(part.num_rows, -1)  # noqa: E731, B023
+            yield part, part.column("key")[0].as_py(), part.column("n").to_numpy(), wide("sketch").view(np.uint64), wide("bands")
+
+
 def _active(method: Method):
     """Classes of a group with a near class in another component."""
 
-    def run(frame):
-        frame = frame.drop_duplicates(["d", "u"]).reset_index(drop=True)
-        label, keep = frame["label"].to_numpy(), np.zeros(len(frame), dtype=bool)
-        for i, later in _pairs_to_check(frame, method):
-            later = later[label[later] != label[i]]
-            keep[later] = True
-            keep[i] |= len(later) > 0
-        return frame.loc[keep, ["key", "d", "u", "label"]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, key, n, sketch, bands in _groups(batches):
+            label, keep = part.column("label").to_numpy(), np.zeros(len(n), dtype=bool)
+            for i, later in _pairs_to_check(key, n, sketch, bands, method):
+                later = later[label[later] != label[i]]
+                keep[later] = True
+                keep[i] |= len(later) > 0
+            if keep.any():
+                yield part.select(["key", "d", "u", "label", "n"]).filter(pa.array(keep))
 
     return run
 
@@ -218,25 +240,35 @@ def _active(method: Method):
 def _joining_links(method: Method):
     """Links of a group that join components, confirmed on the full sets."""
 
-    def run(frame):
-        frame = frame.drop_duplicates(["d", "u"]).reset_index(drop=True)
-        label = frame["label"].to_numpy().copy()
-        sets = [np.asarray(x) for x in frame["items"]]
-        links = []
-        for i, later in _pairs_to_check(frame, method):
-            for j in later.tolist():
-                if label[i] != label[j]:
-                    common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                    if 100 * common >= method.percent * (len(sets[i]) + len(sets[j]) - common):
-                        links.append((i, j))
-                        label[label == label[j]] = label[i]
-        left, right = frame.iloc[[a for a, _ in links]], frame.iloc[[b for _, b in links]]
-        columns = {"a_d": left["d"], "a_u": left["u"], "b_d": right["d"], "b_u": right["u"]}
-        return type(frame)({name: values.to_numpy() for name, values in columns.items()}, dtype="int64")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, key, n, sketch, bands in _groups(batches):
+            label = part.column("label").to_numpy().copy()
+            # all sets of the group as one array, each sorted
+            items, bounds = part.column("items").values.to_numpy(), part.column("items").offsets.to_numpy()
+            links = []
+            for i, later in _pairs_to_check(key, n, sketch, bands, method):
+                own = items[bounds[i] : bounds[i + 1]]
+                for j in later.tolist():
+                    if label[i] != label[j]:
+                        other = items[bounds[j] : bounds[j + 1]]
+                        common = len(np.intersect1d(own, other, assume_unique=True))
+                        if 100 * common >= method.percent * (len(own) + len(other) - common):
+                            links.append((i, j))
+                            label[label == label[j]] = label[i]
+            if links:
+                left, right = (part.take(pa.array([link[side] for link in links])) for side in (0, 1))
+                columns = [x.column(c) for x in (left, right) for c in ("d", "u")]
+                yield pa.RecordBatch.from_arrays(columns, names=["a_d", "a_u", "b_d", "b_u"])
 
     return run
 
 
+def _in_groups(rows: DataFrame) -> DataFrame:
+    """Rows dealt and sorted by group, so that a task holds one group at a time."""
+    width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(width, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+
 def links_across(
     buckets: DataFrame, classes: DataFrame, labels: DataFrame, docs: DataFrame, method: Method, doc_id: str, text: str
 ) -> DataFrame:
@@ -244,21 +276,22 @@ def links_across(
     parts = classes.select("node", "n", "sketch", "bands")
     rows = mixed_rows(buckets, labels, method.block).join(parts, "node")
     rows = rows.select("key", "i", "j", "node.d", "node.u", F.xxhash64("label").alias("label"), "n", "sketch", "bands")
-    active = rows.groupBy("key", "i", "j").applyInPandas(_active(method), "key long, d long, u long, label long").distinct()
+    active = _in_groups(rows).mapInArrow(_active(method), "key long, d long, u long, label long, n long").distinct()
     node = F.struct("d", "u").alias("node")
-    active = materialize(active.select("key", node, "label"), "near-active")
+    active = materialize(active.select("key", node, "label", "n"), "near-active")
     wanted = active.select("node").distinct()
     sets = materialize(_sets_of(docs, classes.select("node", "f1", "f2").join(wanted, "node"), method.width, doc_id, text), "near-sets")
-    rows = tiles(active, method.block).join(parts, "node").join(sets, "node")
+    rows = tiles(active, method.block, "n", BLOCK_ITEMS).join(parts, "node").join(sets, "node")
     rows = rows.select("key", "i", "j", "node.d", "node.u", "label", "n", "sketch", "bands", "items")
-    found = rows.groupBy("key", "i", "j").applyInPandas(_joining_links(method), "a_d long, a_u long, b_d long, b_u long")
+    with small_batches(rows.sparkSession):
+        links = _in_groups(rows).mapInArrow(_joining_links(method), "a_d long, a_u long, b_d long, b_u long")
+        found = materialize(links, "near-joining")
     side = lambda c: F.struct(F.col(f"{c}_d").alias("d"), F.col(f"{c}_u").alias("u")).alias(c)
     return found.select(side("a"), side("b"))
 
 
-def near_duplicates(docs: DataFrame, method: Method | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every row; see the module."""
-    method = method or Method()
+def _labelled(docs: DataFrame, method: Method, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Every row's ``doc_id, n, f1, f2``, and ``f1, f2, n, label`` of every set that is not empty."""
     rows = materialize(signatures(docs, method, doc_id, text), "near-rows")
     known = F.coalesce("doc_id", F.lit(_LAST))
     # rows with the same set: the order of classes is that of their smallest doc_id
@@ -278,11 +311,53 @@ def near_duplicates(docs: DataFrame, method: Method | None = None, doc_id: str =
     more = materialize(links_across(several, classes, labels, docs, method, doc_id, text), "near-links")
     if not more.isEmpty():
         labels = connected_components(links.union(more), "near")
-
     named = classes.select("f1", "f2", "n", "node").join(labels, "node", "left")
-    named = named.select("f1", "f2", "n", F.coalesce("label", "node")["d"].alias("least"))
+    return rows, named.select("f1", "f2", "n", F.coalesce("label", "node").alias("label"))
+
+
+def near_duplicates(docs: DataFrame, method: Method | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` for every row; see the module."""
+    rows, named = _labelled(docs, method or Method(), doc_id, text)
+    named = named.select("f1", "f2", "n", F.col("label")["d"].alias("least"))
     # the empty set has a fingerprint of its own but no class
     out = rows.select("doc_id", "n", "f1", "f2").join(named, ["f1", "f2", "n"], "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.nullif("least", F.lit(_LAST)))
     out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def fingerprint_column(method: Method, text: str = "text") -> Column:
+    """The fingerprint (two longs) of a text's shingles; only texts go to Python."""
+
+    @F.arrow_udf("array<long>")
+    def fingerprint(texts: pa.Array) -> pa.Array:
+        found = [np.stack(fingerprints(v, b), axis=1) for _, v, b in shingle_sets(texts, method.width)]
+        flat = np.concatenate([np.zeros((0, 2), np.int64), *found])
+        return list_array(flat.ravel(), np.full(len(flat), 2), pa.int64())
+
+    return fingerprint(F.col(f"`{text}`").cast("string"))
+
+
+def keep_one(docs: DataFrame, method: Method | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each group of near-duplicates: of the smallest doc_id (null last), whatever other rows have that id.
+
+    Texts without words are in no group; of their rows that repeat an id, one stays. All columns stay.
+    """
+    method = method or Method()
+    rows, named = _labelled(docs, method, doc_id, text)
+    own = F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"))
+    first = rows.filter("n > 0").groupBy("f1", "f2", "n").agg(F.min(own).alias("own")).join(named, ["f1", "f2", "n"])
+    first = first.groupBy("label").agg(F.min(F.struct("own.no_id", "own.id", "f1", "f2")).alias("row")).select("row.*")
+    empty = rows.filter("n = 0").select(own.alias("own"), "f1", "f2").select("own.*", "f1", "f2").distinct()
+    stay = first.unionByName(empty)
+    number = F.col(f"`{doc_id}`").cast("long")
+    keyed = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
+        number.isNull().alias("no_id"),
+        F.coalesce(number, F.lit(0)).alias("id"),
+        fingerprint_column(method, text).alias("f"),
+    )
+    keyed = keyed.select("doc", "no_id", "id", F.col("f")[0].alias("f1"), F.col("f")[1].alias("f2"))
+    keys = ["no_id", "id", "f1", "f2"]
+    # rows that repeat an id and a set are one before they meet anything
+    return keyed.groupBy(*keys).agg(F.first("doc").alias("doc")).join(stay, keys, "left_semi").select("doc.*")

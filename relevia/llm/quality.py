@@ -184,6 +184,16 @@ def score_documents(docs: DataFrame, model: QualityModel, column: str = "score",
     return kept.mapInArrow(run, kept.withColumn(column, F.lit(0.0)).schema)
 
 
+def score_column(model: QualityModel, text: str = "text") -> Column:
+    """The score as a column: only texts go to Python and only scores come back; other columns stay in the JVM."""
+
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        return pa.array(np.concatenate([np.zeros(0), *(model.score(x) for _, x in text_features(texts))]))
+
+    return score(F.col(text).cast("string"))
+
+
 def quality_report(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every row."""
     model = fit_quality(docs, labels, doc_id=doc_id, text=text, **options)

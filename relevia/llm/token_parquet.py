@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from relevia.llm.encoder import Encoder, default_vocabulary
 from relevia.llm.textkit import list_array
-from relevia.session import new_table_path
+from relevia.session import new_table_path, small_batches
 
 SCHEMA = "doc_id long, tokens array<int>"
 
@@ -82,7 +82,8 @@ def write_tokens(
         .sortWithinPartitions("doc_id")
     )
     tokens = encode(ordered, vocabulary or default_vocabulary(), end_id)
-    tokens.write.options(**(layout or Layout()).options()).parquet(path)
+    with small_batches(docs.sparkSession):
+        tokens.write.options(**(layout or Layout()).options()).parquet(path)
     return path
 
 
