@@ -3,6 +3,7 @@
 Each stage takes (spark, docs, sf_dir) and all that the stage before it kept, and returns a table that
 is written as Parquet and read again as the next stage's documents. All but the last return the
 columns of documents. Nulls, empty texts and repeated rows are treated as the operators say.
+The stages bound the session's Arrow batches by bytes, as whole texts pass through Python workers.
 """
 
 from __future__ import annotations
@@ -11,14 +12,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from relevia.llm import decontaminate, minhash_dedup, mixing, quality, token_parquet
-from relevia.session import materialize
+from relevia.session import bound_batches, materialize
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores at 0.5 or more; it learns from the labels of ``docs``."""
+    bound_batches(spark)
     model = quality.fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = quality.score_documents(docs, model, "#score")
-    return scored.filter("`#score` >= 0.5").select(*docs.columns)
+    return docs.filter(quality.score_column(model) >= 0.5)
 
 
 #: Five words to a shingle; the two of the op3 query are a much looser test at the same similarity.
@@ -26,15 +27,14 @@ NEAR = minhash_dedup.Method(percent=80, width=5)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates; of rows that repeat an id and a text, one."""
-    report = materialize(minhash_dedup.near_duplicates(docs, NEAR), "pipeline-near")
-    kept = report.filter("kept").select(F.col("doc_id").alias("#kept")).distinct()
-    stay = docs.join(kept, docs["doc_id"].eqNullSafe(kept["#kept"]), "left_semi")
-    return stay.withColumn("#text", F.xxhash64("text")).dropDuplicates(["doc_id", "#text"]).select(*docs.columns)
+    """One document of each group of near-duplicates; other rows of its doc_id go by their own groups."""
+    bound_batches(spark)
+    return minhash_dedup.keep_one(docs, NEAR)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages of benchmark items; those that are mostly such passages go."""
+    bound_batches(spark)
     return decontaminate.remove_spans(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -56,6 +56,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of all documents, and their index read back from the files."""
+    bound_batches(spark)
     return token_parquet.write_and_index(docs)
 
 
