@@ -10,6 +10,7 @@ so results equal the library's on every text.
 
 from __future__ import annotations
 
+import itertools
 import os
 from collections.abc import Iterator
 
@@ -109,20 +110,27 @@ class Encoder:
         return slot, found
 
     def _learn(self, data: np.ndarray, keys, starts, ends, spaces) -> None:
-        for key, start, end, space in zip(keys.tolist(), starts.tolist(), ends.tolist(), spaces.tolist()):
-            ids = self._piece(data[start:end].tobytes().decode("utf-8", "replace"), space)
-            while self.used + len(ids or ()) > len(self.pool):
-                self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
-            slot = key & int(self.mask)
-            while self.keys[slot]:
-                slot = (slot + 1) & int(self.mask)
-            self.keys[slot] = key
-            self.begin[slot] = self.used
-            self.count[slot] = -1 if ids is None else len(ids)
-            if ids:
-                self.pool[self.used : self.used + len(ids)] = ids
-                self.used += len(ids)
+        whole = data.tobytes()
+        bounds = zip(starts.tolist(), ends.tolist(), spaces.tolist())
+        found = [self._piece(whole[start:end].decode("utf-8", "replace"), space) for start, end, space in bounds]
+        sizes = np.fromiter((-1 if ids is None else len(ids) for ids in found), dtype=np.int32, count=len(found))
+        room = np.maximum(sizes, 0).astype(np.int64)
+        flat = np.fromiter(itertools.chain.from_iterable(ids or () for ids in found), dtype=np.int32, count=int(room.sum()))
+        while self.used + len(flat) > len(self.pool):
+            self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
+        self.pool[self.used : self.used + len(flat)] = flat
+        begin = self.used + np.cumsum(room) - room
+        self.used += len(flat)
         self.pieces += len(keys)
+        # every key to the next free slot; of those that meet at one slot the first takes it
+        slot, open_ = keys & self.mask, np.arange(len(keys))
+        while len(open_):
+            free = open_[self.keys[slot[open_]] == 0]
+            free = free[np.unique(slot[free], return_index=True)[1]]
+            at = slot[free]
+            self.keys[at], self.begin[at], self.count[at] = keys[free], begin[free], sizes[free]
+            open_ = open_[self.keys[slot[open_]] != keys[open_]]
+            slot[open_] = (slot[open_] + np.uint64(1)) & self.mask
 
     def _slice(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a slice's texts one after the other, and how many each has."""
