@@ -5,7 +5,7 @@ Keys are those of the queries. Queries that train a model, sample or optimise ha
 
 from __future__ import annotations
 
-from relevia.plans.journal import EVAL_UNTIL, GOLD_FROM, LABEL_RULES, NUMERIC, TRAIN_UNTIL
+from relevia.plans.journal import EVAL_UNTIL, FIXED_TREES, GOLD_FROM, LABEL_RULES, NUMERIC, TRAIN_UNTIL
 
 FIELDS = list(enumerate(NUMERIC, start=1))
 VALUES = {c: f"coalesce({c}, 0.0)" for c in NUMERIC}
@@ -232,6 +232,14 @@ def _log(v: str) -> str:
     return f"sign({v}) * CASE WHEN abs({v}) >= 1 THEN log10(abs({v})) + 1 ELSE abs({v}) END"
 
 
+def _path(nodes: list[tuple], at: int = 0) -> str:
+    """The path length of a row in a tree of nodes, as nested cases."""
+    field, threshold, left, right, path = nodes[at]
+    if left == at:
+        return str(path)
+    return f"CASE WHEN z[{field + 1}] <= {threshold} THEN {_path(nodes, left)} ELSE {_path(nodes, right)} END"
+
+
 def _edges(strategy: str, c: str) -> str:
     """Bucket edges of one field as a list, rounded as the query rounds them."""
     base = f"(SELECT {c} AS v FROM journal WHERE split = 'train' AND {c} <> 0)"
@@ -481,6 +489,9 @@ CHECKS: dict[str, str] = {
         {_text('[' + ', '.join(_code(c, _NO_MEDIUM) for c in ('status', 'priority', 'segment')) + ']')} AS codes FROM journal""",
     "ordinal_inverse": f"""WITH {JOURNAL} SELECT row_id,
         {', '.join(_known(c, _NO_MEDIUM) for c in ('status', 'priority', 'segment'))} FROM journal""",
+    "forest_fixed_nodes": f"""WITH {STANDARD} SELECT row_id,
+        round(-pow(2, -({' + '.join(_path(t) for t in FIXED_TREES)}) / ({len(FIXED_TREES)}
+              * (2 * (ln(255) + 0.5772156649015329) - 2 * 255 / 256.0))), 6) + 0.0 AS score FROM standard""",
     "log_scale": f"WITH {JOURNAL} SELECT row_id, {_LOG_COLUMNS} FROM journal",
     "zscore": f"WITH {STANDARD} SELECT row_id, {_Z_COLUMNS} FROM journal JOIN (SELECT row_id, z FROM standard) USING (row_id)",
     "minmax": f"""WITH {JOURNAL}, ranges AS (SELECT {_RANGES} FROM journal WHERE split = 'train'),

@@ -28,6 +28,14 @@ LABEL_RULES = [
     ("Event_Bulk", "n_lines >= 9"),
 ]
 
+# Trees on the z-scores for a check of scoring: field, threshold, left, right and path of each node.
+_END = float("inf")
+FIXED_TREES = [
+    [(0, 0.5, 1, 2, 0.0), (3, -0.25, 3, 4, 0.0), (2, 1.5, 5, 6, 0.0),
+     (0, _END, 3, 3, 4.5), (0, _END, 4, 4, 3.0), (0, _END, 5, 5, 2.75), (0, _END, 6, 6, 2.0)],
+    [(4, 0.0, 1, 2, 0.0), (0, _END, 1, 1, 5.25), (1, 1.0, 3, 4, 0.0), (0, _END, 3, 3, 3.5), (0, _END, 4, 4, 2.0)],
+]
+
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")

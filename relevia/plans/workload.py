@@ -30,7 +30,7 @@ from relevia.operators import shape as S
 from relevia.operators import similarity
 from relevia.operators.windows import trailing_counts
 from relevia.plans import journal as J
-from relevia.plans.detect import param_study
+from relevia.plans.detect import FLOW_GRIDS, LEDGER_GRIDS, param_grid, param_study
 from relevia.session import new_table_path
 from relevia.sources.sinks import write_explanation_set
 from relevia.sources.tables import read_explanation_set
@@ -676,6 +676,34 @@ def isolation_forest(spark, folder):
     return rounded(detector.transform(df).select("row_id", "score"))
 
 
+def isolation_forest_share(spark, folder):
+    """The ledgers' own setting: 128 trees on four fifths of the rows and columns each."""
+    df, train = _all_and_train(spark, folder)
+    params = param_grid(LEDGER_GRIDS["IsolationForest"])[0]
+    return rounded(IsolationForest.fit(train, **params).transform(df).select("row_id", "score"))
+
+
+def isolation_forest_flows(spark, folder):
+    """The flows' own setting, 32 trees on four fifths of the events before the last fifth of their ids."""
+    events = J.read_table(spark, folder, "events").where("event_id is not null")
+    last = events.agg(F.max("event_id")).first()[0] or 0
+    parts = [F.coalesce("value", F.lit(0.0)), F.hour("ts").cast("double"), F.dayofweek("ts").cast("double")]
+    kinds = F.pmod(F.xxhash64(F.coalesce("event_type", F.lit(""))), F.lit(97)).cast("double")
+    rows = events.select(F.col("event_id").alias("row_id"), F.array(*parts, kinds).alias("features"))
+    params = param_grid(FLOW_GRIDS["IsolationForest"])[0]
+    forest = IsolationForest.fit(rows.where(F.col("row_id") <= F.lit(last) * 0.8), **params)
+    return rounded(forest.transform(rows).select("row_id", "score"))
+
+
+def forest_fixed_nodes(spark, folder):
+    """Scores of a forest whose nodes are given."""
+    df, _ = _all_and_train(spark, folder)
+    names = ("field", "threshold", "left", "right", "path")
+    kinds = (np.int32, np.float64, np.int32, np.int32, np.float64)
+    trees = [{n: np.array(c, dtype=k) for n, c, k in zip(names, zip(*nodes), kinds)} for nodes in J.FIXED_TREES]
+    return rounded(IsolationForest(trees, 256).transform(df).select("row_id", "score"))
+
+
 def ocsvm(spark, folder):
     df, train = _all_and_train(spark, folder)
     detector = OneClassSVM.fit(train, nu=0.05, gamma=0.1)
@@ -834,6 +862,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "shap_optimized": shap_optimized,
     "shap_full": shap_full,
     "isolation_forest": isolation_forest,
+    "isolation_forest_share": isolation_forest_share,
+    "isolation_forest_flows": isolation_forest_flows,
+    "forest_fixed_nodes": forest_fixed_nodes,
     "ocsvm": ocsvm,
     "pca_detector": pca_detector,
     "autoencoder": autoencoder,

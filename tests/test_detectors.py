@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from relevia.detectors.autoencoder import Adam, Autoencoder, Network, fit_model_set
+from relevia.detectors import levels
 from relevia.detectors.base import CentroidDetector
 from relevia.detectors.iforest import IsolationForest, average_path
 from relevia.detectors.ocsvm import OneClassSVM
@@ -38,10 +39,74 @@ def test_isolation_forest(spark, data):
     assert average_path(np.array([1, 2, 3])) == pytest.approx([0.0, 1.0, 2 * (np.log(2) + np.euler_gamma) - 4 / 3])
 
 
-def test_isolation_forest_refuses_samples_beyond_a_task(data, monkeypatch):
-    monkeypatch.setattr("relevia.detectors.iforest.MAX_ROWS_PER_TREE", 10)
+def _check_tree(x, ids, forest, top_key, tree, fields, rate, limit):
+    """Every split lies inside its rows' range of a field that varies; leaves are those that cannot or must not split."""
+    mine = x[levels.in_sample(ids, top_key, rate)]
+    open_, seen = [(0, np.arange(len(mine)), 0)], 0
+    while open_:
+        node, rows, depth = open_.pop()
+        seen += 1
+        values = mine[rows]
+        low, high = values[:, fields].min(axis=0), values[:, fields].max(axis=0)
+        if tree["left"][node] == node:
+            assert len(rows) <= 1 or depth >= limit or (low == high).all()
+            assert tree["path"][node] == pytest.approx(depth + float(average_path(len(rows))))
+            continue
+        field, threshold = tree["field"][node], tree["threshold"][node]
+        at = fields.tolist().index(field)
+        assert low[at] <= threshold < high[at]
+        left = values[:, field] <= threshold
+        open_ += [(tree["left"][node], rows[left], depth + 1), (tree["right"][node], rows[~left], depth + 1)]
+    assert seen == len(tree["field"])
+
+
+@pytest.fixture
+def by_levels(monkeypatch):
+    """Samples of a few hundred rows grow level by level, down to nodes of 40."""
+    monkeypatch.setattr("relevia.detectors.iforest.SMALL_SAMPLE", 10)
+    monkeypatch.setattr("relevia.detectors.levels.TASK_ROWS", 40)
+
+
+@pytest.mark.parametrize("most_open", [65_536, 16])
+def test_levels_grow_right_trees(spark, data, by_levels, monkeypatch, most_open):
+    monkeypatch.setattr("relevia.detectors.levels.MOST_OPEN", most_open)
+    df, x = data
+    x = x.copy()
+    x[300:520] = x[7]  # a point that a third of all rows share
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "row_id long, features array<double>").repartition(3)
+    forest = IsolationForest.fit(df, n_estimators=6, max_samples=0.8, seed=4)
+    assert forest.sample_rows == 480 and len(forest.trees) == 6
+    keys = levels.root_keys(4, 6)
+    for t, tree in enumerate(forest.trees):
+        assert abs(levels.in_sample(np.arange(600), keys[t], 0.8).sum() - 480) < 50
+        _check_tree(x, np.arange(600), forest, keys[t], tree, levels.tree_fields(4, t, 4, 0.8), 0.8, 9)
+    found = scores(forest, df)
+    again = IsolationForest.fit(df.repartition(7), n_estimators=6, max_samples=0.8, seed=4)
+    assert np.array_equal(scores(again, df), found)
+    assert set(np.argsort(found)[:5]) <= set(range(6)) | set(range(520, 600)) | set(range(300))
+
+
+def test_a_forest_as_a_table_scores_alike(spark, data, by_levels, monkeypatch):
+    df, _ = data
+    whole = IsolationForest.fit(df, n_estimators=8, max_samples=0.8, seed=2)
+    monkeypatch.setattr("relevia.detectors.iforest.MOST_NODES", 10)
+    monkeypatch.setattr("relevia.detectors.levels.SCORE_ROWS", 16)
+    table = IsolationForest.fit(df, n_estimators=8, max_samples=0.8, seed=2)
+    assert type(table).__name__ == "TableForest"
+    assert scores(table, df) == pytest.approx(scores(whole, df))
+    clash = df.selectExpr("row_id", "features", "1 as row", "2 as x", "3 as depth", "4 as part")
+    assert table.transform(clash).columns == [*clash.columns, "score"]
+    assert scores(table, clash) == pytest.approx(scores(whole, df))
     with pytest.raises(ValueError):
-        IsolationForest.fit(data[0], max_samples=0.8)
+        table.arrays()
+
+
+def test_levels_of_one_value_and_of_one_row(spark, by_levels):
+    rows = [(i, [1.0, 2.0]) for i in range(30)]
+    df = spark.createDataFrame(rows, "row_id long, features array<double>")
+    forest = IsolationForest.fit(df, n_estimators=3, max_samples=0.9)
+    assert all(len(t["field"]) == 1 for t in forest.trees)
+    assert len(set(scores(forest, df))) == 1
 
 
 def test_one_class_svm(spark, data):
