@@ -1,29 +1,41 @@
 """Exact nearest-neighbour joins (Euclidean) and the local outlier factor.
 
 A few query rows are sent to every task, which keeps its own k best per query; only
-those candidates are shuffled. Many query rows are joined by cells around pivot points:
-the triangle inequality tells which cells can hold a neighbour, and the rest is not
-looked at. Cells are worked off in blocks of bounded size, whatever their size.
-Ties in distance go to the smaller id.
+those candidates are shuffled. Many query rows are joined over a tree of pivots with two levels,
+as many as the base rows ask for:
+
+1. Every base row gets a top pivot, a cell (a pivot below it) and its distance to that pivot.
+2. Every query is held against the cell it falls into, which gives it a radius of its own that
+   surely holds k rows.
+3. With that radius it goes on to the top pivots, there to the cells, and in these to the rows that the
+   triangle inequality leaves. Tops are worked off in blocks of bounded size, whatever their size.
+
+So a query meets the rows around it, and their number does not grow with the table where the
+values have few dimensions. Ties in distance go to the smaller id. A row with several keys (an
+array column) has neighbours for each of them.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Accumulator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from relevia.functions.arrow import matrix
 from relevia.session import materialize
 
 BROADCAST_VALUES = 4_000_000
 BLOCK_VALUES = 4_000_000
-PIVOTS = 64
+#: Base rows of a cell, on average; the number of pivots follows, up to ``BROADCAST_VALUES`` values in all.
+CELL_ROWS = 512
 
-_CANDIDATES = "query long, neighbor long, distance double"
+_CANDIDATES = "query long, neighbor long, distance double, key string"
 
 
 def _best(
@@ -60,12 +72,19 @@ def _best(
     return np.concatenate(found_q), np.concatenate(found_b), np.concatenate(found_d)
 
 
-def _candidate_batch(found: tuple[np.ndarray, np.ndarray, np.ndarray]) -> list[pa.Array]:
-    return [pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.float64())]
+_NAMES = ["query", "neighbor", "distance", "key"]
+
+
+def _candidate_batch(found: tuple[np.ndarray, np.ndarray, np.ndarray], key: str) -> list[pa.Array]:
+    named = pa.repeat(pa.scalar(key, pa.string()), len(found[0]))
+    return [pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.float64()), named]
 
 
 def _standard(df: DataFrame, row_id: str, features: str, key: str | None) -> DataFrame:
-    group = F.col(key).cast("string") if key else F.lit("")
+    if key and isinstance(df.schema[key].dataType, T.ArrayType):
+        group = F.explode(F.array_distinct(F.col(key).cast("array<string>")))
+    else:
+        group = F.col(key).cast("string") if key else F.lit("")
     return df.select(
         F.col(row_id).cast("long").alias("id"), F.col(features).cast("array<double>").alias("x"), group.alias("key")
     ).where(F.col("id").isNotNull() & F.col("x").isNotNull() & F.col("key").isNotNull())
@@ -97,8 +116,8 @@ def _scan_join(query_rows: list, base: DataFrame, k: int, skip_same: bool) -> Da
                 if name in kept:
                     found = _keep_best([kept[name], found], k)
                 kept[name] = found
-        for found in kept.values():
-            yield pa.RecordBatch.from_arrays(_candidate_batch(found), names=["query", "neighbor", "distance"])
+        for name, found in kept.items():
+            yield pa.RecordBatch.from_arrays(_candidate_batch(found, name), names=_NAMES)
 
     return base.select("id", "x", "key").mapInArrow(scan, _CANDIDATES)
 
@@ -113,110 +132,79 @@ def _keep_best(parts: list[tuple[np.ndarray, ...]], k: int) -> tuple[np.ndarray,
     return query[keep], neighbor[keep], distance[keep]
 
 
-def _with_cells(df: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """Add the nearest pivot (``cell``) and the distance to it (``r``)."""
-    squares = (pivots**2).sum(axis=1)
+class _Tree:
+    """Pivots in two levels: each cell's pivot belongs to the top pivot nearest to it."""
 
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            x = matrix(batch.column(1))
-            cell = np.argmin(squares[None, :] - 2.0 * x @ pivots.T, axis=1)
-            r = np.sqrt(((x - pivots[cell]) ** 2).sum(axis=1))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), pa.array(cell.astype(np.int32)), pa.array(r)],
-                names=["id", "x", "key", "cell", "r"],
-            )
+    def __init__(self, pivots: np.ndarray, tops: int):
+        self.tops = pivots[:tops]
+        nearest = _nearest(pivots, self.tops)
+        order = np.argsort(nearest, kind="stable")
+        self.cells = pivots[order]
+        self.bounds = np.searchsorted(nearest[order], np.arange(tops + 1))
 
-    return df.select("id", "x", "key").mapInArrow(assign, "id long, x array<double>, key string, cell int, r double")
+    def place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Top, distance to it, cell and distance to its pivot: nearest top, then nearest cell below it."""
+        top = _nearest(x, self.tops)
+        cell = np.zeros(len(x), dtype=np.int64)
+        for t in np.unique(top).tolist():
+            here = top == t
+            cell[here] = self.bounds[t] + _nearest(x[here], self.cells[self.bounds[t] : self.bounds[t + 1]])
+        return top, _norms(x - self.tops[top]), cell, _norms(x - self.cells[cell])
 
 
-def _pivot_reach(base: DataFrame, pivots: np.ndarray, k: int) -> DataFrame:
-    """Per (key, pivot) a radius that surely holds k base rows of the key.
+def _norms(x: np.ndarray) -> np.ndarray:
+    return np.sqrt((x**2).sum(axis=1))
 
-    Each task reports the k-th smallest distance among its own rows; the least of these
-    over all tasks is such a radius.
-    """
 
-    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[str, np.ndarray] = {}
+def _nearest(x: np.ndarray, points: np.ndarray) -> np.ndarray:
+    step = max(1, BROADCAST_VALUES // max(1, len(points)))
+    squares = (points**2).sum(axis=1)
+    parts = [np.argmin(squares - 2.0 * x[i : i + step] @ points.T, axis=1) for i in range(0, len(x), step)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+
+_PLACED = "id long, x array<double>, key string, top int, top_r double, cell int, r double"
+
+
+def _placed(df: DataFrame, tree: _Tree) -> DataFrame:
+    shipped = df.sparkSession.sparkContext.broadcast(tree)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            x = matrix(batch.column(1))
-            keys = np.asarray(batch.column(2).to_pylist(), dtype=object)
-            for name in set(keys):
-                rows = x[keys == name]
-                d = np.sqrt(np.maximum(
-                    (rows**2).sum(axis=1)[:, None] + (pivots**2).sum(axis=1)[None, :] - 2.0 * rows @ pivots.T, 0.0
-                ))
-                kept[name] = np.sort(np.vstack([kept[name], d]) if name in kept else d, axis=0)[:k]
-        names, cells, reach = [], [], []
-        for name, smallest in kept.items():
-            if len(smallest) == k:
-                names += [name] * len(pivots)
-                cells += list(range(len(pivots)))
-                reach += smallest[k - 1].tolist()
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(names, pa.string()), pa.array(cells, pa.int32()), pa.array(reach, pa.float64())],
-            names=["key", "cell", "reach"],
-        )
+            top, top_r, cell, r = shipped.value.place(matrix(batch.column(1)))
+            arrays = [pa.array(top, pa.int32()), pa.array(top_r), pa.array(cell, pa.int32()), pa.array(r)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[f.split()[0] for f in _PLACED.split(", ")])
 
-    return (
-        base.select("id", "x", "key")
-        .mapInArrow(nearest, "key string, cell int, reach double")
-        .groupBy("key", "cell")
-        .agg(F.min("reach").alias("reach"))
-    )
+    return df.select("id", "x", "key").mapInArrow(run, _PLACED)
 
 
-def _cell_join(queries: DataFrame, base: DataFrame, k: int, skip_same: bool, pivot_count: int, block_rows: int) -> DataFrame:
+def _widened(distance: np.ndarray) -> np.ndarray:
+    """A bound with room for rounding."""
+    return distance + 1e-9 * (1.0 + np.abs(distance))
+
+
+def _cell_join(
+    queries: DataFrame, base: DataFrame, k: int, skip_same: bool, cell_rows: int, block_rows: int, width: int, compared: Accumulator | None
+) -> DataFrame:
     spark = base.sparkSession
-    chosen = base.orderBy(F.xxhash64("id"), "id").select("x").limit(pivot_count).collect()
+    count = max(1, min(math.ceil(base.count() / cell_rows), BROADCAST_VALUES // max(1, width)))
+    # the rows of least hash are a random choice; as many reach the driver as are sent to every task later
+    chosen = base.select("id", "x").orderBy(F.xxhash64("id"), "id").limit(count).collect()
     pivots = np.array([r["x"] for r in chosen], dtype=np.float64)
-    between = np.sqrt(((pivots[:, None, :] - pivots[None, :, :]) ** 2).sum(axis=2))
-    links = spark.createDataFrame(
-        [(i, j, float(between[i, j])) for i in range(len(pivots)) for j in range(len(pivots))],
-        "cell int, base_cell int, apart double",
-    )
-    query_cells = _with_cells(queries, pivots)
-    base_cells = _with_cells(base, pivots)
+    if not len(pivots):
+        return spark.createDataFrame([], _CANDIDATES)
+    pivots = np.unique(pivots, axis=0)
+    tree = _Tree(np.random.default_rng(0).permutation(pivots), math.ceil(math.sqrt(len(pivots))))
+    base = materialize(_placed(base, tree), "neighbour-base")
+    queries = materialize(_placed(queries, tree), "neighbour-queries")
+    # one row per key and top: how many blocks its base rows make
+    blocks = base.groupBy("key", "top").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("base_blocks"))
+    blocks = materialize(blocks, "neighbour-blocks")
+    reach = {r["top"]: r["reach"] for r in base.groupBy("top").agg(F.max("top_r").alias("reach")).collect()}
+    reach = np.array([reach.get(t, -np.inf) for t in range(len(tree.tops))])
     need = k + 1 if skip_same else k
-    query_sizes = query_cells.groupBy("key", "cell").agg(
-        F.count(F.lit(1)).alias("queries"), F.max("r").alias("query_radius")
-    )
-    base_sizes = base_cells.groupBy("key", F.col("cell").alias("base_cell")).agg(
-        F.count(F.lit(1)).alias("rows"), F.max("r").alias("base_radius")
-    )
-    # a query's k-th neighbour is at most (its distance to the pivot + the pivot's reach)
-    # away, and a base row closer to its own pivot than ``from_r`` is farther than that
-    slack = 1e-6
-    plan = (
-        query_sizes.join(_pivot_reach(base, pivots, need), ["key", "cell"], "left")
-        .join(F.broadcast(links), "cell")
-        .join(base_sizes, ["key", "base_cell"])
-        .withColumn(
-            "from_r",
-            F.coalesce(
-                F.col("apart") - 2 * F.col("query_radius") - F.col("reach") - slack * (1 + F.col("apart")),
-                F.lit(-1.0),
-            ),
-        )
-        .where(F.col("base_radius") >= F.col("from_r"))
-    )
-    per_cell = Window.partitionBy("key", "cell")
-    plan = plan.withColumns(
-        {
-            "query_blocks": F.ceil(F.col("queries") / block_rows).cast("int"),
-            "base_blocks": F.ceil(F.sum("rows").over(per_cell) / block_rows).cast("int"),
-        }
-    ).select("key", "cell", "base_cell", "from_r", "query_blocks", "base_blocks")
-    # used on both sides of the join below: keep the result of the passes behind it
-    plan = materialize(plan, "neighbour-cells")
-    shape = plan.groupBy("key", "cell").agg(
-        F.first("query_blocks").alias("query_blocks"), F.first("base_blocks").alias("base_blocks")
-    )
 
     def block_of(blocks: str):
         return F.pmod(F.xxhash64("id"), F.col(blocks)).cast("int")
@@ -224,37 +212,88 @@ def _cell_join(queries: DataFrame, base: DataFrame, k: int, skip_same: bool, piv
     def every(blocks: str):
         return F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
 
-    left = (
-        query_cells.join(shape, ["key", "cell"])
-        .select("id", "x", "key", "cell", block_of("query_blocks").alias("qb"), every("base_blocks").alias("bb"))
-    )
-    right = (
-        base_cells.withColumnRenamed("cell", "base_cell")
-        .join(plan, ["key", "base_cell"])
-        .where(F.col("r") >= F.col("from_r"))
-        .select(
-            "id", "x", F.col("key").alias("bkey"), F.col("cell").alias("bcell"),
-            every("query_blocks").alias("bqb"), block_of("base_blocks").alias("bbb"),
-        )
-    )
+    def meet(visits: DataFrame, match, schema: str) -> DataFrame:
+        """Queries and base rows of a key and top in blocks of both."""
+        several = visits.groupBy("key", "top").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("query_blocks"))
+        plan = materialize(blocks.join(several, ["key", "top"]), "neighbour-plan")
+        left = visits.join(plan, ["key", "top"]).withColumn("qb", block_of("query_blocks")).withColumn("bb", every("base_blocks"))
+        right = base.join(plan, ["key", "top"]).withColumn("qb", every("query_blocks")).withColumn("bb", block_of("base_blocks"))
+        keys = ["key", "top", "qb", "bb"]
+        left = left.drop("query_blocks", "base_blocks").groupBy(*keys)
+        return left.cogroup(right.drop("query_blocks", "base_blocks").groupBy(*keys)).applyInArrow(match, schema)
+
+    def cells_of(table: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(cell, ids, x, r) of base rows, cell by cell."""
+        cell = np.asarray(table.column("cell"))
+        ids, x, r = np.asarray(table.column("id")), matrix(table.column("x")), np.asarray(table.column("r"))
+        order = np.argsort(cell, kind="stable")
+        cuts = np.flatnonzero(np.diff(cell[order])) + 1
+        for part in np.split(order, cuts):
+            yield int(cell[part[0]]), ids[part], x[part], r[part]
+
+    def own_radius(here: pa.Table, there: pa.Table) -> pa.Table:
+        names, kinds = ["id", "key", "radius"], [pa.int64(), pa.string(), pa.float64()]
+        out = [[], [], []]
+        if here.num_rows and there.num_rows:
+            ids, x, cell = np.asarray(here.column("id")), matrix(here.column("x")), np.asarray(here.column("cell"))
+            by_cell = {c: rows for c, *rows in cells_of(there)}
+            for c in np.unique(cell).tolist():
+                if c not in by_cell or len(by_cell[c][0]) < need:
+                    continue
+                mine = cell == c
+                base_ids, points, _ = by_cell[c]
+                query, _, distance = _best(ids[mine], x[mine], base_ids, points, k, skip_same)
+                if compared is not None:
+                    compared.add(int(mine.sum()) * len(base_ids))
+                last = np.flatnonzero(np.append(query[1:] != query[:-1], True))
+                out[0] += query[last].tolist()
+                out[2] += distance[last].tolist()
+            out[1] = [here.column("key")[0].as_py()] * len(out[0])
+        return pa.table([pa.array(v, kind) for v, kind in zip(out, kinds)], names=names)
+
+    found = meet(queries, own_radius, "id long, key string, radius double")
+    found = found.groupBy("id", "key").agg(F.min("radius").alias("radius"))
+    known = queries.join(found, ["id", "key"], "left").select("id", "x", "key", F.coalesce("radius", F.lit(float("inf"))).alias("radius"))
+    shipped = spark.sparkContext.broadcast((tree, reach))
+
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivots, spread = shipped.value
+        step = max(1, BROADCAST_VALUES // max(1, len(pivots.tops) * 8))
+        for whole in batches:
+            for start in range(0, whole.num_rows, step):
+                batch = whole.slice(start, step)
+                x, radius = matrix(batch.column(1)), np.asarray(batch.column(3))
+                for top, point in enumerate(pivots.tops):
+                    near = np.flatnonzero(_norms(x - point) <= _widened(spread[top] + radius)) if spread[top] >= 0 else ()
+                    if len(near):
+                        part = batch.take(pa.array(near))
+                        yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(len(near), top), pa.int32())], names=["id", "x", "key", "radius", "top"])
+
+    visits = known.mapInArrow(visit, "id long, x array<double>, key string, radius double, top int")
+    visits = materialize(visits, "neighbour-visits")
+
+    def match(here: pa.Table, there: pa.Table) -> pa.Table:
+        empty = np.zeros(0, np.int64)
+        found = [(empty, empty, np.zeros(0))]
+        key = here.column("key")[0].as_py() if here.num_rows else ""
+        if here.num_rows and there.num_rows:
+            pivots, _ = shipped.value
+            ids, x, radius = np.asarray(here.column("id")), matrix(here.column("x")), np.asarray(here.column("radius"))
+            for cell, base_ids, points, r in cells_of(there):
+                apart = _norms(x - pivots.cells[cell])
+                # rows of the cell lie in a ring around its pivot, and a neighbour in one around the query
+                near = np.flatnonzero((apart <= _widened(r.max() + radius)) & (_widened(apart + radius) >= r.min()))
+                if not len(near):
+                    continue
+                low, high = (apart[near] - radius[near]).min(), (apart[near] + radius[near]).max()
+                rows = (_widened(r) >= low) & (r <= _widened(high))
+                if rows.any():
+                    found.append(_best(ids[near], x[near], base_ids[rows], points[rows], k, skip_same))
+                    if compared is not None:
+                        compared.add(len(near) * int(rows.sum()))
+        return pa.table(_candidate_batch(_keep_best(found, k), key), names=_NAMES)
 
-    def match(left_table: pa.Table, right_table: pa.Table) -> pa.Table:
-        if left_table.num_rows == 0 or right_table.num_rows == 0:
-            empty = np.zeros(0, np.int64)
-            found = (empty, empty, np.zeros(0))
-        else:
-            found = _best(
-                np.asarray(left_table.column("id")),
-                matrix(left_table.column("x")),
-                np.asarray(right_table.column("id")),
-                matrix(right_table.column("x")),
-                k,
-                skip_same,
-            )
-        return pa.Table.from_arrays(_candidate_batch(found), names=["query", "neighbor", "distance"])
-
-    blocks = left.groupBy("key", "cell", "qb", "bb").cogroup(right.groupBy("bkey", "bcell", "bqb", "bbb"))
-    return blocks.applyInArrow(match, _CANDIDATES)
+    return meet(visits, match, _CANDIDATES)
 
 
 def knn_join(
@@ -266,13 +305,16 @@ def knn_join(
     key: str | None = None,
     skip_same: bool = False,
     broadcast_values: int = BROADCAST_VALUES,
-    pivots: int = PIVOTS,
+    cell_rows: int = CELL_ROWS,
     block_rows: int | None = None,
+    compared: Accumulator | None = None,
 ) -> DataFrame:
     """(query, neighbor, distance, rank): the k nearest base rows of every query row.
 
-    ``key`` restricts neighbours to rows with the same key; ``skip_same`` leaves a row out
-    of its own neighbours. The result is exact on both paths.
+    ``key`` restricts neighbours to rows with the same key; with an array column a row has several keys,
+    and the result one more column, the key that its k neighbours share with it. ``skip_same`` leaves a
+    row out of its own neighbours. The result is exact on both paths. ``compared`` counts the pairs of rows
+    whose distance was worked out in the tree.
     """
     query_rows = _standard(queries, row_id, features, key)
     base_rows = _standard(base, row_id, features, key)
@@ -284,9 +326,11 @@ def knn_join(
         candidates = _scan_join(shipped, base_rows, k, skip_same)
     else:
         rows = block_rows or max(1, BLOCK_VALUES // width)
-        candidates = _cell_join(query_rows, base_rows, k, skip_same, pivots, rows)
-    order = Window.partitionBy("query").orderBy("distance", "neighbor")
-    return candidates.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        candidates = _cell_join(query_rows, base_rows, k, skip_same, cell_rows, rows, width, compared)
+    order = Window.partitionBy("query", "key").orderBy("distance", "neighbor")
+    ranked = candidates.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    several = key is not None and isinstance(queries.schema[key].dataType, T.ArrayType)
+    return ranked.select("query", "neighbor", "distance", "rank", *(["key"] if several else []))
 
 
 def nn_reference(queries: DataFrame, base: DataFrame, row_id: str = "row_id", features: str = "features", **options) -> DataFrame:

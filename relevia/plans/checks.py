@@ -585,8 +585,15 @@ CHECKS: dict[str, str] = {
     "knn": f"WITH {DISTANCES}, {_nearest(5)} SELECT {_KNN_COLUMNS} FROM nearest",
     "knn_cells": f"WITH {DISTANCES}, {_nearest(5)} SELECT {_KNN_COLUMNS} FROM nearest",
     "knn_by_key": f"WITH {DISTANCES}, {_nearest(5, 'label_a = label_b')} SELECT {_KNN_COLUMNS} FROM nearest",
-    "lof": _lof(10, novelty=False),
-    "lof_novelty": _lof(10, novelty=True),
+    "knn_several_keys": f"""WITH {STANDARD},
+        keyed AS (SELECT s.row_id, s.split, s.z, j.totalprice, unnest(list_distinct([j.priority, j.status])) AS key
+                  FROM standard s JOIN journal j USING (row_id)),
+        distances AS (SELECT a.row_id AS query, b.row_id AS neighbor, a.key, list_distance(a.z, b.z) AS distance
+                      FROM keyed a JOIN keyed b USING (key) WHERE a.totalprice >= 490000 AND b.split = 'train'),
+        nearest AS (SELECT *, row_number() OVER (PARTITION BY query, key ORDER BY distance, neighbor) AS rank FROM distances)
+        SELECT {_KNN_COLUMNS}, key FROM nearest WHERE rank <= 5""",
+    "lof": _lof(20, novelty=False),
+    "lof_novelty": _lof(20, novelty=True),
     "mean_reference": """SELECT CAST(position - 1 AS INTEGER) AS position, round(avg(value), 6) AS mean FROM (
         SELECT unnest(range(1, len(embedding) + 1)) AS position, CAST(unnest(embedding) AS DOUBLE) AS value FROM embeddings)
         GROUP BY position""",

@@ -447,18 +447,26 @@ def knn_by_key(spark, folder):
 
 
 def knn_cells(spark, folder):
-    """The join for many query rows, with small cells and blocks."""
+    """The join for many query rows, over the tree of pivots."""
     df = _vectors(spark, folder)
-    return rounded(N.knn_join(df, df, 5, skip_same=True, broadcast_values=0, pivots=4, block_rows=1000))
+    return rounded(N.knn_join(df, df, 5, skip_same=True, broadcast_values=0))
+
+
+def knn_several_keys(spark, folder):
+    """Orders near an urgent or a large one: a row has a key for its priority and one for its status."""
+    df = J.standardized(J.journal(spark, folder)).withColumn("keys", F.array_compact(F.array("priority", "status")))
+    large = df.where("totalprice >= 490000")
+    found = N.knn_join(large, df.where("split = 'train'"), 5, key="keys")
+    return rounded(found)
 
 
 def lof(spark, folder):
-    return rounded(N.lof(_vectors(spark, folder), 10))
+    return rounded(N.lof(_vectors(spark, folder)))
 
 
 def lof_novelty(spark, folder):
     df = _vectors(spark, folder)
-    return rounded(N.lof(df.where("label <> 0"), 10, queries=df.where("label = 0")))
+    return rounded(N.lof(df.where("label <> 0"), queries=df.where("label = 0")))
 
 
 # --- reference points and attribution --------------------------------------------------
@@ -836,6 +844,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "knn": knn,
     "knn_by_key": knn_by_key,
     "knn_cells": knn_cells,
+    "knn_several_keys": knn_several_keys,
     "lof": lof,
     "lof_novelty": lof_novelty,
     "mean_reference": mean_reference,

@@ -33,7 +33,7 @@ def points():
     return rng.permutation(1000)[: len(x)], x
 
 
-OPTIONS = [{}, {"broadcast_values": 0, "pivots": 5, "block_rows": 16}, {"broadcast_values": 0, "pivots": 1, "block_rows": 1000}]
+OPTIONS = [{}, {"broadcast_values": 0, "cell_rows": 20, "block_rows": 32}, {"broadcast_values": 0}]
 
 
 @pytest.mark.parametrize("options", OPTIONS)
@@ -63,6 +63,44 @@ def test_other_queries_and_small_base(spark, points, options):
     assert N.knn_join(queries, base.limit(1), 3, **options).count() == 2
 
 
+@pytest.mark.parametrize("options", OPTIONS[:2])
+def test_rows_with_several_keys(spark, points, options):
+    """Neighbours per key, as if the join ran once for each key on the rows that have it."""
+    ids, x = points
+    keys = [[f"k{i % 2}"] if i % 3 else ["k0", "k1", "k0"] for i in range(len(x))]
+    keys[3], keys[4] = [], None
+    rows = [(int(i), v.tolist(), key) for i, v, key in zip(ids, x, keys)]
+    df = spark.createDataFrame(rows, "row_id long, features array<double>, key array<string>")
+    got = {(r["key"], r["query"], r["neighbor"], r["rank"]) for r in N.knn_join(df, df, 3, key="key", skip_same=True, **options).collect()}
+    want = set()
+    for one in ("k0", "k1"):
+        mine = [j for j, key in enumerate(keys) if key and one in key]
+        want |= {(one, *t) for t in brute(ids[mine], x[mine], ids[mine], x[mine], 3, True)}
+    assert got == want
+
+
+def test_pairs_per_query_do_not_grow_with_the_table(spark):
+    per_query = []
+    for rows in (2_000, 8_000):
+        x = np.random.default_rng(rows).random((rows, 2))
+        df = frame(spark, range(rows), x).repartition(4)
+        counter = spark.sparkContext.accumulator(0)
+        queries = df.where("row_id % 10 = 0")
+        found = N.knn_join(queries, df, 5, broadcast_values=0, cell_rows=50, compared=counter)
+        some = queries.where("row_id % 500 = 0").collect()
+        got = {t for t in triples(found) if t[0] % 500 == 0}
+        assert got == brute([r["row_id"] for r in some], np.array([r["features"] for r in some]), np.arange(rows), x, 5, False)
+        per_query.append(counter.value / (rows / 10))
+    assert per_query[1] < 1.5 * per_query[0] and per_query[1] < 800
+
+
+def test_empty_sides(spark, points):
+    ids, x = points
+    df = frame(spark, ids, x)
+    assert N.knn_join(df, df.limit(0), 2, broadcast_values=0).count() == 0
+    assert N.knn_join(df.limit(0), df, 2, broadcast_values=0).count() == 0
+
+
 def test_nearest_reference(spark, points):
     ids, x = points
     queries = frame(spark, [5000], np.array([[5.0, 5.0, 5.0]]))
