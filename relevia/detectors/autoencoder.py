@@ -9,7 +9,7 @@ With one worker this is plain mini-batch training.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -240,7 +240,25 @@ def fit_model_set(
     dealt by a hash into shards of about ``shard_rows``, each trained on its own within an epoch, so the
     models follow from the rows and not from the size of the cluster.
     """
+    shape = {"n_layers": n_layers, "n_bottleneck": n_bottleneck, "batch_norm": batch_norm}
+    specs = [{**shape, "epochs": epochs, "learning_rate": learning_rate, "seed": seed} for seed in seeds]
+    return fit_networks(df, specs, features, row_id, batch_size, shard_rows)
+
+
+def fit_networks(
+    df: DataFrame,
+    specs: Sequence[Mapping],
+    features: str = "features",
+    row_id: str = "row_id",
+    batch_size: int = 2048,
+    shard_rows: int = SHARD_ROWS,
+) -> list[Autoencoder]:
+    """One autoencoder per choice of shape, epochs, learning rate and seed, all trained in the same passes.
+
+    There are as many passes as the longest training has epochs; a model that is done rests.
+    """
     spark = df.sparkSession
+    specs = [{"n_layers": 2, "n_bottleneck": 32, "batch_norm": False, "epochs": 50, "learning_rate": 1e-2, "seed": 0, **s} for s in specs]
     shards = max(1, math.ceil(df.count() / shard_rows))
     data = (
         df.select(features, F.xxhash64(F.col(row_id), F.lit(DATA_ORDER_SEED)).alias("_order"))
@@ -252,56 +270,52 @@ def fit_model_set(
         first = data.first()
         if first is None:
             raise ValueError("no training rows")
-        networks = [Network(len(first[0]), n_layers, n_bottleneck, batch_norm, seed) for seed in seeds]
-        size, extra = networks[0].flat().size, networks[0].running_flat().size
-        state = [(n.flat(), np.zeros(size), np.zeros(size), n.running_flat()) for n in networks]
-        histories: list[list[float]] = [[] for _ in seeds]
+        width = len(first[0])
+
+        def network(spec: Mapping) -> Network:
+            return Network(width, spec["n_layers"], spec["n_bottleneck"], spec["batch_norm"], spec["seed"])
+
+        networks = [network(spec) for spec in specs]
+        sizes = [(n.flat().size, n.running_flat().size) for n in networks]
+        state = [(n.flat(), np.zeros(size), np.zeros(size), n.running_flat()) for n, (size, _) in zip(networks, sizes)]
+        histories: list[list[float]] = [[] for _ in specs]
         steps = 0.0
-        # rows, loss and steps, then weights, two Adam moments and running statistics per model
-        per_model = 1 + 3 * size + extra
-        for _ in range(epochs):
-            start = spark.sparkContext.broadcast((state, steps))
+        for epoch in range(max(spec["epochs"] for spec in specs)):
+            active = [i for i, spec in enumerate(specs) if epoch < spec["epochs"]]
+            start = spark.sparkContext.broadcast(([state[i] for i in active], steps))
+            chosen = [specs[i] for i in active]
 
-            def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def train(batches: Iterator[pa.RecordBatch], start=start, chosen=chosen) -> Iterator[pa.RecordBatch]:
                 begin, done = start.value
                 local, optimizers = [], []
-                for seed, (weights, m, v, running) in zip(seeds, begin):
-                    local.append(
-                        Network(len(first[0]), n_layers, n_bottleneck, batch_norm, seed).load(weights, running)
-                    )
-                    adam = Adam(size, learning_rate)
+                for spec, (weights, m, v, running) in zip(chosen, begin):
+                    local.append(network(spec).load(weights, running))
+                    adam = Adam(len(weights), spec["learning_rate"])
                     adam.first, adam.second, adam.steps = m.copy(), v.copy(), int(round(done))
                     optimizers.append(adam)
                 rows, losses = 0, np.zeros(len(local))
                 for block in _batches(batches, batch_size):
                     rows += len(block)
-                    for i, (network, adam) in enumerate(zip(local, optimizers)):
-                        loss, gradient = network.loss_and_gradient(block)
+                    for i, (model, adam) in enumerate(zip(local, optimizers)):
+                        loss, gradient = model.loss_and_gradient(block)
                         losses[i] += loss * len(block)
-                        network.load(adam.step(network.flat(), gradient))
+                        model.load(adam.step(model.flat(), gradient))
                 if rows == 0:
                     return
                 parts = [np.array([rows, rows * float(optimizers[0].steps)])]
-                for i, (network, adam) in enumerate(zip(local, optimizers)):
-                    parts += [
-                        losses[i : i + 1],
-                        rows * network.flat(),
-                        rows * adam.first,
-                        rows * adam.second,
-                        rows * network.running_flat(),
-                    ]
+                for i, (model, adam) in enumerate(zip(local, optimizers)):
+                    parts += [losses[i : i + 1], rows * model.flat(), rows * adam.first, rows * adam.second, rows * model.running_flat()]
                 yield pa.RecordBatch.from_arrays([lists(np.concatenate(parts)[None, :])], names=["s"])
 
             parts = data.select(features).mapInArrow(train, "s array<double>")
-            flat = sum_vectors(parts, "s", 2 + len(seeds) * per_model)
+            # rows and steps, then loss, weights, two Adam moments and running statistics per model
+            lengths = [n for i in active for n in (1, sizes[i][0], sizes[i][0], sizes[i][0], sizes[i][1])]
+            flat = sum_vectors(parts, "s", 2 + sum(lengths))
             rows, steps = flat[0], flat[1] / flat[0]
-            models = flat[2:].reshape(len(seeds), per_model) / rows
-            state = [
-                (m[1 : 1 + size], m[1 + size : 1 + 2 * size], m[1 + 2 * size : 1 + 3 * size], m[1 + 3 * size :])
-                for m in models
-            ]
-            for history, m in zip(histories, models):
-                history.append(float(m[0]))
+            pieces = iter(np.split(flat[2:] / rows, np.cumsum(lengths)[:-1]))
+            for i in active:
+                histories[i].append(float(next(pieces)[0]))
+                state[i] = tuple(next(pieces) for _ in range(4))
             start.unpersist()
         return [
             Autoencoder(network.load(weights, running), history)

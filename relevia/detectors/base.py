@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relevia.functions import vectors as V
-from relevia.functions.arrow import with_vector
+from relevia.functions.arrow import matrix, with_vector
 
 
 class Detector:
@@ -36,6 +39,31 @@ class Detector:
         raise NotImplementedError
 
 
+def score_many(
+    df: DataFrame, detectors: Sequence[Detector], keep: Sequence[str] = (), features: str = "features", run: str = "run"
+) -> DataFrame:
+    """``run, *keep, score``: the scores of many detectors from one pass over the rows; run is a detector's number.
+
+    Each batch is scored by all detectors before the next one is read. A null vector has a null score.
+    """
+    kinds = dict(df.dtypes)
+    schema = ", ".join([f"`{run}` int", *[f"`{c}` {kinds[c]}" for c in keep], "score double"])
+    shipped = df.sparkSession.sparkContext.broadcast(list(detectors))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = matrix(batch.column(len(keep)))
+            lost = np.asarray(batch.column(len(keep)).is_null())
+            for number, detector in enumerate(shipped.value):
+                found = pa.array(np.asarray(detector.score_batch(x), dtype=np.float64), mask=lost)
+                numbers = pa.array(np.full(batch.num_rows, number), pa.int32())
+                yield pa.RecordBatch.from_arrays([numbers, *batch.columns[:-1], found], names=[run, *keep, "score"])
+
+    return df.select(*keep, features).mapInArrow(score, schema)
+
+
 class CentroidDetector(Detector):
     """Reconstructs every row as one fixed point; the error is the distance to it.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +46,24 @@ def moments(df: DataFrame, features: str = "features") -> tuple[float, np.ndarra
     return n, origin + shift, covariance
 
 
+def _decomposed(mean: np.ndarray, covariance: np.ndarray, standardization: bool) -> tuple[np.ndarray, ...]:
+    """(origin, scale, shares of variance, components) in falling order of variance."""
+    scale = np.ones(len(mean))
+    if standardization:
+        scale = np.sqrt(np.diag(covariance))
+        scale[scale == 0.0] = 1.0
+        covariance = covariance / np.outer(scale, scale)
+    else:
+        mean = np.zeros(len(mean))
+    values, vectors = np.linalg.eigh(covariance)
+    order = np.argsort(values)[::-1]
+    values, components = np.maximum(values[order], 0.0), vectors[:, order].T
+    # eigenvectors have no sign of their own: make the largest entry positive
+    largest = np.abs(components).argmax(axis=1)
+    signs = np.sign(components[np.arange(len(mean)), largest])
+    return mean, scale, values / max(values.sum(), 1e-300), components * signs[:, None]
+
+
 class PcaDetector(Detector):
     """score = -(sum over components of the distance to the component / its weight)."""
 
@@ -71,32 +89,29 @@ class PcaDetector(Detector):
 
         ``whiten`` rescales projections only; this score uses none, so it changes nothing.
         """
+        options = {"n_components": n_components, "whiten": whiten, "weighted": weighted, "standardization": standardization}
+        return cls.fit_many(df, [options], features)[0]
+
+    @classmethod
+    def fit_many(cls, df: DataFrame, grid: Sequence[Mapping], features: str = "features") -> list["PcaDetector"]:
+        """One detector per choice of options, from one pass over the rows and one decomposition per scaling."""
         _, mean, covariance = moments(df, features)
-        width = len(mean)
-        scale = np.ones(width)
-        if standardization:
-            scale = np.sqrt(np.diag(covariance))
-            scale[scale == 0.0] = 1.0
-            covariance = covariance / np.outer(scale, scale)
-        else:
-            mean = np.zeros(width)
-        values, vectors = np.linalg.eigh(covariance)
-        order = np.argsort(values)[::-1]
-        values, components = np.maximum(values[order], 0.0), vectors[:, order].T
-        ratio = values / max(values.sum(), 1e-300)
-        keep = width
-        if n_components is not None:
-            if 0 < n_components < 1:
-                keep = int(np.searchsorted(np.cumsum(ratio), n_components) + 1)
-            else:
-                keep = int(n_components)
-        keep = max(1, min(keep, width))
-        # eigenvectors have no sign of their own: make the largest entry positive
-        largest = np.abs(components).argmax(axis=1)
-        signs = np.sign(components[np.arange(width), largest])
-        components = components * signs[:, None]
-        weights = ratio[:keep] if weighted else np.ones(keep)
-        return cls(components[:keep], np.maximum(weights, 1e-12), mean, scale)
+        known = {}
+        for standardization in {bool(options.get("standardization", False)) for options in grid}:
+            known[standardization] = _decomposed(mean, covariance, standardization)
+        out = []
+        for options in grid:
+            mean, scale, ratio, components = known[bool(options.get("standardization", False))]
+            n_components, keep = options.get("n_components"), len(ratio)
+            if n_components is not None:
+                if 0 < n_components < 1:
+                    keep = int(np.searchsorted(np.cumsum(ratio), n_components) + 1)
+                else:
+                    keep = int(n_components)
+            keep = max(1, min(keep, len(ratio)))
+            weights = ratio[:keep] if options.get("weighted", True) else np.ones(keep)
+            out.append(cls(components[:keep], np.maximum(weights, 1e-12), mean, scale))
+        return out
 
     def score_batch(self, x: np.ndarray) -> np.ndarray:
         x = (x - self.mean) / self.scale

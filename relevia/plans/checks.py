@@ -240,6 +240,12 @@ def _path(nodes: list[tuple], at: int = 0) -> str:
     return f"CASE WHEN z[{field + 1}] <= {threshold} THEN {_path(nodes, left)} ELSE {_path(nodes, right)} END"
 
 
+_FOREST = (
+    f"-pow(2, -({' + '.join(_path(t) for t in FIXED_TREES)}) / ({len(FIXED_TREES)} "
+    "* (2 * (ln(255) + 0.5772156649015329) - 2 * 255 / 256.0)))"
+)
+
+
 def _edges(strategy: str, c: str) -> str:
     """Bucket edges of one field as a list, rounded as the query rounds them."""
     base = f"(SELECT {c} AS v FROM journal WHERE split = 'train' AND {c} <> 0)"
@@ -489,9 +495,17 @@ CHECKS: dict[str, str] = {
         {_text('[' + ', '.join(_code(c, _NO_MEDIUM) for c in ('status', 'priority', 'segment')) + ']')} AS codes FROM journal""",
     "ordinal_inverse": f"""WITH {JOURNAL} SELECT row_id,
         {', '.join(_known(c, _NO_MEDIUM) for c in ('status', 'priority', 'segment'))} FROM journal""",
+    "study_fixed_models": f"""WITH {SCORED}, given AS (
+        SELECT s.row_id, s.split, c.y, s.z, c.score AS centre, {_FOREST} AS forest,
+               -(sqrt(list_sum([power(z[i] / i - (i = 1)::INT, 2) FOR i IN range(1, 7)])) / 1.0
+                 + sqrt(list_sum([power(z[i] / i - (i = 2)::INT, 2) FOR i IN range(1, 7)])) / 0.5) AS axes
+        FROM standard s JOIN scored c USING (row_id) WHERE s.split <> 'train'),
+        long_ AS (SELECT '0|' || split AS g_, centre AS score, y FROM given
+                  UNION ALL SELECT '1|' || split, axes, y FROM given UNION ALL SELECT '2|' || split, forest, y FROM given),
+        {_score_metrics('long_', 'g_')} SELECT CAST(split_part(g, '|', 1) AS INT) AS run, split_part(g, '|', 2) AS split,
+        {_metric_list(_METRIC_NAMES)} FROM metrics""",
     "forest_fixed_nodes": f"""WITH {STANDARD} SELECT row_id,
-        round(-pow(2, -({' + '.join(_path(t) for t in FIXED_TREES)}) / ({len(FIXED_TREES)}
-              * (2 * (ln(255) + 0.5772156649015329) - 2 * 255 / 256.0))), 6) + 0.0 AS score FROM standard""",
+        {r6(_FOREST, "score")} FROM standard""",
     "log_scale": f"WITH {JOURNAL} SELECT row_id, {_LOG_COLUMNS} FROM journal",
     "zscore": f"WITH {STANDARD} SELECT row_id, {_Z_COLUMNS} FROM journal JOIN (SELECT row_id, z FROM standard) USING (row_id)",
     "minmax": f"""WITH {JOURNAL}, ranges AS (SELECT {_RANGES} FROM journal WHERE split = 'train'),

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relevia.detectors.autoencoder import Autoencoder, fit_model_set
-from relevia.detectors.base import CentroidDetector, mean_vector
+from relevia.detectors.base import CentroidDetector, mean_vector, score_many
 from relevia.detectors.iforest import IsolationForest
 from relevia.detectors.ocsvm import OneClassSVM
 from relevia.detectors.pca import PcaDetector
@@ -31,7 +31,7 @@ from relevia.operators import similarity
 from relevia.operators.windows import trailing_counts
 from relevia.plans import journal as J
 from relevia.plans.detect import FLOW_GRIDS, LEDGER_GRIDS, param_grid, param_study
-from relevia.session import new_table_path
+from relevia.session import materialize, new_table_path
 from relevia.sources.sinks import write_explanation_set
 from relevia.sources.tables import read_explanation_set
 
@@ -703,13 +703,17 @@ def isolation_forest_flows(spark, folder):
     return rounded(forest.transform(rows).select("row_id", "score"))
 
 
-def forest_fixed_nodes(spark, folder):
-    """Scores of a forest whose nodes are given."""
-    df, _ = _all_and_train(spark, folder)
+def _fixed_forest() -> IsolationForest:
     names = ("field", "threshold", "left", "right", "path")
     kinds = (np.int32, np.float64, np.int32, np.int32, np.float64)
     trees = [{n: np.array(c, dtype=k) for n, c, k in zip(names, zip(*nodes), kinds)} for nodes in J.FIXED_TREES]
-    return rounded(IsolationForest(trees, 256).transform(df).select("row_id", "score"))
+    return IsolationForest(trees, 256)
+
+
+def forest_fixed_nodes(spark, folder):
+    """Scores of a forest whose nodes are given."""
+    df, _ = _all_and_train(spark, folder)
+    return rounded(_fixed_forest().transform(df).select("row_id", "score"))
 
 
 def ocsvm(spark, folder):
@@ -742,15 +746,26 @@ def embed(spark, folder):
 
 def model_set(spark, folder):
     df, train = _all_and_train(spark, folder)
-    models = fit_model_set(train, [0, 1, 2], n_layers=2, n_bottleneck=4)
-    frames = [m.transform(df).select(F.lit(s).alias("seed"), "row_id", "score") for s, m in enumerate(models)]
-    return rounded(frames[0].unionByName(frames[1]).unionByName(frames[2]))
+    models = fit_model_set(train, [0, 1, 2])
+    return rounded(score_many(df, models, ["row_id"], run="seed"))
 
 
 def param_study_query(spark, folder):
+    """The ledgers' whole grid of principal component detectors, each with two seeds."""
     encoder = E.make_encoder(J.CATEGORICAL, J.NUMERIC, "onehot", "zscore")
-    grid = {"n_components": [0.5, 0.95], "weighted": [True, False]}
-    return rounded(param_study(J.journal(spark, folder), encoder, "PCA", grid, label=S.labels_fraud_only(F.col("label"))))
+    label = S.labels_fraud_only(F.col("label"))
+    return rounded(param_study(J.journal(spark, folder), encoder, "PCA", LEDGER_GRIDS["PCA"], seeds=[0, 1], label=label))
+
+
+def study_fixed_models(spark, folder):
+    """Metrics of given models, scored together: a centre, the same with other weights, and given trees."""
+    df = J.standardized(J.journal(spark, folder))
+    y = S.binarize_label(S.labels_fraud_only(F.col("label")))
+    rows = df.select("row_id", "split", y.alias("y"), "features").where("split <> 'train'")
+    width = len(J.NUMERIC)
+    axes = PcaDetector(np.eye(width)[:2], np.array([1.0, 0.5]), np.zeros(width), np.arange(1.0, width + 1))
+    scores = score_many(rows, [CentroidDetector(_zeros()), axes, _fixed_forest()], ["split", "row_id", "y"])
+    return rounded(R.score_report(materialize(scores, "study-scores"), by=["run", "split"]))
 
 
 # --- flow features ---------------------------------------------------------------------
@@ -880,6 +895,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "reconstruct": reconstruct,
     "embed": embed,
     "model_set": model_set,
+    "study_fixed_models": study_fixed_models,
     "param_study": param_study_query,
     "conn_last_10s": conn_last_10s,
     "time_features": time_features,

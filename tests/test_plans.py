@@ -68,6 +68,43 @@ def test_study_covers_grid_and_seeds(ledger):
     }
 
 
+STUDIES = {
+    "PCA": {"n_components": [0.5, 3], "whiten": [False], "weighted": [True, False], "standardization": [True, False]},
+    "IsolationForest": {"n_estimators": [3, 5], "max_samples": [32, 0.8]},
+    "Autoencoder": {"n_layers": [1], "n_bottleneck": [2, 3], "epochs": [1, 3], "batch_size": [64, 128]},
+    "LocalOutlierFactor": {"n_neighbors": [5, 8]},
+}
+
+
+@pytest.mark.parametrize("algorithm", sorted(STUDIES))
+def test_runs_fitted_together_score_as_alone(ledger, monkeypatch, algorithm):
+    monkeypatch.setattr("relevia.detectors.iforest.SMALL_SAMPLE", 100)
+    encoder = E.make_encoder(J.CATEGORICAL, J.NUMERIC, "None", "minmax")
+    encoded = detect.encode_splits(ledger, encoder).cache()
+    train, rest = encoded.where("split = 'train'"), encoded.where("split <> 'train'")
+    runs = [(params, seed) for params in detect.param_grid(STUDIES[algorithm]) for seed in (0, 1)]
+    together = detect.run_scores(train, rest, algorithm, runs).toPandas()
+    assert sorted(set(together["run"])) == list(range(len(runs)))
+    for i in (0, len(runs) // 2, len(runs) - 1):
+        _, alone = detect.fit_and_score(encoded, algorithm, *runs[i])
+        alone = alone.toPandas().set_index("row_id")["score"].sort_index()
+        mine = together[together["run"] == i].set_index("row_id")["score"].sort_index()
+        assert mine.index.equals(alone.index)
+        assert mine.to_numpy() == pytest.approx(alone.to_numpy(), abs=1e-9)
+
+
+def test_jobs_of_a_study_do_not_grow_with_its_runs(spark, ledger):
+    encoder = E.make_encoder(J.CATEGORICAL, J.NUMERIC, "None", "zscore")
+    jobs = []
+    for seeds in ([0], list(range(10))):
+        spark.sparkContext.setJobGroup(f"study-{len(seeds)}", "")
+        rows = detect.param_study(ledger, encoder, "PCA", detect.LEDGER_GRIDS["PCA"], seeds=seeds).collect()
+        assert len(rows) == 2 * 24 * len(seeds)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"study-{len(seeds)}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[1] <= jobs[0] + 2
+
+
 @pytest.fixture(scope="module")
 def prepared(ledger):
     encoder = E.make_encoder(J.CATEGORICAL, J.NUMERIC, "onehot", "minmax").fit(ledger.where("split = 'train'"))
