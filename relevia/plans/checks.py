@@ -495,6 +495,13 @@ CHECKS: dict[str, str] = {
         {_text('[' + ', '.join(_code(c, _NO_MEDIUM) for c in ('status', 'priority', 'segment')) + ']')} AS codes FROM journal""",
     "ordinal_inverse": f"""WITH {JOURNAL} SELECT row_id,
         {', '.join(_known(c, _NO_MEDIUM) for c in ('status', 'priority', 'segment'))} FROM journal""",
+    "lasso_support": f"""WITH {STANDARD},
+        sized AS (SELECT row_id, list_reverse_sort([abs(v) FOR v IN z]) AS a FROM standard),
+        knots AS (SELECT row_id, a, k, CASE WHEN k < 6 THEN a[k + 1] ELSE 0 END AS penalty FROM sized, range(0, 7) AS t(k)),
+        judged AS (SELECT row_id, k, (list_sum([v * v FOR v IN a]) + 50
+                   - coalesce(list_sum([v * v - penalty * penalty FOR v IN a[1:k]]), 0)) / (50 / 93.0) + 2 * k AS aic,
+                   k - len([v FOR v IN a[1:k] IF v = penalty]) AS used FROM knots)
+        SELECT row_id, CAST(arg_min(used, aic) AS INT) AS kept FROM judged GROUP BY row_id""",
     "study_fixed_models": f"""WITH {SCORED}, given AS (
         SELECT s.row_id, s.split, c.y, s.z, c.score AS centre, {_FOREST} AS forest,
                -(sqrt(list_sum([power(z[i] / i - (i = 1)::INT, 2) FOR i IN range(1, 7)])) / 1.0

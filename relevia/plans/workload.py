@@ -14,12 +14,14 @@ from relevia.detectors.iforest import IsolationForest
 from relevia.detectors.ocsvm import OneClassSVM
 from relevia.detectors.pca import PcaDetector
 from relevia.explain import baselines, gradients
+from relevia.explain.lasso import aic_supports
 from relevia.explain.lime import lime
 from relevia.explain.optimize import descent_reference, dynamic_background_shap, optimum_reference
 from relevia.explain.reference import add_reference, background_summary, kmeans_reference
 from relevia.explain.shap import kernel_shap, shap_exact
 from relevia.functions import timefeat
 from relevia.functions import vectors as V
+from relevia.functions.arrow import with_vector
 from relevia.operators import consistency as C
 from relevia.operators import encode as E
 from relevia.operators import explmetrics as M
@@ -558,8 +560,15 @@ def _numeric_rows(spark, folder) -> tuple[DataFrame, DataFrame]:
     return S.get_frauds(encoded).select("row_id", "features"), _train(encoded).select("row_id", "features")
 
 
-def _small_network(train: DataFrame) -> Autoencoder:
-    return Autoencoder.fit(train, n_layers=2, n_bottleneck=4)
+_FITTED: dict[tuple[str, str, str], Autoencoder] = {}
+
+
+def _network(spark, folder: str, inputs: str, train: DataFrame) -> Autoencoder:
+    """The default autoencoder of a session's training rows; queries on the same inputs share one fit."""
+    key = (spark.sparkContext.applicationId, folder, inputs)
+    if key not in _FITTED:
+        _FITTED[key] = Autoencoder.fit(train)
+    return _FITTED[key]
 
 
 def _attributed(df: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
@@ -610,6 +619,18 @@ def shap_top_features(spark, folder):
     return _attributed(kernel_shap(pointed, detector, top_features=5))
 
 
+def lasso_support(spark, folder):
+    """How many features the criterion keeps along the path of an orthogonal design, with z-scores as products."""
+    df = J.standardized(J.journal(spark, folder)).select("row_id", "features")
+    width = len(J.NUMERIC)
+
+    def count(x: np.ndarray) -> np.ndarray:
+        return aic_supports(np.eye(width), x, (x**2).sum(axis=1) + 50.0, 100).sum(axis=1)
+
+    counted = with_vector(df, ["features"], "kept", count, scalar=True)
+    return counted.select("row_id", F.col("kept").cast("int").alias("kept"))
+
+
 def shap_nearest(spark, folder):
     rows, train = _numeric_rows(spark, folder)
     pointed = add_reference(rows, "NN", train)
@@ -627,46 +648,46 @@ def lime_query(spark, folder):
 
 def saliency(spark, folder):
     rows, train = _matrix_rows(spark, folder)
-    return _attributed(gradients.saliency(rows, _small_network(train).network))
+    return _attributed(gradients.saliency(rows, _network(spark, folder, "matrix", train).network))
 
 
 def grad_input(spark, folder):
     rows, train = _matrix_rows(spark, folder)
-    return _attributed(gradients.gradient_times_input(rows, _small_network(train).network))
+    return _attributed(gradients.gradient_times_input(rows, _network(spark, folder, "matrix", train).network))
 
 
 def integrated_gradients(spark, folder):
     rows, train = _matrix_rows(spark, folder)
-    network = _small_network(train).network
+    network = _network(spark, folder, "matrix", train).network
     return _attributed(gradients.integrated_gradients(add_reference(rows, "mean", train), network))
 
 
 def lrp(spark, folder):
     rows, train = _matrix_rows(spark, folder)
-    return _attributed(gradients.lrp(rows, _small_network(train).network), ["convergence_gap"])
+    return _attributed(gradients.lrp(rows, _network(spark, folder, "matrix", train).network), ["convergence_gap"])
 
 
 def reference_optimum(spark, folder):
     rows, train = _numeric_rows(spark, folder)
-    found = optimum_reference(rows, _small_network(train).network)
+    found = optimum_reference(rows, _network(spark, folder, "numeric", train).network)
     return rounded(found.select("row_id", F.posexplode("reference").alias("position", "value")))
 
 
 def reference_descent(spark, folder):
     rows, train = _numeric_rows(spark, folder)
-    found = descent_reference(rows, _small_network(train).network)
+    found = descent_reference(rows, _network(spark, folder, "numeric", train).network)
     return rounded(found.select("row_id", F.posexplode("reference").alias("position", "value")))
 
 
 def shap_optimized(spark, folder):
     rows, train = _numeric_rows(spark, folder)
-    network = _small_network(train).network
+    network = _network(spark, folder, "numeric", train).network
     return _attributed(dynamic_background_shap(rows, network, "optimized"), ["expected_value"])
 
 
 def shap_full(spark, folder):
     rows, train = _numeric_rows(spark, folder)
-    network = _small_network(train).network
+    network = _network(spark, folder, "numeric", train).network
     return _attributed(dynamic_background_shap(rows, network, "full"), ["expected_value"])
 
 
@@ -729,18 +750,18 @@ def pca_detector(spark, folder):
 
 def autoencoder(spark, folder):
     df, train = _all_and_train(spark, folder)
-    return rounded(_small_network(train).transform(df).select("row_id", "score"))
+    return rounded(_network(spark, folder, "standardized", train).transform(df).select("row_id", "score"))
 
 
 def reconstruct(spark, folder):
     df, train = _all_and_train(spark, folder)
-    found = _small_network(train).reconstruct(df)
+    found = _network(spark, folder, "standardized", train).reconstruct(df)
     return spread(found, "reconstruction", J.NUMERIC, "row_id")
 
 
 def embed(spark, folder):
     df, train = _all_and_train(spark, folder)
-    found = _small_network(train).embed(df)
+    found = _network(spark, folder, "standardized", train).embed(df)
     return rounded(found.select("row_id", F.posexplode("embedding").alias("position", "value")))
 
 
@@ -875,6 +896,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "shap_kmeans": shap_kmeans,
     "shap_summary": shap_summary,
     "shap_top_features": shap_top_features,
+    "lasso_support": lasso_support,
     "shap_nearest": shap_nearest,
     "lime": lime_query,
     "saliency": saliency,
