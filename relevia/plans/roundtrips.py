@@ -5,6 +5,8 @@ Each result can be worked out from the tables alone, so each has an SQL check be
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,25 +80,37 @@ def named_splits(spark, folder):
     return _rounded(found.drop("row_id"))
 
 
-def catalog_scan(spark, folder):
-    """A transposed catalog with one column per nation, read back by position."""
-    nations = {r["n_nationkey"]: r for r in J.read_table(spark, folder, "nation").collect()}
-    keys = sorted(nations)
+def _journal_catalog(spark) -> DataFrame:
+    """The journal's columns as a transposed catalog file, read back by position."""
+    roles = {**dict.fromkeys(J.CATEGORICAL, "cat"), **dict.fromkeys(J.NUMERIC, "num"), "label": "note"}
+    flag = {"note": "-1.0"}
     rows = [
-        ("ger", *[nations[k]["n_name"].lower() for k in keys]),
-        ("en", *[nations[k]["n_name"] for k in keys]),
-        ("cat", *["1.0" if nations[k]["n_regionkey"] == 0 else "0.0" for k in keys]),
-        ("num", *["1.0" if nations[k]["n_regionkey"] == 1 else "0.0" for k in keys]),
+        ("ger", *[f"{name} (de)" for name in roles]),
+        ("en", *roles),
+        ("cat", *["1.0" if r == "cat" else flag.get(r, "0.0") for r in roles.values()]),
+        ("num", *["1.0" if r == "num" else flag.get(r, "0.0") for r in roles.values()]),
     ]
     path = new_table_path(spark, "catalog")
-    spark.createDataFrame(rows, ["tag", *map(str, keys)]).coalesce(1).write.csv(path, header=True)
+    spark.createDataFrame(rows, ["tag", *map(str, range(len(roles)))]).coalesce(1).write.csv(path, header=True)
     return K.read_catalog(spark, path)
 
 
+def catalog_scan(spark, folder):
+    """Every column of the catalog with the journal rows that have a value and the values that differ."""
+    catalog, df = _journal_catalog(spark), J.journal(spark, folder)
+    names = K.catalog_names(catalog, "en")
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(n).alias("name_en"), F.col(n).cast("string").alias("value")) for n in names])).alias("c"))
+    counted = long.groupBy("c.name_en").agg(F.count("c.value").alias("filled"), F.countDistinct("c.value").alias("different"))
+    return catalog.join(counted, "name_en").select("pos", "name_de", "name_en", "role", "filled", "different")
+
+
 def catalog_column_names(spark, folder):
-    """Names of the roles that are encoded, in file order."""
-    names = K.column_names(catalog_scan(spark, folder), "en")
-    return spark.createDataFrame(list(enumerate(names)), "place long, name string")
+    """How many of the columns that are encoded, by the catalog, each journal row fills; numbers and categories apart."""
+    catalog, df = _journal_catalog(spark), J.journal(spark, folder)
+    numeric, categorical = K.column_dtypes(catalog, "en")
+    filled = lambda names: F.size(F.array_compact(F.array(*[F.col(n).cast("string") for n in names])))
+    all_names = K.column_names(catalog, "en")
+    return df.select("row_id", filled(numeric).alias("numbers"), filled(categorical).alias("categories"), filled(all_names).alias("encoded"))
 
 
 def gold_scan(spark, folder):
@@ -294,8 +308,17 @@ QUERIES = {
 # --- SQL -------------------------------------------------------------------------------
 
 _LEDGER = f"'Schlüssel-' || row_id AS key, {', '.join(J.CATEGORICAL)}, " + ", ".join(_r(c, c) for c in J.NUMERIC) + ", label"
-_CATALOG = """SELECT n_nationkey::INTEGER AS pos, lower(n_name) AS name_de, n_name AS name_en,
-    CASE n_regionkey WHEN 0 THEN 'cat' WHEN 1 THEN 'num' ELSE 'note' END AS role FROM nation"""
+_ROLES = [*[(c, "cat") for c in J.CATEGORICAL], *[(c, "num") for c in J.NUMERIC], ("label", "note")]
+_CATALOG = f"WITH {JOURNAL} " + " UNION ALL ".join(
+    f"SELECT {i} AS pos, '{c} (de)' AS name_de, '{c}' AS name_en, '{r}' AS role, count({c}) AS filled, count(DISTINCT {c}) AS different FROM journal"
+    for i, (c, r) in enumerate(_ROLES)
+)
+
+
+def _filled(names: Sequence[str]) -> str:
+    return "(" + " + ".join(f"({c} IS NOT NULL)::INT" for c in names) + ")"
+
+
 _FLOW = ", ".join(f"({p}, '{s}')" for s, ps in K.flow_group_positions().items() for p in ps)
 
 
@@ -335,8 +358,8 @@ CHECKS = {
     "ledger_row_ids": "SELECT unnest(range(0, count(*))) AS row_id FROM orders",
     "named_splits": f"WITH {JOURNAL} SELECT {_LEDGER}, split FROM journal",
     "catalog_scan": _CATALOG,
-    "catalog_column_names": f"""SELECT row_number() OVER (ORDER BY pos) - 1 AS place, name_en AS name
-        FROM ({_CATALOG}) WHERE role <> 'note'""",
+    "catalog_column_names": f"""WITH {JOURNAL} SELECT row_id, {_filled(J.NUMERIC)} AS numbers, {_filled(J.CATEGORICAL)} AS categories,
+        {_filled([*J.CATEGORICAL, *J.NUMERIC])} AS encoded FROM journal""",
     "gold_scan": f"""WITH {EXPLAINED}, f AS (SELECT * FROM explained WHERE label LIKE 'Fraud%')
         SELECT row_id, unnest({J.NUMERIC}) AS feature, unnest(gold) AS gold FROM f""",
     "explanation_scan": f"""WITH {EXPLAINED}, l AS (SELECT row_id, unnest({J.NUMERIC}) AS feature, unnest(phi) AS v FROM explained)
