@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from relevia.llm.encoder import Encoder, default_vocabulary
 from relevia.llm.textkit import list_array
-from relevia.session import new_table_path, small_batches
+from relevia.session import materialize, new_table_path, small_batches
 
 SCHEMA = "doc_id long, tokens array<int>"
 
@@ -117,7 +117,8 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
     found = found.select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"), "doc_id", "tokens"
     )
-    rows = found.mapInArrow(_digests, "file string, row long, doc_id long, n_tokens long, ids_crc32 long")
+    # read twice below: written once, so that the ids are read and summed once
+    rows = materialize(found.mapInArrow(_digests, "file string, row long, doc_id long, n_tokens long, ids_crc32 long"), "token-index")
     inside = Window.partitionBy("file").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("ahead", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
     # one row per file; names carry the number of the range, which is the order of doc_id
