@@ -588,8 +588,8 @@ CHECKS: dict[str, str] = {
     "pair_histogram": f"""WITH {CUBE}, long AS ({_PAIR_LONG}),
         scaled AS (SELECT metric, value / CASE WHEN metric LIKE '%euclid%' AND max(value) OVER (PARTITION BY metric) > 1
                                                THEN max(value) OVER (PARTITION BY metric) ELSE 1 END AS v FROM long),
-        limits AS (SELECT metric, min(v) AS lo, (max(v) - min(v)) / 20 AS w, count(*) AS n FROM scaled GROUP BY metric),
-        placed AS (SELECT metric, lo, w, n, CAST(least(19, floor((v - lo) / w)) AS INTEGER) AS bin FROM scaled JOIN limits USING (metric))
+        limits AS (SELECT metric, min(v) AS lo, (max(v) - min(v)) / 75 AS w, count(*) AS n FROM scaled GROUP BY metric),
+        placed AS (SELECT metric, lo, w, n, CAST(least(74, floor((v - lo) / w)) AS INTEGER) AS bin FROM scaled JOIN limits USING (metric))
         SELECT metric, bin, count(*) AS pairs, {r6('any_value(lo + bin * w)', 'from_value')},
                {r6('count(*) / any_value(n * w)', 'density')} FROM placed GROUP BY metric, bin""",
     "hamming_matrix": f"""WITH {PATTERNS} SELECT a.pattern AS pattern_a, a.rows AS rows_a, b.pattern AS pattern_b,

@@ -412,7 +412,7 @@ def pair_histogram(spark, folder):
     explanations, seeds = _signed_set(spark, folder)
     pairs = C.consistency(explanations, k=3, seeds=seeds)
     names = ["euclid_abs", "euclid", "sign_disagreement", "feature_disagreement"]
-    return rounded(C.density_histogram(pairs, names, bins=20))
+    return rounded(C.density_histogram(pairs, names))
 
 
 def hamming_matrix(spark, folder):
