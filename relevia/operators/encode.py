@@ -89,7 +89,7 @@ class OneHotEncoder:
     def fit(self, df: DataFrame) -> "OneHotEncoder":
         found = _literal_categories(distinct_values(df, self.columns), MAX_ENCODED_WIDTH)
         if found is None:
-            raise ValueError(f"more than {MAX_ENCODED_WIDTH} categories: use OrdinalEncoder")
+            raise ValueError(f"more than {MAX_ENCODED_WIDTH} categories: use SparseEncoder or OrdinalEncoder")
         self.categories = {c: found.get(c, []) for c in self.columns}
         return self
 

@@ -387,6 +387,33 @@ patterns AS (SELECT array_to_string(h, '') AS pattern, any_value(h) AS h, count(
 """
 _DIFFER = " + ".join(f"(CASE WHEN a.h[{i}] <> b.h[{i}] THEN 1 ELSE 0 END)" for i, _ in FIELDS)
 
+# --- sparse rows -----------------------------------------------------------------------
+
+_SPARSE_COLUMNS = ("customer", "status", "priority")
+_PLACE = " ".join(
+    f"LEFT JOIN codes AS {c} ON {c}.source_name = '{c}' AND {c}.value = coalesce(CAST(o.{c} AS VARCHAR), 'nan')"
+    for c in _SPARSE_COLUMNS
+)
+_CELLS = " UNION ALL ".join(
+    f"SELECT '{c}' AS source_name, {i} AS turn, coalesce(CAST({c} AS VARCHAR), 'nan') AS value FROM fit_rows"
+    for i, c in enumerate(_SPARSE_COLUMNS)
+)
+SPARSE = f"""
+o AS (SELECT o_orderkey AS row_id, o_custkey AS customer, o_orderstatus AS status, o_orderpriority AS priority,
+             coalesce(o_totalprice, 0) AS totalprice, o_orderdate < TIMESTAMP '{TRAIN_UNTIL}' AS train FROM orders),
+fit_rows AS (SELECT * FROM o WHERE train AND row_id % 3 <> 0),
+codes AS (SELECT source_name, value, row_number() OVER (ORDER BY turn, value) - 1 AS place
+          FROM (SELECT DISTINCT source_name, turn, value FROM ({_CELLS}))),
+limits AS (SELECT min(totalprice) AS low, coalesce(nullif(max(totalprice) - min(totalprice), 0), 1) AS span FROM fit_rows),
+encoded AS (SELECT o.row_id, o.train, customer.place AS customer, status.place AS status, priority.place AS priority,
+                   (totalprice - low) / span AS price FROM o {_PLACE}, limits)
+"""
+_ERROR = {
+    c: f"(SELECT sum(m * m) FROM means WHERE source_name = '{c}') + CASE WHEN {c} IS NULL THEN 0 ELSE 1 - 2 * coalesce("
+    f"(SELECT m FROM means WHERE place = {c}), 0) END"
+    for c in _SPARSE_COLUMNS
+}
+
 # --- neighbours ------------------------------------------------------------------------
 
 DISTANCES = """
@@ -491,6 +518,21 @@ CHECKS: dict[str, str] = {
     "onehot_unseen": f"WITH {JOURNAL} SELECT row_id, {_text(_bits('priority', _NO_URGENT, -1))} AS bits FROM journal",
     "onehot_inverse": f"""WITH {JOURNAL} SELECT row_id,
         {', '.join(_known(c, _NO_URGENT) for c in ('status', 'priority', 'segment'))} FROM journal""",
+    "sparse_onehot": f"""WITH {SPARSE} SELECT row_id, array_to_string(list_filter([customer, status, priority,
+          CASE WHEN price = 1 THEN (SELECT count(*) FROM codes) END], lambda v: v IS NOT NULL), ',') AS positions FROM encoded""",
+    "sparse_onehot_inverse": f"""WITH {SPARSE} SELECT o.row_id, customer.value AS customer, status.value AS status,
+        priority.value AS priority FROM o {_PLACE}""",
+    "sparse_names": f"""WITH {SPARSE} SELECT place AS enc_pos, source_name || '_' || value AS enc_name, source_name, 'cat' AS kind FROM codes
+        UNION ALL SELECT count(*), 'totalprice', 'totalprice', 'num' FROM codes""",
+    "sparse_centroid": f"""WITH {SPARSE},
+        sizes AS (SELECT count(*) AS n, avg(price) AS price FROM encoded WHERE train),
+        used AS (SELECT unnest([customer, status, priority]) AS place FROM encoded WHERE train),
+        means AS (SELECT place, source_name, any_value(n) AS n, count(*) / any_value(n) AS m FROM used JOIN codes USING (place), sizes
+                  GROUP BY place, source_name),
+        errors AS (SELECT row_id, {', '.join(f"{_ERROR[c]} AS error_{c}" for c in _SPARSE_COLUMNS)},
+                          (encoded.price - sizes.price) ** 2 AS error_totalprice FROM encoded, sizes)
+        SELECT row_id, {r6('-sqrt(error_customer + error_status + error_priority + error_totalprice)', 'score')},
+               {', '.join(r6(f'error_{c}', f'error_{c}') for c in (*_SPARSE_COLUMNS, 'totalprice'))} FROM errors""",
     "ordinal": f"""WITH {JOURNAL} SELECT row_id,
         {_text('[' + ', '.join(_code(c, _NO_MEDIUM) for c in ('status', 'priority', 'segment')) + ']')} AS codes FROM journal""",
     "ordinal_inverse": f"""WITH {JOURNAL} SELECT row_id,

@@ -29,7 +29,7 @@ from relevia.operators import groups as G
 from relevia.operators import neighbors as N
 from relevia.operators import ranking as R
 from relevia.operators import shape as S
-from relevia.operators import similarity
+from relevia.operators import similarity, sparse
 from relevia.operators.windows import trailing_counts
 from relevia.plans import journal as J
 from relevia.plans.detect import FLOW_GRIDS, LEDGER_GRIDS, param_grid, param_study
@@ -185,6 +185,50 @@ def onehot_inverse(spark, folder):
     return encoder.inverse(encoder.transform(df).select("row_id", "features")).drop("features")
 
 
+def _sparse_orders(spark, folder) -> tuple[DataFrame, sparse.SparseEncoder]:
+    """Orders with their customer as one category among many, as sparse rows; later customers are unseen."""
+    orders = J.read_table(spark, folder, "orders").select(
+        F.col("o_orderkey").alias("row_id"),
+        F.col("o_custkey").alias("customer"),
+        F.col("o_orderstatus").alias("status"),
+        F.col("o_orderpriority").alias("priority"),
+        F.col("o_totalprice").alias("totalprice"),
+        (F.col("o_orderdate") < F.lit(J.TRAIN_UNTIL).cast("timestamp_ntz")).alias("train"),
+    )
+    encoder = sparse.SparseEncoder(["customer", "status", "priority"], E.MinMaxScaler(["totalprice"]), literal_limit=100)
+    encoder.fit(orders.where("train AND row_id % 3 <> 0"))
+    return encoder.transform(orders), encoder
+
+
+def sparse_onehot(spark, folder):
+    encoded, _ = _sparse_orders(spark, folder)
+    positions = F.transform(F.filter("features", lambda e: e["value"] == 1.0), lambda e: e["at"])
+    return encoded.select("row_id", digits_text(positions).alias("positions"))
+
+
+def sparse_onehot_inverse(spark, folder):
+    encoded, encoder = _sparse_orders(spark, folder)
+    return encoder.inverse(encoded.select("row_id", "features")).drop("features")
+
+
+def sparse_names(spark, folder):
+    return _sparse_orders(spark, folder)[1].names(spark)
+
+
+def sparse_centroid(spark, folder):
+    encoded, encoder = _sparse_orders(spark, folder)
+    detector = sparse.SparseCentroid.fit(encoded.where("train"), encoder)
+    scored = detector.source_errors(detector.transform(encoded.select("row_id", "features"), "row_id"), "row_id")
+    errors = [F.element_at("errors", i + 1).alias(f"error_{c}") for i, c in enumerate(encoder.source_ranges())]
+    return rounded(scored.select("row_id", "score", *errors))
+
+
+def sparse_pca(spark, folder):
+    encoded, encoder = _sparse_orders(spark, folder)
+    detector = sparse.SparsePca.fit(encoded.where("train"), encoder.width, 4, "row_id")
+    return detector.transform(encoded, "row_id").select("row_id", "score")
+
+
 def ordinal(spark, folder):
     df = J.journal(spark, folder)
     encoder = E.OrdinalEncoder(J.CATEGORICAL).fit(_train(df).where("priority <> '3-MEDIUM'"))
@@ -834,6 +878,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "onehot": onehot,
     "onehot_unseen": onehot_unseen,
     "onehot_inverse": onehot_inverse,
+    "sparse_onehot": sparse_onehot,
+    "sparse_onehot_inverse": sparse_onehot_inverse,
+    "sparse_names": sparse_names,
+    "sparse_centroid": sparse_centroid,
+    "sparse_pca": sparse_pca,
     "ordinal": ordinal,
     "ordinal_inverse": ordinal_inverse,
     "log_scale": log_scale,
