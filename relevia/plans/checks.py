@@ -636,6 +636,8 @@ CHECKS: dict[str, str] = {
                {r6('count(*) / any_value(n * w)', 'density')} FROM placed GROUP BY metric, bin""",
     "hamming_matrix": f"""WITH {PATTERNS} SELECT a.pattern AS pattern_a, a.rows AS rows_a, b.pattern AS pattern_b,
         b.rows AS rows_b, {r6(f'({_DIFFER}) / 6', 'distance')} FROM patterns a, patterns b""",
+    "hamming_rows": f"""WITH {PATTERNS}, f AS (SELECT * FROM flags WHERE label LIKE 'Fraud%')
+        SELECT a.row_id AS row_a, b.row_id AS row_b, {r6(f'({_DIFFER}) / 6', 'distance')} FROM f a, f b""",
     "hamming_by_label": f"""WITH {PATTERNS},
         by_label AS (SELECT label, h, count(*) AS n FROM flags GROUP BY label, h)
         SELECT class_a, class_b, {r6('total / pairs', 'distance')} FROM (

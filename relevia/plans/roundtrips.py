@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relevia.detectors.autoencoder import Autoencoder, Network
+from relevia.detectors.pca import PcaDetector
 from relevia.detectors.base import CentroidDetector
 from relevia.explain import gradients
 from relevia.operators import encode as E
@@ -262,6 +263,22 @@ def network_grad_input(spark, folder):
     return _rounded(found.select("row_id", F.posexplode("phi").alias("position", "value")))
 
 
+def network_relevance(spark, folder):
+    """Relevance on a scale that shows large and small values alike: shares of a sum near zero are large."""
+    found = gradients.lrp(_standard(spark, folder), _set_network())
+    return _rounded(found.select("row_id", F.posexplode("phi").alias("position", "value")).withColumn("value", F.asinh("value")))
+
+
+_COMPONENTS = [([0.5, 0.5, 0.5, 0.5, 0.0, 0.0], 0.5), ([0.0, 0.0, 0.0, 0.0, 0.6, -0.8], 0.25), ([1.0, 0.0, 0.0, 0.0, 0.0, 0.0], 0.125)]
+
+
+def components_score(spark, folder):
+    """The principal component detector's score with set components, by batches and as an expression."""
+    detector = PcaDetector(np.array([c for c, _ in _COMPONENTS]), np.array([w for _, w in _COMPONENTS]), np.full(6, 0.25), np.full(6, 2.0))
+    found = detector.transform(_standard(spark, folder)).withColumn("expression", detector.expression(F.col("features")))
+    return _rounded(found.select("row_id", "score", "expression"))
+
+
 def network_path(spark, folder):
     """Gradients on the path from zero, at two places of it."""
     df = _standard(spark, folder).withColumn("reference", F.array(*[F.lit(0.0)] * 6))
@@ -302,6 +319,8 @@ QUERIES = {
     "network_saliency": network_saliency,
     "network_grad_input": network_grad_input,
     "network_path": network_path,
+    "network_relevance": network_relevance,
+    "components_score": components_score,
     "explanation_by_gradient": explanation_by_gradient,
 }
 
@@ -350,6 +369,32 @@ def _each(value: str, source: str = "net") -> str:
     return " UNION ALL ".join(parts)
 
 
+def _relevance_sql() -> str:
+    """The set network's relevance from its steps, layer by layer from the output back."""
+    w1, b1, w2, b2, w3, b3, w4, b4 = _set_network().weights
+
+    def layer(weights, bias, inputs, passed, out, shares):
+        grown = [[float(v + gradients.GAMMA * max(v, 0.0)) for v in row] for row in weights]
+        made = [" + ".join(f"{v!r} * {x}" for v, x in zip(row, inputs)) + f" + {float(b)!r}" for row, b in zip(grown, bias)]
+        made = [f"({p}) / ({m} + CASE WHEN {m} >= 0 THEN 1 ELSE -1 END * {gradients.STABILITY!r}) AS {shares}{i}" for i, (p, m) in enumerate(zip(passed, made))]
+        back = [f"{x} * ({' + '.join(f'{row[j]!r} * {shares}{i}' for i, row in enumerate(grown))}) AS {out}{j}" for j, x in enumerate(inputs)]
+        return ", ".join(made), ", ".join(back)
+
+    x = [f"x{i}" for i in range(6)]
+    whole = " + ".join(f"(o{i} - x{i}) ** 2" for i in range(6))
+    steps = [
+        layer(w4, b4, ["g0", "g1"], [f"(o{i} - x{i}) ** 2 / greatest(size, {gradients.STABILITY!r})" for i in range(6)], "rg", "s4_"),
+        layer(w3, b3, ["e"], ["rg0", "rg1"], "re", "s3_"),
+        layer(w2, b2, ["h0", "h1"], ["re0"], "rh", "s2_"),
+        layer(w1, b1, x, ["rh0", "rh1"], "r", "s1_"),
+    ]
+    parts, before = [f"l0 AS (SELECT *, sqrt({whole}) AS size FROM net)"], "l0"
+    for number, (made, back) in enumerate(steps, start=1):
+        parts += [f"m{number} AS (SELECT *, {made} FROM {before})", f"l{number} AS (SELECT *, {back} FROM m{number})"]
+        before = f"l{number}"
+    return ", ".join(parts)
+
+
 _NODES = [(1 - 3**-0.5) / 2, (1 + 3**-0.5) / 2]
 _PATH = " UNION ALL ".join(f"SELECT * FROM (WITH {_network_sql(repr(t))} SELECT * FROM net)" for t in _NODES)
 
@@ -386,6 +431,10 @@ CHECKS = {
     "network_score": f"WITH {STANDARD}, {_network_sql()} SELECT row_id, {_r('-err', 'score')} FROM net",
     "network_saliency": f"WITH {STANDARD}, {_network_sql()} {_each('p{i}')}",
     "network_grad_input": f"WITH {STANDARD}, {_network_sql()} {_each('p{i} * x{i}')}",
+    "network_relevance": f"WITH {STANDARD}, {_network_sql()}, {_relevance_sql()} {_each('asinh(r{i})', 'l4')}",
+    "components_score": f"""WITH {STANDARD}, x AS (SELECT row_id, [(v - 0.25) / 2.0 FOR v IN z] AS x FROM standard)
+        SELECT row_id, {", ".join(_r("-(" + " + ".join(f"list_distance(x, {c}::DOUBLE[]) / {w}" for c, w in _COMPONENTS) + ")", n) for n in ("score", "expression"))}
+        FROM x""",
     "network_path": f"""WITH {STANDARD}, both_ AS ({_PATH}), mean_ AS (
         SELECT row_id, {", ".join(f"avg(p{i}) * any_value(z[{i + 1}]) AS v{i}" for i in range(6))} FROM both_ GROUP BY row_id)
         {_each('v{i}', 'mean_')}""",

@@ -463,6 +463,12 @@ def hamming_matrix(spark, folder):
     return rounded(similarity.pattern_matrix(J.explained(J.journal(spark, folder))))
 
 
+def hamming_rows(spark, folder):
+    frauds = J.explained(J.journal(spark, folder)).where("label LIKE 'Fraud%'")
+    found = similarity.hamming_matrix(frauds)
+    return rounded(found)
+
+
 def hamming_by_label(spark, folder):
     return rounded(similarity.class_distances(J.explained(J.journal(spark, folder))))
 
@@ -924,6 +930,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "topk_euclid_as_written": topk_euclid_as_written,
     "pair_histogram": pair_histogram,
     "hamming_matrix": hamming_matrix,
+    "hamming_rows": hamming_rows,
     "hamming_by_label": hamming_by_label,
     "nn_reference": nn_reference,
     "knn": knn,

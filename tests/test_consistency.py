@@ -125,8 +125,28 @@ def test_row_similarity(spark, cube):
         assert r["distance"] == pytest.approx(expected)
 
 
-def test_matrix_size_is_checked(spark, monkeypatch):
-    monkeypatch.setattr(S, "MAX_MATRIX_ROWS", 2)
-    df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(3)], "row_id long, phi array<double>")
-    with pytest.raises(ValueError):
-        S.hamming_matrix(df)
+@pytest.mark.parametrize("width", [1, 64, 150])
+def test_matrix_in_blocks(spark, monkeypatch, width):
+    """Blocks far smaller than the rows, more fields than a word has, equal rows and rows without attributions."""
+    monkeypatch.setattr(S, "BLOCK", 8)
+    phi = np.random.default_rng(width).random((60, width)) ** 3
+    phi[50:] = phi[:10]
+    rows = [(i, v.tolist()) for i, v in enumerate(phi)] + [(99, None)]
+    df = spark.createDataFrame(rows, "row_id long, phi array<double>")
+    flags = phi > 0.25 * phi.max(axis=1, keepdims=True)
+    direct = (flags[:, None, :] != flags[None, :, :]).mean(axis=2)
+    found = S.hamming_matrix(df).collect()
+    assert sorted((r["row_a"], r["row_b"]) for r in found) == [(a, b) for a in range(60) for b in range(60)]
+    assert all(r["distance"] == pytest.approx(direct[r["row_a"], r["row_b"]]) for r in found)
+    text = ["".join("01"[int(x)] for x in f) for f in flags]
+    place = {t: i for i, t in enumerate(text)}
+    pairs = S.pattern_matrix(df).collect()
+    assert len(pairs) == len(place) ** 2
+    for r in pairs:
+        assert (r["rows_a"], r["rows_b"]) == (text.count(r["pattern_a"]), text.count(r["pattern_b"]))
+        assert r["distance"] == pytest.approx(direct[place[r["pattern_a"]], place[r["pattern_b"]]])
+
+
+def test_matrix_of_nothing(spark):
+    df = spark.createDataFrame([(1, None)], "row_id long, phi array<double>")
+    assert S.hamming_matrix(df).collect() == [] and S.pattern_matrix(df).collect() == []

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
+from relevia.operators import windows
 from relevia.operators.windows import trailing_counts
 
 QUERIES = contract.queries()
@@ -39,7 +40,9 @@ def test_row_metrics_add_no_shuffle(spark, folder):
     assert "Exchange" not in plan
 
 
-def test_trailing_counts_on_a_hot_key(spark):
+@pytest.mark.parametrize("crowded", [1, 20, 1 << 16])
+def test_trailing_counts_on_a_hot_key(spark, monkeypatch, crowded):
+    monkeypatch.setattr(windows, "CROWDED", crowded)
     rng = np.random.default_rng(0)
     start = dt.datetime(2024, 1, 1)
     seconds = np.sort(rng.choice(np.arange(0, 3000, 0.5), 600))
@@ -55,10 +58,31 @@ def test_trailing_counts_on_a_hot_key(spark):
             assert found[i][position] == window.sum()
 
 
-def test_trailing_counts_with_repeats_and_nulls(spark):
+@pytest.mark.parametrize("crowded", [1, 1 << 16])
+def test_trailing_counts_with_repeats_and_nulls(spark, monkeypatch, crowded):
+    monkeypatch.setattr(windows, "CROWDED", crowded)
     rows = [(0, "a", 10.0), (1, "a", 10.0), (2, "a", 12.0), (3, None, 11.0), (4, None, 11.5), (5, "a", None), (6, "a", 400.0)]
     start = dt.datetime(2024, 1, 1)
     data = [(i, k, None if s is None else start + dt.timedelta(seconds=s)) for i, k, s in rows]
     df = spark.createDataFrame(data, "id long, k string, ts timestamp")
     found = {r["id"]: r["near"] for r in trailing_counts(df, "k", "ts", {"near": 2}).collect()}
     assert found == {0: 2, 1: 2, 2: 3, 3: 1, 4: 2, 5: None, 6: 1}
+
+
+def test_trailing_counts_in_one_shuffle(spark, folder):
+    events = spark.read.parquet(f"{folder}/events.parquet").select("event_id", "user_id", "ts")
+    plan = trailing_counts(events, "user_id", "ts", {"near": 600})._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+
+
+def test_trailing_counts_of_nothing_and_of_long_ranges(spark):
+    start = dt.datetime(2024, 1, 1)
+    schema = "id long, k string, ts timestamp_ntz, n long"
+    assert trailing_counts(spark.createDataFrame([], schema), "k", "ts", {"near": 2}).collect() == []
+    # the counts' own names are replaced, columns of other names stay
+    df = spark.createDataFrame([(i, "a", start + dt.timedelta(days=i), 7) for i in range(60)], schema).withColumn("near", F.lit("x"))
+    found = trailing_counts(df, "k", "ts", {"near": 40 * 86400, "none": 0})
+    assert found.columns == ["id", "k", "ts", "n", "near", "none"]
+    assert {(r["id"], r["near"], r["none"], r["n"]) for r in found.collect()} == {(i, min(i, 40) + 1, 1, 7) for i in range(60)}
+    years = trailing_counts(df, "k", "ts", {"near": 10 * 365 * 86400})
+    assert {(r["id"], r["near"]) for r in years.collect()} == {(i, i + 1) for i in range(60)}
