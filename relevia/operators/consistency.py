@@ -7,11 +7,13 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relevia.functions import vectors as V
 from relevia.functions.arrow import matrix
+from relevia.session import bound_batches
 
 
 def percent_to_int(k: float, n: int) -> int:
@@ -94,8 +96,15 @@ def pair_metric(name: str, a: Column, b: Column, width: int, k: float = 3) -> Co
     return PAIR_METRICS[name](a, b, k, width)
 
 
+#: Models that ``model_columns`` gives a column each; ``consistency`` has its own, larger bound on the list of seeds.
 MAX_MODELS = 1_000
-BLOCK_CELLS = 20_000_000
+MAX_SEEDS = 100_000
+#: Numbers of a chunk of rows and of the differences of a tile that are held at once, models to a side of a tile,
+#: and the pairs up to which a task adds up over all its rows before it sends anything.
+CHUNK_CELLS = 4_000_000
+TILE_CELLS = 2_000_000
+TILE_MODELS = 32
+HELD_PAIRS = 100_000
 
 
 def model_columns(
@@ -140,6 +149,35 @@ def _window_sets(values: np.ndarray, n: int, window: int) -> np.ndarray:
     return flags
 
 
+def _model_cubes(column: pa.Array, seeds: np.ndarray, cells_per_number: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """((rows, models, width) attributions, absent ones zero, and which are there) for chunks of a bounded size."""
+    offsets = np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(column)))])
+    flat = column.flatten()
+    seed, phi = pc.struct_field(flat, "seed"), pc.struct_field(flat, "phi")
+    lengths = np.asarray(pc.fill_null(pc.list_value_length(phi), 0))
+    width = int(lengths.max()) if len(lengths) else 0
+    if width == 0:
+        return
+    ends = np.cumsum(lengths)
+    values = np.asarray(pc.cast(phi.flatten(), pa.float64()).to_numpy(zero_copy_only=False))
+    model, row = np.searchsorted(seeds, np.asarray(seed)), np.repeat(np.arange(len(column)), np.diff(offsets))
+    step = max(1, CHUNK_CELLS // (len(seeds) * width * cells_per_number))
+    for start in range(0, len(column), step):
+        size = min(step, len(column) - start)
+        cube = np.full((size, len(seeds), width), np.nan)
+        mine = np.arange(offsets[start], offsets[start + size])
+        mine = mine[lengths[mine] == width]
+        cube[row[mine] - start, model[mine]] = values[(ends[mine] - width)[:, None] + np.arange(width)]
+        present = ~np.isnan(cube[:, :, 0])
+        cube[~present] = 0.0
+        yield cube, present
+
+
+def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """(rows, models of a, models of b): dot products of flags."""
+    return np.matmul(a.astype(np.float64), b.astype(np.float64).swapaxes(-1, -2))
+
+
 def consistency(
     df: DataFrame,
     k: float = 5,
@@ -150,67 +188,95 @@ def consistency(
 ) -> DataFrame:
     """Mean distance of every model pair over the rows both explain.
 
-    Rows are brought together once by row id. Each task then adds up all pairs over its
-    Arrow batches, so only one partial sum per pair and task is shuffled, never a row
-    per pair. With ``ranking_k`` the sliding-window ranking distance is added.
+    A row's models are brought together once by row id. A task takes its rows in chunks and the model pairs
+    in tiles: all pairs of two blocks of models at a time, by matrix products and whole differences. So it
+    holds a chunk and a tile, whatever the number of models; sums leave it once per task, or once per chunk
+    where there are more than ``HELD_PAIRS`` pairs, and are added up before they are shuffled. With ``ranking_k``
+    the sliding-window ranking distance is added.
     """
-    wide, seeds = model_columns(df, phi, seeds)
-    models = len(seeds)
+    bound_batches(df.sparkSession)
+    if seeds is None:
+        seeds = [r[0] for r in df.select("seed").distinct().take(MAX_SEEDS + 1)]
+        if len(seeds) > MAX_SEEDS:
+            raise ValueError(f"more than {MAX_SEEDS} models in one set")
+    else:
+        df = df.where(F.col("seed").isin(list(seeds)))
+    known = np.array(sorted(seeds), dtype=np.int64)
     window = 3
     names = ["euclid_abs", "euclid", "sign_disagreement", "feature_disagreement"]
     if ranking_k is not None:
         names.append("ranking")
 
-    def add_block(cube: list[np.ndarray], sums: np.ndarray, rows: np.ndarray) -> None:
-        width = cube[0].shape[1]
+    def prepared(cube: np.ndarray) -> dict[str, np.ndarray | None]:
+        rows, models, width = cube.shape
+        flat = cube.reshape(-1, width)
         if normalize:
-            cube = [_unit(m) for m in cube]
-        present = [~np.isnan(m[:, 0]) for m in cube]
+            flat = _unit(flat)
         top_n = _count(k, width)
-        tops = [_top(m, top_n) for m in cube]
-        ranks = None
+        tops = _top(flat, top_n)
+        of = {"phi": flat, "top": tops, "up": tops & (flat >= 0), "down": tops & (flat <= 0), "none": tops & (flat == 0)}
+        of = {n: v.reshape(rows, models, width) for n, v in of.items()}
+        of["ranks"] = None
         if ranking_k is not None and int(width * ranking_k) >= window:
-            ranks = [_window_sets(m, int(width * ranking_k), window) for m in cube]
-        for i in range(models):
-            for j in range(i + 1, models):
-                both = present[i] & present[j]
-                a, b = cube[i][both], cube[j][both]
-                shared = tops[i][both] & tops[j][both]
-                rows[i, j] += int(both.sum())
-                sums[i, j, 0] += np.sqrt(((np.abs(a) - np.abs(b)) ** 2).sum(axis=1)).sum()
-                sums[i, j, 1] += np.sqrt(((a - b) ** 2).sum(axis=1)).sum()
-                sums[i, j, 2] += (1.0 - (shared & (a * b >= 0)).sum(axis=1) / top_n).sum()
-                sums[i, j, 3] += (1.0 - shared.sum(axis=1) / top_n).sum()
-                if ranks is not None:
-                    overlap = (ranks[i][both] & ranks[j][both]).sum(axis=2) / window
-                    sums[i, j, 4] += (1.0 - overlap).mean(axis=1).sum()
+            flags = _window_sets(flat, int(width * ranking_k), window)
+            # (rows, windows, models, width)
+            of["ranks"] = flags.reshape(rows, models, -1, width).swapaxes(1, 2)
+        return of
+
+    def tile_sums(of: dict, present: np.ndarray, i: slice, j: slice) -> tuple[np.ndarray, np.ndarray]:
+        """(models of i, models of j, names) sums and the rows behind them."""
+        top_n = _count(k, of["phi"].shape[2])
+        both = present[:, i, None] & present[:, None, j]
+        distances = []
+        for values in (np.abs(of["phi"]), of["phi"]):
+            a, b, sums = values[:, i], values[:, j], np.zeros(both.shape[1:])
+            step = max(1, TILE_CELLS // (a.shape[1] * b.shape[1] * a.shape[2]))
+            for r in range(0, len(a), step):
+                apart = ((a[r : r + step, :, None] - b[r : r + step, None]) ** 2).sum(axis=3)
+                sums += np.where(both[r : r + step], np.sqrt(apart), 0.0).sum(axis=0)
+            distances.append(sums)
+        shared = _products(of["top"][:, i], of["top"][:, j])
+        agree = _products(of["up"][:, i], of["up"][:, j]) + _products(of["down"][:, i], of["down"][:, j])
+        agree -= _products(of["none"][:, i], of["none"][:, j])
+        for same in (agree, shared):
+            distances.append(np.where(both, 1.0 - same / top_n, 0.0).sum(axis=0))
+        if ranking_k is not None:
+            overlap = 1.0
+            if of["ranks"] is not None:
+                overlap = _products(of["ranks"][:, :, i], of["ranks"][:, :, j]).mean(axis=1) / window
+            distances.append(np.where(both, 1.0 - overlap, 0.0).sum(axis=0))
+        return np.stack(distances, axis=2), both.sum(axis=0)
+
+    def sent(sums: np.ndarray, rows: np.ndarray, i: slice, j: slice) -> pa.RecordBatch:
+        a, b = np.nonzero((rows > 0) & (np.arange(i.start, i.stop)[:, None] < np.arange(j.start, j.stop)))
+        columns = [pa.array(known[a + i.start], pa.int32()), pa.array(known[b + j.start], pa.int32()), pa.array(rows[a, b])]
+        columns += [pa.array(sums[a, b, m]) for m in range(len(names))]
+        return pa.RecordBatch.from_arrays(columns, names=["seed_a", "seed_b", "rows", *names])
 
     def add_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((models, models, len(names)))
-        rows = np.zeros((models, models), dtype=np.int64)
+        models = len(known)
+        blocks = [slice(s, min(s + TILE_MODELS, models)) for s in range(0, models, TILE_MODELS)]
+        tiles = [(i, j) for n, i in enumerate(blocks) for j in blocks[n:]]
+        held: list | None = [None] * len(tiles) if models * (models - 1) // 2 <= HELD_PAIRS else None
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            cube = [matrix(batch.column(i)) for i in range(models)]
-            width = max(m.shape[1] for m in cube)
-            cube = [m if m.shape[1] == width else np.full((batch.num_rows, width), np.nan) for m in cube]
-            step = max(1, BLOCK_CELLS // (models * width * width))
-            for start in range(0, batch.num_rows, step):
-                add_block([m[start : start + step] for m in cube], sums, rows)
-        pairs = [(i, j) for i in range(models) for j in range(i + 1, models) if rows[i, j]]
-        if pairs:
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([int(seeds[i]) for i, _ in pairs], pa.int32()),
-                    pa.array([int(seeds[j]) for _, j in pairs], pa.int32()),
-                    pa.array([int(rows[p]) for p in pairs], pa.int64()),
-                    *[pa.array([float(sums[i, j, m]) for i, j in pairs]) for m in range(len(names))],
-                ],
-                names=["seed_a", "seed_b", "rows", *names],
-            )
+            # five flags or values a number, and the windows of a ranking beside them
+            for cube, present in _model_cubes(batch.column(0), known, 5 if ranking_k is None else 5 + 2 * TILE_MODELS):
+                of = prepared(cube)
+                for n, (i, j) in enumerate(tiles):
+                    sums, rows = tile_sums(of, present, i, j)
+                    if held is None:
+                        yield sent(sums, rows, i, j)
+                    elif held[n] is None:
+                        held[n] = (sums, rows)
+                    else:
+                        held[n] = (held[n][0] + sums, held[n][1] + rows)
+        for n, found in enumerate(held or ()):
+            if found is not None:
+                yield sent(*found, *tiles[n])
 
     schema = "seed_a int, seed_b int, rows long, " + ", ".join(f"{n} double" for n in names)
-    partial = wide.select(*[f"m{i}" for i in range(models)]).mapInArrow(add_pairs, schema)
+    sets = df.groupBy("row_id").agg(F.collect_list(F.struct(F.col("seed").cast("long").alias("seed"), F.col(phi).alias("phi"))).alias("set"))
+    partial = sets.select("set").mapInArrow(add_pairs, schema)
     return partial.groupBy("seed_a", "seed_b").agg(
         F.sum("rows").alias("rows"), *[(F.sum(n) / F.sum("rows")).alias(n) for n in names]
     )

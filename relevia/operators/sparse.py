@@ -350,12 +350,12 @@ class SparsePca:
         spread = sums.agg(F.sum(F.col("squares") - F.col("total") * F.col("mean"))).first()[0] / (rows - 1.0)
         size = min(n_components + oversample, width)
         draws = F.array(*[uniform(F.lit(seed), F.col("at"), F.lit(j)) - 0.5 for j in range(size)])
-        basis = cls._orthonormal(sums.select("at", "frequent", draws.alias("vector")), size)
+        basis, size = cls._orthonormal(sums.select("at", "frequent", draws.alias("vector")), size)
         for step in range(iterations + 1):
-            size = len(basis.first()["vector"])
             image = cls._image(df, row_id, features, rows, sums, basis, width, size, shipped_bytes)
             if step < iterations:
-                basis = cls._orthonormal(image.select("at", "frequent", F.col("image").alias("vector")), size)
+                last = step == iterations - 1
+                basis, size = cls._orthonormal(image.select("at", "frequent", F.col("image").alias("vector")), size, 1 + last)
         values, turn = np.linalg.eigh(_gram(image, "vector", "image", size))
         order = np.argsort(values)[::-1][:n_components]
         turn = turn[:, order]
@@ -365,16 +365,19 @@ class SparsePca:
         return cls(table, np.maximum(ratio, 1e-12) if weighted else np.ones(len(order)))
 
     @staticmethod
-    def _orthonormal(table: DataFrame, size: int) -> DataFrame:
-        """The same subspace with orthonormal columns; directions that are no more than rounding go."""
-        for _ in range(2):  # the second time mends what a poor first Gram matrix left
-            table = materialize(table, "subspace")
+    def _orthonormal(table: DataFrame, size: int, times: int = 1) -> tuple[DataFrame, int]:
+        """The same subspace with orthonormal columns, and their number; directions that are no more than rounding go.
+
+        A second time mends what a poor first Gram matrix left, which matters for the last subspace only.
+        """
+        for _ in range(times):
             values, axes = np.linalg.eigh(_gram(table, "vector", "vector", size))
             kept = values > 1e-12 * max(values.max(), 1e-300)
             turn = axes[:, kept] / np.sqrt(values[kept])
             size = turn.shape[1]
             table = with_vector(table, ["vector"], "vector", lambda x, turn=turn: x @ turn)
-        return materialize(table, "subspace")
+            table = materialize(table, "subspace")
+        return table, size
 
     @staticmethod
     def _image(df, row_id, features, rows, sums, basis, width, size, shipped_bytes) -> DataFrame:

@@ -150,3 +150,38 @@ def test_matrix_in_blocks(spark, monkeypatch, width):
 def test_matrix_of_nothing(spark):
     df = spark.createDataFrame([(1, None)], "row_id long, phi array<double>")
     assert S.hamming_matrix(df).collect() == [] and S.pattern_matrix(df).collect() == []
+
+
+@pytest.mark.parametrize("held", [0, 10**9])
+def test_pairs_in_tiles_and_chunks(spark, cube, monkeypatch, held):
+    """Small tiles and chunks, rows that some models do not explain, and a seed that is not asked for."""
+    expected = {
+        (r["seed_a"], r["seed_b"]): tuple(r)[2:]
+        for r in C.consistency(_explanations(spark, cube), k=3, ranking_k=0.8, seeds=list(range(1, len(cube)))).collect()
+    }
+    monkeypatch.setattr(C, "TILE_MODELS", 2)
+    monkeypatch.setattr(C, "CHUNK_CELLS", 500)
+    monkeypatch.setattr(C, "TILE_CELLS", 50)
+    monkeypatch.setattr(C, "HELD_PAIRS", held)
+    found = C.consistency(_explanations(spark, cube), k=3, ranking_k=0.8, seeds=list(range(1, len(cube)))).collect()
+    assert {(r["seed_a"], r["seed_b"]) for r in found} == set(expected)
+    for r in found:
+        assert tuple(r)[2:] == pytest.approx(expected[r["seed_a"], r["seed_b"]])
+
+
+def _explanations(spark, cube):
+    rows = [(s, i, v.tolist()) for s, m in enumerate(cube) for i, v in enumerate(m) if (s + i) % 7]
+    rows.append((1, 10_000, None))
+    return spark.createDataFrame(rows, "seed int, row_id long, phi array<double>")
+
+
+def test_two_thousand_models(spark):
+    """No limit of models: every pair is there, and those of the first models equal the direct distances."""
+    phi = np.random.default_rng(5).normal(size=(2_000, 6, 4))
+    rows = [(s, i, v.tolist()) for s, m in enumerate(phi) for i, v in enumerate(m)]
+    df = spark.createDataFrame(rows, "seed int, row_id long, phi array<double>")
+    pairs = C.consistency(df, k=2, normalize=False, seeds=list(range(2_000)))
+    apart = np.sqrt(((phi[:20, None] - phi[None]) ** 2).sum(axis=3)).mean(axis=2)
+    total = pairs.agg(F.count("rows"), F.sum("rows"), F.sum(F.when(F.col("seed_a") < 20, F.col("euclid")))).first()
+    assert total[:2] == (2_000 * 1_999 // 2, 6 * 2_000 * 1_999 // 2)
+    assert total[2] == pytest.approx(sum(apart[i, i + 1 :].sum() for i in range(20)))
