@@ -15,7 +15,7 @@ QUERIES = contract.queries()
 PLANNED = [
     "flagship", "zscore", "bucket_outlier", "oversample", "score_report", "fraud_ranks", "shard", "orient", "size_eval",
     "model_set_summary", "pair_euclid", "pair_histogram", "hamming_matrix", "hamming_by_label", "knn", "knn_cells",
-    "lof_novelty", "shap_exact", "conn_last_10s", "gold_join", "to_source_long",
+    "lof_novelty", "shap_exact", "conn_last_10s", "gold_join", "to_source_long", "hamming_rows", "sparse_onehot", "sparse_centroid",
 ]
 
 
