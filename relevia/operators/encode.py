@@ -318,23 +318,15 @@ class BucketEncoder:
         source = df.select(*[f"`{c}`" for c in self.columns])
         if self.strategy == "uniform":
             return self._set_edges(*self._range(source), None)
-        # the exact order statistics read the columns several times
-        source = source.persist()
-        try:
-            return self._fit_ordered(source)
-        finally:
-            source.unpersist()
-
-    def _fit_ordered(self, source: DataFrame) -> "BucketEncoder":
-        selector = RankSelector(source, self.columns, skip_zero=True)
-        low, high = selector.minimum, selector.maximum
-        varying = [c for c in self.columns if self._varies(low[c], high[c])]
-        if self.strategy == "quantile":
-            edges = self._quantile(selector, varying)
-        elif self.strategy == "quantile_outlier":
-            edges = self._quantile_outlier(selector, varying)
+        if self.strategy == "kmeans":
+            low, high = self._range(source)
+            edges = self._kmeans(source, low, high, [c for c in self.columns if self._varies(low[c], high[c])])
         else:
-            edges = self._kmeans(source, selector, varying)
+            selector = RankSelector(source, self.columns, skip_zero=True)
+            low, high = selector.minimum, selector.maximum
+            varying = [c for c in self.columns if self._varies(low[c], high[c])]
+            quantiles = self._quantile if self.strategy == "quantile" else self._quantile_outlier
+            edges = quantiles(selector, varying)
         if self.strategy != "quantile_outlier":
             edges = {c: self._drop_narrow(e) for c, e in edges.items()}
         return self._set_edges(low, high, edges)
@@ -383,13 +375,20 @@ class BucketEncoder:
         places = {
             c: (int(selector.count[c] * 0.01), int(selector.count[c] * 0.99)) for c in columns
         }
+        points = self.n_buckets - 1
+        steps = [i / (points - 1) if points > 1 else 0.0 for i in range(points)]
+        # the ranks of the inlier quantiles hang on ties at the limits: one pass brackets both
+        ranks = {}
+        for c, (lo, hi) in places.items():
+            earliest, latest = (lo + 1, selector.neighbours(c, hi)[0] - 1), (selector.neighbours(c, lo)[1], hi - 1)
+            inner = [[int(max(0, ends[0] * (1 - p) + ends[1] * p)) for p in steps] for ends in (earliest, latest)]
+            ranks[c] = [(lo, lo), (hi, hi), *((min(a, b), max(a, b) + 1) for a, b in zip(*inner))]
+        selector.expect(ranks)
         limits = selector.select({c: list(p) for c, p in places.items()})
         first, size = {}, {}
         for c, (lo, hi) in places.items():
             first[c] = limits[c, lo].through
             size[c] = limits[c, hi].below - first[c]
-        points = self.n_buckets - 1
-        steps = [i / (points - 1) if points > 1 else 0.0 for i in range(points)]
         inner = selector.percentiles({c: steps for c in columns}, first, size)
         edges = {}
         for c, (lo, _) in places.items():
@@ -398,11 +397,11 @@ class BucketEncoder:
             edges[c] = [selector.minimum[c], *middle, selector.maximum[c]]
         return edges
 
-    def _kmeans(self, df: DataFrame, selector: RankSelector, columns: list[str]) -> dict[str, list[float]]:
+    def _kmeans(self, df: DataFrame, low: dict, high: dict, columns: list[str]) -> dict[str, list[float]]:
         """Lloyd steps on the counted distinct values of all columns at once."""
         if not columns:
             return {}
-        ends = {c: self._spaced(selector.minimum[c], selector.maximum[c]) for c in columns}
+        ends = {c: self._spaced(low[c], high[c]) for c in columns}
         centres = {c: [(a + b) / 2 for a, b in zip(e, e[1:])] for c, e in ends.items()}
         cells = [
             F.struct(F.lit(i).alias("c"), F.col(f"`{c}`").cast("double").alias("v")) for i, c in enumerate(columns)
@@ -445,9 +444,9 @@ class BucketEncoder:
             histogram.unpersist()
         return {
             c: [
-                selector.minimum[c],
+                low[c],
                 *[(a + b) / 2 for a, b in zip(sorted(centres[c]), sorted(centres[c])[1:])],
-                selector.maximum[c],
+                high[c],
             ]
             for c in columns
         }

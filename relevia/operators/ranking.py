@@ -10,6 +10,8 @@ of the table is one row, not one task.
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left, bisect_right
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -289,11 +291,23 @@ class Selected:
     through: int
 
 
+#: Cut points by which a bracket is wider than its ranks on either side: twice the sketch's own error.
+SLACK = 4
+#: Parts of one bracket at most, each ordered on its own.
+BRACKET_PARTS = 64
+
+
 class RankSelector:
-    """Exact order statistics of numeric columns by 0-based rank.
+    """Exact order statistics of numeric columns by 0-based rank, in two passes over the rows.
 
-    Two passes prepare bucket counts; each ``select`` call then orders only the
-    buckets that hold a wanted rank. Nulls, and zeros when ``skip_zero``, are left out.
+    The first pass has counts, extremes and a quantile sketch of all columns. The sketch brackets the
+    wanted ranks; the second pass keeps the counted values inside brackets and only the number of
+    rows between them, so that what is ordered is a few sketch steps around each rank. Nulls, and zeros
+    when ``skip_zero``, are left out.
+
+    Ranks that are known beforehand (``expect``) share the second pass. The row counts prove where a
+    rank lies, so a bracket that missed its rank, as a sketch of very uneven splits may, costs one
+    more pass and never a wrong value.
     """
 
     def __init__(self, df: DataFrame, columns: Sequence[str], skip_zero: bool = False):
@@ -308,61 +322,134 @@ class RankSelector:
         self.count = {c: stats[f"{v}_rows"] or 0 for c, v in zip(self.columns, names)}
         self.minimum = {c: stats[f"{v}_low"] for c, v in zip(self.columns, names)}
         self.maximum = {c: stats[f"{v}_high"] for c, v in zip(self.columns, names)}
-        wide = self._wide
-        self._cuts = []
-        for i, c in enumerate(self.columns):
-            self._cuts.append(_thin(stats[f"v{i}_cuts"] or [], self.count[c]))
-            wide = with_bucket(wide, f"v{i}", self._cuts[i], f"b{i}")
-        cells = [
-            F.struct(F.lit(i).alias("c"), F.when(F.col(f"v{i}").isNotNull(), F.col(f"b{i}")).alias("b"))
-            for i in range(len(self.columns))
-        ]
-        counts = wide.select(F.explode(F.array(*cells)).alias("s")).select("s.*").groupBy("c", "b").count()
+        # adding 0.0 turns -0.0 into 0.0, which is the same value
+        self._sketch = {c: [x + 0.0 for x in stats[f"{v}_cuts"] or []] for c, v in zip(self.columns, names)}
+        self.passes = 1
+        self._borders: dict[int, list[float]] = {}
+        self._kept: dict[int, set[int]] = {}
         self._sizes: dict[int, list[tuple[int, int]]] = {}
-        for row in counts.where(F.col("b").isNotNull()).orderBy("c", "b").collect():
-            self._sizes.setdefault(row["c"], []).append((row["b"], row["count"]))
-
-    def _rows_of(self, buckets: Sequence[tuple[int, int]]) -> DataFrame:
-        """(c, b, v): the values in the given buckets, found by their bounds."""
-        cells = []
-        for c, b in buckets:
-            cuts = self._cuts[c]
+        self._values: DataFrame | None = None
+
+    def _steps(self, column: str, low: float, high: float) -> tuple[int, int]:
+        """Positions of the sketch's cut points around the ranks from low to high; -1 and its length are the ends."""
+        size = len(self._sketch[column])
+        scale = (size + 1) / max(1, self.count[column])
+        return max(-1, int(low * scale) - 1 - SLACK), min(size, _ceil(high * scale) - 1 + SLACK)
+
+    def neighbours(self, column: str, rank: int) -> tuple[int, int]:
+        """About the fewest rows that can lie below the value at a rank, and the most at or below it."""
+        sketch, rows = self._sketch[column], self.count[column]
+        scale = rows / (len(sketch) + 1)
+        first, last = self._steps(column, rank, rank)
+        below = bisect_left(sketch, sketch[first]) - SLACK if first >= 0 else 0
+        through = bisect_right(sketch, sketch[last]) + 1 + SLACK if last < len(sketch) else len(sketch) + 1
+        return max(0, min(rank, int(below * scale))), min(rows, max(rank + 1, _ceil(through * scale)))
+
+    def expect(self, ranks: Mapping[str, Sequence[tuple[float, float]]]) -> None:
+        """The second pass, for ranks between each (low, high) of a column."""
+        borders, kept = {}, {}
+        for column, spans in ranks.items():
+            c = self.columns.index(column)
+            parts = [self._bracket(column, low, high) for low, high in spans]
+            borders[c], kept[c] = {x for inner, _ in parts for x in inner}, [ends for _, ends in parts]
+        self._count(borders, kept)
+
+    def _bracket(self, column: str, low: float, high: float) -> tuple[list[float], tuple[float, float]]:
+        """Borders of the parts of a bracket, and its ends."""
+        sketch = self._sketch[column]
+        first, last = self._steps(column, low, high)
+        inside = sketch[max(0, first) : last + 1]
+        if not inside:
+            return [], (-math.inf, math.inf)
+        # behind its last value a bracket ends, so that a value of very many rows is a part of its own
+        end = math.nextafter(inside[-1], math.inf) + 0.0
+        thin = inside[:: max(1, len(inside) // BRACKET_PARTS)]
+        ends = (inside[0] if first >= 0 else -math.inf, end if last < len(sketch) else math.inf)
+        return [*thin, inside[-1], end], ends
+
+    def _count(self, borders: dict[int, set[float]], kept: dict[int, list[tuple[float, float]]]) -> None:
+        """Count the rows of all parts, and of the values in parts between the ends in ``kept``."""
+        wide, cells = self._wide, []
+        self._borders = {c: sorted(x for x in borders[c] if math.isfinite(x)) for c in kept}
+        self._kept = {}
+        for c in kept:
+            ends = [-math.inf, *self._borders[c], math.inf]
+            self._kept[c] = {
+                b for b, (x, y) in enumerate(zip(ends, ends[1:])) if any(low <= x and y <= high for low, high in kept[c])
+            }
+            wide = with_bucket(wide, f"v{c}", self._borders[c], f"b{c}")
             v = F.col(f"v{c}") + F.lit(0.0)
-            inside = v.isNotNull()
-            if b > 0:
-                inside = inside & (v >= cuts[b - 1])
-            if b < len(cuts):
-                inside = inside & (v < cuts[b])
-            cells.append(F.when(inside, F.struct(F.lit(c).alias("c"), F.lit(b).alias("b"), v.alias("v"))))
-        return self._wide.select(F.explode(F.array_compact(F.array(*cells))).alias("s")).select("s.*")
-
-    def select(self, ranks: Mapping[str, Sequence[int]]) -> dict[tuple[str, int], Selected]:
-        """Values at the wanted ranks, keyed by (column, rank)."""
-        wanted = []
+            whole = F.col(f"b{c}").isin(sorted(self._kept[c]))
+            cell = F.struct(F.lit(c).alias("c"), F.col(f"b{c}").alias("b"), F.when(whole, v).alias("v"))
+            cells.append(F.when(F.col(f"v{c}").isNotNull(), cell))
+        if not cells:
+            return
+        counted = wide.select(F.explode(F.array_compact(F.array(*cells))).alias("s")).select("s.*")
+        counted = counted.groupBy("c", "b", "v").agg(F.count(F.lit(1)).alias("n"))
+        self._values = materialize(counted, "brackets")
+        self.passes += 1
+        self._sizes = {}
+        for row in self._values.groupBy("c", "b").agg(F.sum("n").alias("n")).orderBy("c", "b").collect():
+            self._sizes.setdefault(row["c"], []).append((row["b"], row["n"]))
+
+    def _place(self, ranks: Mapping[str, Sequence[int]]) -> tuple[list[tuple[int, int, int, int]], dict[str, list]]:
+        """(column, part, rank, rows before the part) of each rank in a kept part, and the ranks in none."""
+        wanted, missed = [], {}
         for column, column_ranks in ranks.items():
             c = self.columns.index(column)
             for rank in sorted(set(column_ranks)):
+                if not 0 <= rank < self.count[column]:
+                    raise ValueError(f"rank {rank} is outside column {column}")
                 offset = 0
-                for bucket, size in self._sizes.get(c, []):
+                for part, size in self._sizes.get(c, []):
                     if rank < offset + size:
-                        wanted.append((c, bucket, rank, offset))
                         break
                     offset += size
                 else:
-                    raise ValueError(f"rank {rank} is outside column {column}")
+                    part = -1
+                if part in self._kept.get(c, ()):
+                    wanted.append((c, part, rank, offset))
+                else:
+                    missed.setdefault(column, []).append((c, part, rank))
+        return wanted, missed
+
+    def _recount(self, missed: dict[str, list]) -> None:
+        """One more pass for missed ranks: their brackets, or the whole part, cut finely, where the bracket missed."""
+        borders = {c: set(x) for c, x in self._borders.items()}
+        kept = {}
+        for c, parts in self._kept.items():
+            ends = [-math.inf, *self._borders[c], math.inf]
+            kept[c] = [(ends[b], ends[b + 1]) for b in parts]
+        for column, places in missed.items():
+            c, sketch = self.columns.index(column), self._sketch[column]
+            ends = [-math.inf, *self._borders.get(c, ()), math.inf]
+            for _, part, rank in places:
+                if part < 0:
+                    fine, whole = self._bracket(column, rank, rank)
+                else:
+                    whole = ends[part], ends[part + 1]
+                    fine = sketch[bisect_right(sketch, whole[0]) : bisect_left(sketch, whole[1])]
+                    fine = [*fine, *(math.nextafter(x, math.inf) + 0.0 for x in fine)]
+                borders.setdefault(c, set()).update(fine)
+                kept.setdefault(c, []).append(whole)
+        self._count(borders, kept)
+
+    def select(self, ranks: Mapping[str, Sequence[int]]) -> dict[tuple[str, int], Selected]:
+        """Values at the wanted ranks, keyed by (column, rank)."""
+        wanted, missed = self._place(ranks)
+        while missed:
+            self._recount(missed)
+            wanted, missed = self._place(ranks)
         if not wanted:
             return {}
-        spark = self._wide.sparkSession
-        requests = spark.createDataFrame(wanted, "c int, b int, rank long, before long")
+        requests = self._wide.sparkSession.createDataFrame(wanted, "c int, b int, rank long, before long")
+        asked = F.lit(False)
+        for c, b in sorted({(c, b) for c, b, _, _ in wanted}):
+            asked = asked | ((F.col("c") == c) & (F.col("b") == b))
         running = (
             Window.partitionBy("c", "b").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         )
-        counted = (
-            self._rows_of(sorted({(c, b) for c, b, _, _ in wanted}))
-            .groupBy("c", "b", "v")
-            .agg(F.count(F.lit(1)).alias("n"))
-            .withColumn("through", F.sum("n").over(running))
-        )
+        counted = self._values.where(asked).withColumn("through", F.sum("n").over(running))
         through = F.col("before") + F.col("through")
         found = (
             counted.join(F.broadcast(requests), ["c", "b"])
@@ -392,4 +479,4 @@ class RankSelector:
 
 
 def _ceil(h: float) -> int:
-    return int(h) if h == int(h) else int(h) + 1
+    return math.ceil(h)

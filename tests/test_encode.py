@@ -133,3 +133,20 @@ def test_long_dictionary_keeps_its_codes(spark, monkeypatch):
     assert all(r["features"] == [place[r["a"]], 1.0 if r["b"] == "x" else 0.0] for r in found)
     back = encoder.inverse(encoder.transform(df).select("features")).collect()
     assert {r["a"] for r in back} == set(names) and {r["b"] for r in back} == {"x", "nan"}
+
+
+@pytest.mark.parametrize("ties", [0.0, 0.34, 0.97])
+def test_outlier_buckets_read_the_rows_twice(spark, monkeypatch, ties):
+    rng = np.random.default_rng(8)
+    values = np.round(rng.exponential(5, 20_000) + 0.1, 3)
+    values[rng.random(20_000) < ties] = np.quantile(values, 0.01)
+    values[:50] = 0.0
+    seen = []
+    monkeypatch.setattr(E, "RankSelector", lambda *a, **k: seen.append(R.RankSelector(*a, **k)) or seen[-1])
+    encoder = E.BucketEncoder(["v"]).fit(spark.createDataFrame([(float(v),) for v in values], "v double"))
+    kept = np.sort(values[values != 0])
+    low, high = kept[int(len(kept) * 0.01)], kept[int(len(kept) * 0.99)]
+    inner = kept[(kept > low) & (kept < high)]
+    middle = np.quantile(inner, [0, 1 / 3, 2 / 3, 1])
+    assert encoder.edges["v"] == pytest.approx([kept[0], *middle, kept[-1]])
+    assert seen[0].passes == 2

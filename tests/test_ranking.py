@@ -92,6 +92,54 @@ def test_rank_selector_matches_sorting(spark, many_buckets):
         selector.select({"a": [10_000]})
 
 
+def sorted_ranks(values, ranks):
+    kept = np.sort(values)
+    return {r: (kept[r], (kept < kept[r]).sum(), (kept <= kept[r]).sum()) for r in ranks}
+
+
+@pytest.mark.parametrize("kind", ["spread", "third", "two", "zeros"])
+def test_wanted_ranks_in_two_passes(spark, kind):
+    rng = np.random.default_rng(5)
+    values = rng.normal(size=30_000)
+    if kind == "third":
+        values[:10_000] = values[10_000]  # one value holds a third of the rows
+    if kind == "two":
+        values = np.where(values > 0, 1.5, -2.0)
+    if kind == "zeros":
+        values = np.where(rng.random(30_000) < 0.4, -0.0, values.round(2))
+    df = spark.createDataFrame([(float(v),) for v in values], "v double").repartition(6)
+    selector = R.RankSelector(df, ["v"])
+    ranks = [0, 300, 9_999, 15_000, 29_700, 29_999]
+    found = selector.select({"v": ranks})
+    assert {r: tuple(vars(found["v", r]).values()) for r in ranks} == sorted_ranks(values, ranks)
+    assert selector.passes == 2
+
+
+def test_second_pass_keeps_few_values(spark):
+    values = np.random.default_rng(6).normal(size=200_000)
+    df = spark.createDataFrame([(float(v),) for v in values], "v double").repartition(8)
+    selector = R.RankSelector(df, ["v"])
+    found = selector.select({"v": [100_000]})
+    assert found["v", 100_000].value == np.sort(values)[100_000]
+    assert selector._values.where("v IS NOT NULL").count() < 200_000 * (2 * R.SLACK + 4) / 4096
+
+
+def test_ranks_outside_their_bracket_cost_a_pass(spark):
+    # the shares of the sketch are of very different sizes and ranges, so its steps are far from even
+    small = [spark.range(40).selectExpr(f"{k} * 1000.0 + id AS v").coalesce(1) for k in range(1, 6)]
+    df = spark.range(50_000).selectExpr("id / 1000.0 AS v").coalesce(1)
+    for part in small:
+        df = df.union(part)
+    values = np.array([r[0] for r in df.collect()], dtype=float)
+    selector = R.RankSelector(df, ["v"])
+    ranks = [0, 10_000, 25_000, 49_000, 50_100, 50_199]
+    found = selector.select({"v": ranks})
+    assert {r: tuple(vars(found["v", r]).values()) for r in ranks} == sorted_ranks(values, ranks)
+    assert selector.passes <= 3
+    again = selector.select({"v": [33_333]})  # not expected beforehand
+    assert again["v", 33_333].value == np.sort(values)[33_333]
+
+
 def test_global_index(spark, many_buckets):
     rows = [(i * 3, "x" if i % 3 else "y") for i in range(300)]
     df = spark.createDataFrame(rows, "id long, g string").repartition(7)
