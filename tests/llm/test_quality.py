@@ -1,4 +1,6 @@
+import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -67,3 +69,77 @@ def test_features_do_not_depend_on_slices():
     whole = np.concatenate([x for _, x in Q.text_features(pa.array(texts, pa.string()))])
     single = np.concatenate([x for t in texts for _, x in Q.text_features(pa.array([t], pa.string()))])
     assert whole == pytest.approx(single)
+
+
+def plain_features(text):
+    """One text's features by plain loops."""
+    data = (text or "").encode()
+    words = [w for w in re.split(rb"[\x20\x09-\x0D]+", data) if w]
+    lines = [line for line in data.split(b"\n") if line]
+    shares = [math.sqrt(sum(data.count(bytes([c])) for c in group) / max(1, len(data))) for group in Q._GROUPS]
+    if not words:
+        return [*shares, *[0.0] * 10]
+    sizes, different = [len(w) for w in words], len(set(words))
+    mean = sum(sizes) / len(sizes)
+    plain = rb"[0-9A-Za-z\x80-\xff]"
+    following = [data[at : at + 2] for at in (m.start() for m in re.finditer(rb"[^\x20\x09-\x0D]+", data))]
+    return [
+        *shares, math.log1p(len(words)), mean, math.sqrt(sum((n - mean) ** 2 for n in sizes) / len(sizes)), math.log(max(sizes)),
+        different / len(words), math.log1p(len(words) / different), sum(not re.match(plain, w[-1:]) for w in words) / len(words),
+        sum(re.fullmatch(rb"[A-Z]{2}", two) is not None for two in following) / len(words),
+        len(set(lines)) / max(1, len(lines)), math.log1p(len(words) / max(1, len(lines))),
+    ]
+
+
+def test_scores_equal_plain_code(spark, documents):
+    rows, labels = corpus(300, seed=4)
+    rows += [(9000, None), (9001, ""), (9002, "É  Ü\tA1\nA1\n\nA1 XY?"), (5, "alpha BETA"), (5, "alpha BETA"), (6, rows[6][1]), (None, "x")]
+    labels += [(9000, 0), (9001, 0), (9002, 1), (6, 0), (7, labels[7][1]), (777_777, 1), (None, 1)]
+    docs, table = documents(rows).repartition(3), label_table(spark, labels)
+    model = Q.fit_quality(docs, table)
+    features = {text: plain_features(text) for _, text in rows}
+
+    def strength(text):
+        z = [min(6, max(-6, (f - c) / s)) for f, c, s in zip(features[text], model.center, model.scale)]
+        return sum(a * b for a, b in zip(z, model.weights))
+
+    # the threshold: all labelled rows that are not held out, each as often as it stands
+    learned = [
+        (strength(text), y) for doc, text in rows for other, y in labels
+        if doc == other and doc is not None and zlib.crc32(str(doc).encode()) % 3 != 1
+    ]
+    zeros, order = sum(y == 0 for _, y in learned), sorted(v for v, _ in learned)
+    assert model.threshold == pytest.approx((order[zeros - 1] + order[zeros]) / 2)
+    want = sorted((str(doc), 1 / (1 + math.exp(model.threshold - strength(text)))) for doc, text in rows)
+    got = sorted((str(r.doc_id), r.score) for r in Q.quality_report(docs, table).collect())
+    assert [d for d, _ in got] == [d for d, _ in want]
+    assert [v for _, v in got] == pytest.approx([v for _, v in want], abs=1e-9)
+
+
+def test_weights_are_the_optimum_of_all_pairs(spark, documents):
+    rows, labels = corpus(240, seed=5)
+    model = Q.fit_quality(documents(rows), label_table(spark, labels), pairs=400_000)
+    good, bad = [
+        np.array([plain_features(t) for (i, t), (_, y) in zip(rows, labels) if y == label and zlib.crc32(str(i).encode()) % 3 != 1])
+        for label in (1, 0)
+    ]
+    z = [np.clip((v - model.center) / model.scale, -6, 6) for v in (good, bad)]
+    difference = (z[0][:, None, :] - z[1][None, :, :]).reshape(-1, Q.WIDTH)
+    weights = np.zeros(Q.WIDTH)
+    for _ in range(40):
+        p = 1 / (1 + np.exp(-difference @ weights))
+        gradient = (difference * (1 - p)[:, None]).mean(axis=0) - 1e-3 * weights
+        curve = (difference * (p * (1 - p))[:, None]).T @ difference / len(difference) + 1e-3 * np.eye(Q.WIDTH)
+        weights += np.linalg.solve(curve, gradient)
+    assert np.abs(model.weights - weights).max() < 0.05 * np.abs(weights).max()
+
+
+def test_repeated_ids_do_not_outgrow_the_sample(spark, documents, monkeypatch):
+    rows, labels = corpus(400, seed=6)
+    hot = next(i for i, _ in rows if zlib.crc32(str(i).encode()) % 3 != 1)
+    rows += [(hot, f"{rows[i % 400][1]} {i}") for i in range(4000)] + [rows[hot]] * 500
+    seen = []
+    fit = Q.fit_bradley_terry
+    monkeypatch.setattr(Q, "fit_bradley_terry", lambda x, y, *rest: seen.append((len(y), rest[-1].sum())) or fit(x, y, *rest))
+    Q.fit_quality(documents(rows), label_table(spark, labels * 3), most_rows=100)
+    assert 0 < seen[0][0] < 2 * 150
