@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from relevia.llm.encoder import Encoder, default_vocabulary
-from relevia.session import new_table_path
+from relevia.session import materialize, new_table_path
 
 #: The end id of the public vocabulary. A text may hold its name, which is encoded as ordinary text here,
 #: so the id is in no text and a scan may rely on it.
@@ -101,17 +101,21 @@ def scan_flat(spark: SparkSession, path: str, end_id: int = END_ID, block_bytes:
     found = blocks.repartition(width, "path", "at").mapInArrow(
         _scan(end_id), "path string, at long, stop long, found array<long>"
     )
+    found = materialize(found, "separators")
+    # the prefix scan has one small row per block of a file; the separators themselves meet its sums by block
+    blocks = found.select(
+        "path", "at", F.get("found", F.size("found") - 1).alias("last"), F.size("found").cast("long").alias("n_found")
+    )
     before = Window.partitionBy("path").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("path")
-    stitched = found.select(
+    sums = blocks.select(
         "path",
         "at",
-        "stop",
-        "found",
-        F.coalesce(F.max(F.get("found", F.size("found") - 1)).over(before), F.lit(-1)).alias("last_end"),
-        F.coalesce(F.sum(F.size("found").cast("long")).over(before), F.lit(0)).alias("docs_before"),
+        F.coalesce(F.max("last").over(before), F.lit(-1)).alias("last_end"),
+        F.coalesce(F.sum("n_found").over(before), F.lit(0)).alias("docs_before"),
         (F.max("at").over(whole) == F.col("at")).alias("is_last"),
     )
+    stitched = found.join(sums, ["path", "at"])
     # ids behind the last separator of a file are a document that was not closed
     open_end = F.col("is_last") & (F.coalesce(F.get("found", F.size("found") - 1), F.col("last_end")) < F.col("stop") - 1)
     ends = F.when(open_end, F.concat("found", F.array(F.col("stop") - 1))).otherwise(F.col("found"))
