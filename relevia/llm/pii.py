@@ -2,15 +2,19 @@
 
 The base finds emails, IP addresses, card numbers and phone numbers by pattern; its spans always
 stay. The field then labels all tokens with a digit or an `@`, the only ones that can be part of
-such data. Neighbours in the text share chain potentials, and tokens with the same digits or the
-same address, however far apart in the document, share skip potentials. Loopy message passing
-over the whole document lets a number that is clear in one place be found in a place where
-no pattern matches. Tokens that it labels with confidence and that no base span covers
-become spans of the method.
+such data. Neighbours in the text share chain potentials. Repeated or similar tokens, however far
+apart in the document, share skip potentials: the same digits or address, the same last seven or first
+eight digits, or the same part before the `@`. Loopy message passing over the whole document, with
+the base's labels as given, lets a number that is clear in one place be found in a place where no
+pattern matches. Tokens that it labels with confidence, that no base span covers and that
+have the shape of their kind become spans of the method; neighbours are joined only where neither is
+whole by itself.
 
 Weights come from a bounded sample of documents (``most_docs``, chosen by a hash) with the
 base's spans as labels, by pseudo-likelihood: each token's label given its features and its
-neighbours' labels. All documents are searched over their whole text.
+neighbours' labels. A share of the tokens (``hidden``) is learned from once more with their surroundings
+hidden, so that only links speak for them, as it will be where the base finds nothing. Of a document of the sample at most ``most_tokens`` neighbouring tokens are learned
+from. All documents are searched over their whole text.
 
 Nulls: a null text is empty and has no spans; a null doc_id is a row like others. Repeated rows
 give repeated results, equal scores go to the first label, empty tables give empty results. Only
@@ -21,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,6 +38,9 @@ from relevia.llm.textkit import NON_BLANK, Hasher, byte_set, slices, spans
 
 KINDS = ("email", "ip", "card", "phone")
 MOST_DOCS = 5_000
+MOST_TOKENS = 1_024
+#: Share of the tokens that a fit sees once more without their surroundings.
+HIDDEN = 0.3
 
 _LOCAL = byte_set((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x2E, 0x2E), (0x5F, 0x5F), (0x25, 0x25), (0x2B, 0x2B), (0x2D, 0x2D))
 _DOMAIN = re.compile(rb"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -43,6 +51,10 @@ _PHONE = re.compile(rb"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = byte_set((0x30, 0x39))
 _MARKED = byte_set((0x30, 0x39), (0x40, 0x40))
 _EDGE = b".,;:!?()[]{}<>\"'"
+#: Last and first digits by which two numbers are similar.
+SUFFIX, PREFIX = 7, 8
+#: Digits of a span that the method may add: card and phone numbers, the latter also without their country.
+_FITS = {2: (13, 19), 3: (7, 15)}
 
 _HASHER = Hasher(seed=13)
 
@@ -92,6 +104,9 @@ FEATURES = (
     "digits_20", "check_digit", "plus", "bracket", "hyphen", "dot", "letters", "after_plus", "only_digits",
 )
 
+#: Features that hang on a token's surroundings or its exact form, which differ where a pattern fails.
+_SURROUNDINGS = [FEATURES.index(f) for f in ("check_digit", "plus", "bracket", "hyphen", "after_plus")]
+
 
 def _features(token: bytes, digits: bytes, after_plus: bool) -> list[bool]:
     n = len(digits)
@@ -118,6 +133,33 @@ def _features(token: bytes, digits: bytes, after_plus: bool) -> list[bool]:
     ]
 
 
+def _keys(core: bytes, digits: bytes) -> list[tuple[str, bytes]]:
+    """What makes two tokens the same or similar; links are made per key."""
+    if b"@" in core:
+        address = core.lower()
+        local = address.rpartition(b"@")[0]
+        return [("same", address), *([("local", local)] if len(local) >= 4 else [])]
+    if len(digits) < 4:
+        return []
+    keys = [("same", digits)]
+    if len(digits) > SUFFIX:
+        keys.append(("last", digits[-SUFFIX:]))
+    if len(digits) > PREFIX + 1:
+        keys.append(("first", digits[:PREFIX]))
+    return keys
+
+
+def _fits(kind: int, span: bytes) -> bool:
+    """Whether bytes have the shape of their kind, which is wider than the base's pattern."""
+    if kind == 0:
+        return b"@" in span.strip(b"@")
+    if kind == 1:
+        match = _IP.fullmatch(span)
+        return match is not None and all(len(part) <= 3 for part in match.groups())
+    low, high = _FITS[kind]
+    return low <= len(_count_digits(span)) <= high
+
+
 @dataclass
 class Graph:
     """Tokens of some documents: byte spans, features, base labels (0 is none) and links of both kinds."""
@@ -135,7 +177,7 @@ def build_graph(texts: list[bytes], base: list[list[tuple[int, int, int]]], toke
     """Tokens with edges; ``tokens`` has the byte spans of each text's marked words."""
     document, start, end, x, y, chain, skip = [], [], [], [], [], [], []
     for number, (text, found, words) in enumerate(zip(texts, base, tokens)):
-        last: dict[bytes, int] = {}
+        last: dict[tuple[str, bytes], int] = {}
         at, before, open_ = 0, None, False
         for a, b in words:
             word = text[a:b]
@@ -156,12 +198,13 @@ def build_graph(texts: list[bytes], base: list[list[tuple[int, int, int]]], toke
             y.append(label)
             if before is not None:
                 chain.append((node - 1, node, int(near)))
-            # the same digits or address link to their last place, so links stay as many as tokens
-            key = digits if b"@" not in core else core.lower()
-            if len(key) >= 4:
+            # each key links to its last place, so links stay few times as many as tokens
+            linked = set()
+            for key in _keys(core, digits):
                 if key in last:
-                    skip.append((last[key], node))
+                    linked.add(last[key])
                 last[key] = node
+            skip.extend((other, node) for other in sorted(linked))
             before = b
     return Graph(
         np.array(document, dtype=np.int64),
@@ -188,14 +231,20 @@ class Field:
         return Field(np.zeros((len(FEATURES), n)), np.zeros((2, n, n)), np.zeros((n, n)))
 
 
-def marginals(field: Field, graph: Graph, rounds: int = 50, damping: float = 0.3, tolerance: float = 1e-4) -> np.ndarray:
+def marginals(
+    field: Field, graph: Graph, rounds: int = 50, damping: float = 0.3, tolerance: float = 1e-4, given: np.ndarray | None = None
+) -> np.ndarray:
     """Label probabilities by loopy message passing, all messages of a round at once.
 
-    Exact where links form no loop, once there were as many rounds as a chain is long; influence
+    ``given`` has the labels that are known, 0 where none is. Exact where links form no loop, once there were as many rounds as a chain is long; influence
     fades along longer chains.
     """
     labels = field.unary.shape[1]
     unary = graph.x @ field.unary
+    if given is not None:
+        seen = np.flatnonzero(given)
+        unary[seen] = -30.0
+        unary[seen, given[seen]] = 30.0
     left = np.concatenate((graph.chain[:, 0], graph.skip[:, 0]))
     right = np.concatenate((graph.chain[:, 1], graph.skip[:, 1]))
     potential = np.concatenate((field.chain[graph.chain[:, 2]], np.broadcast_to(field.skip, (len(graph.skip), labels, labels))))
@@ -224,10 +273,12 @@ def marginals(field: Field, graph: Graph, rounds: int = 50, damping: float = 0.3
     return out / out.sum(axis=1, keepdims=True)
 
 
-def fit_field(graph: Graph, ridge: float = 1e-4, rounds: int = 1000) -> Field:
+def fit_field(graph: Graph, ridge: float = 1e-4, rounds: int = 1000, hidden: float = HIDDEN) -> Field:
     """Pseudo-likelihood by gradient steps: a token's label given its features and its neighbours' labels.
 
     A token without a label that repeats one with a label is unknown, neither learned from nor seen by others.
+    A share of the tokens without a label, and of those with a label that links confirm, is learned from again with
+    the links as their only neighbours.
     """
     n, labels = len(graph.y), len(KINDS) + 1
     if not n:
@@ -250,10 +301,15 @@ def fit_field(graph: Graph, ridge: float = 1e-4, rounds: int = 1000) -> Field:
     np.add.at(seen, graph.skip[:, 0], one[graph.skip[:, 1]])
     np.add.at(seen, graph.skip[:, 1], one[graph.skip[:, 0]])
     x = np.concatenate([*parts, seen], axis=1)
+    linked = seen[np.arange(n), graph.y] > 0
+    again = known & ((graph.y == 0) | linked) & (np.random.default_rng(1).random(n) < hidden)
+    alone = x[again]
+    alone[:, _SURROUNDINGS] = 0
+    alone[:, len(FEATURES) : -labels] = 0
     # equal rows are one row with a weight
-    x = x[known]
-    code, inverse = np.unique(np.concatenate((x, graph.y[known][:, None]), axis=1), axis=0, return_inverse=True)
-    weight = np.bincount(inverse.ravel(), minlength=len(code)) / n
+    x, y = np.concatenate((x[known], alone)), np.concatenate((graph.y[known], graph.y[again]))
+    code, inverse = np.unique(np.concatenate((x, y[:, None]), axis=1), axis=0, return_inverse=True)
+    weight = np.bincount(inverse.ravel(), minlength=len(code)) / len(y)
     x, one = code[:, :-1], np.eye(labels)[code[:, -1].astype(int)]
     w = np.zeros((x.shape[1], labels))
     speed = np.zeros_like(w)
@@ -293,11 +349,14 @@ def _batch(column: pa.Array) -> Iterator[tuple[int, int, list[int], list[bytes],
         yield first_row, len(starts) - 1, rows.tolist(), texts, base, tokens
 
 
-def _added(graph: Graph, field: Field, base, least: float) -> list[tuple[int, int, int, int]]:
-    """(document, start, kind, end) of neighbouring tokens with one confident label that no base span touches."""
+def _added(graph: Graph, field: Field, texts, base, least: float) -> list[tuple[int, int, int, int]]:
+    """(document, start, kind, end) of confident tokens in the shape of their kind that no base span touches.
+
+    Neighbouring tokens of one label are one span where neither is whole by itself.
+    """
     if not len(graph.y):
         return []
-    p = marginals(field, graph)
+    p = marginals(field, graph, given=graph.y)
     label = p.argmax(axis=1)
     sure = (label > 0) & (p.max(axis=1) >= least) & (graph.y == 0)
     near = np.zeros(len(label), dtype=bool)
@@ -307,17 +366,31 @@ def _added(graph: Graph, field: Field, base, least: float) -> list[tuple[int, in
     for i in np.flatnonzero(sure).tolist():
         d, a, k, b = int(graph.document[i]), int(graph.start[i]), int(label[i]) - 1, int(graph.end[i])
         if last == i - 1 and near[i] and out[-1][0] == d and out[-1][2] == k:
-            a = out.pop()[1]
+            before = out[-1][1], out[-1][3]
+            if not _fits(k, texts[d][a:b]) and not _fits(k, texts[d][before[0] : before[1]]):
+                a = out.pop()[1]
         out.append((d, a, k, b))
         last = i
     # tokens are words; a base span may begin inside the gap between two of them
-    return [s for s in out if not any(x < s[3] and e > s[1] for x, _, e in base[s[0]])]
+    return [
+        s for s in out if _fits(s[2], texts[s[0]][s[1] : s[3]]) and not any(x < s[3] and e > s[1] for x, _, e in base[s[0]])
+    ]
 
 
 def learn_field(
-    docs: DataFrame, most_docs: int = MOST_DOCS, seed: int = 1, doc_id: str = "doc_id", text: str = "text"
+    docs: DataFrame,
+    most_docs: int = MOST_DOCS,
+    most_tokens: int = MOST_TOKENS,
+    hidden: float = HIDDEN,
+    seed: int = 1,
+    doc_id: str = "doc_id",
+    text: str = "text",
 ) -> Field:
-    """Fit on about ``most_docs`` documents; their tokens' features reach the driver, not their texts."""
+    """Fit on about ``most_docs`` documents; features of their tokens reach the driver, not their texts.
+
+    A document with more than ``most_tokens`` tokens gives that many neighbouring ones, from a place in it that a
+    checksum of the text chooses.
+    """
     total = docs.count()
     picked = F.pmod(F.xxhash64(F.col(doc_id), F.lit(seed)), F.lit(1 << 30)) < most_docs / max(1, total) * (1 << 30)
     schema = "x array<byte>, y array<byte>, chain array<int>, skip array<int>"
@@ -326,8 +399,10 @@ def learn_field(
         for batch in batches:
             for _, _, _, texts, base, tokens in _batch(batch.column(0)):
                 out = [[], [], [], []]
-                for one in zip(texts, base, tokens):
-                    g = build_graph(*[[part] for part in one])
+                for content, found, words in zip(texts, base, tokens):
+                    at = zlib.crc32(content) % max(1, len(words) - most_tokens + 1)
+                    words = words[at : at + most_tokens]
+                    g = build_graph([content], [[f for f in found if f[2] > words[0][0]]], [words])
                     for to, values in zip(out, (g.x, g.y, g.chain, g.skip)):
                         to.append(values.astype(int).ravel().tolist())
                 kinds = (pa.int8(), pa.int8(), pa.int32(), pa.int32())
@@ -347,7 +422,7 @@ def learn_field(
     if not base:
         return Field.empty()
     x, y, chain, skip = (np.concatenate(v) for v in (x, y, chain, skip))
-    return fit_field(Graph(y, y, y, x, y, chain, skip))
+    return fit_field(Graph(y, y, y, x, y, chain, skip), hidden=hidden)
 
 
 def find_pii(
@@ -368,7 +443,7 @@ def find_pii(
             for first, n, rows, texts, base, tokens in _batch(batch.column(1)):
                 graph = build_graph(texts, base, tokens)
                 every = [list(b) for b in base]
-                for d, a, k, b in _added(graph, field, base, least):
+                for d, a, k, b in _added(graph, field, texts, base, least):
                     every[d].append((a, k, b))
                 counts = np.zeros((n, len(KINDS) + 1), dtype=np.int64)
                 digest, joined = [nothing] * n, [""] * n

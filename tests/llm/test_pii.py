@@ -109,6 +109,72 @@ def test_repeated_number_is_found_where_no_pattern_matches(spark, documents):
     assert not any(got[i].n_added for i, t in rows if i % 3 == 1 and got[i].n_card == 0)
 
 
+def added(text, field, base=None):
+    data = text.encode()
+    base = P.base_spans(data) if base is None else base
+    words = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", data) if re.search(rb"[0-9@]", m[0])]
+    graph = P.build_graph([data], [base], [words])
+    return [(k, text.encode()[a:b].decode()) for _, a, k, b in P._added(graph, field, [data], [base], 0.9)]
+
+
+@pytest.fixture(scope="module")
+def field(spark):
+    """Learned from documents with repeated, similar and single mentions among other numbers."""
+    draw = random.Random(5)
+    rows = []
+    for i in range(1500):
+        number = card(draw)
+        phone = f"+{draw.randrange(10, 99)} {draw.randrange(10**9, 10**10)}"
+        parts = [
+            f"card {number} was used", f"call {phone} now", f"write to user{i}@mail{draw.randrange(9)}.org", f"host {draw.randrange(256)}.{draw.randrange(256)}.1.{draw.randrange(256)}",
+            f"order {draw.randrange(10**5)} of 20{draw.randrange(10, 25)}", f"batch {draw.randrange(10**15, 10**16)} and {draw.randrange(10**9)}", f"again {number}", f"or {phone}",
+        ]
+        rows.append((i, ". ".join(draw.sample(parts, draw.randrange(1, 7)))))
+    return P.learn_field(spark.createDataFrame(rows, "doc_id long, text string"))
+
+
+def test_whole_numbers_are_not_merged(field):
+    draw = random.Random(7)
+    for _ in range(50):
+        a, b = card(draw), card(draw)
+        # both are clear elsewhere; here they stand side by side, too long together for the base's pattern
+        text = f"first {a}. then {b}. both were {a} {b} there"
+        spans = added(text, field)
+        assert not any(" " in span for _, span in spans)
+        assert sorted(spans) == sorted([(2, a), (2, b)])
+
+
+def test_similar_tokens_share_labels(field):
+    draw = random.Random(8)
+    found, wrong = [], 0
+    for _ in range(60):
+        number = str(draw.randrange(10**9, 10**10))
+        found.append((3, number) in added(f"call +49 {number} today. or dial {number} instead", field))
+        wrong += len(added(f"call +49 {number} today. or order {draw.randrange(10**9, 10**10)} instead", field))
+    assert np.mean(found) > 0.8 and wrong <= 3
+
+
+def test_hidden_mentions_are_found_again(field):
+    """Of repeated mentions one is hidden from the base; the field brings it back, with its exact extent."""
+    draw = random.Random(9)
+    hits, total, extra = 0, 0, 0
+    for i in range(200):
+        entity, kind = draw.choice([(card(draw), 2), (f"user{i}@mail{i % 7}.org", 0), (f"{draw.randrange(256)}.{i}.7.{draw.randrange(256)}", 1)])
+        text = f"see {entity} here, item {draw.randrange(1000)} of {draw.randrange(10**15, 10**16)}, and {entity} there"
+        base = [s for s in P.base_spans(text.encode()) if text.encode()[s[0] : s[2]].decode() == entity]
+        spans = added(text, field, base[:1])
+        total += 1
+        hits += (kind, entity) in spans
+        extra += len([s for s in spans if s != (kind, entity)])
+    assert hits / total > 0.9 and extra / total < 0.05
+
+
+def test_learning_is_bounded_per_document(spark, documents):
+    text = " ".join(f"{i} user{i}@mail.org" for i in range(30_000))
+    field = P.learn_field(documents([(1, text), (2, "a 4111111111111111 b")]), most_tokens=64)
+    assert np.isfinite(field.unary).all()
+
+
 def chain_graph(n, skip, draw):
     x = draw.integers(0, 2, size=(n, len(P.FEATURES))).astype(float)
     chain = np.array([(i, i + 1, draw.integers(0, 2)) for i in range(n - 1)], dtype=np.int64).reshape(-1, 3)
