@@ -165,7 +165,9 @@ def test_hidden_mentions_are_found_again(field):
         spans = added(text, field, base[:1])
         total += 1
         hits += (kind, entity) in spans
-        extra += len([s for s in spans if s != (kind, entity)])
+        # a number that happens to pass the check digit is a card of the base too
+        clear = {(k, text[a:b]) for a, k, b in brute(text)}
+        extra += len([s for s in spans if s != (kind, entity) and s not in clear])
     assert hits / total > 0.9 and extra / total < 0.05
 
 
