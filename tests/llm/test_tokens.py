@@ -36,6 +36,29 @@ def test_encoder_equals_library(library, kept, folder):
     assert got == [library(t) for t in texts]
 
 
+def test_words_are_learned_in_rows(library, monkeypatch):
+    words = ["été", "ab", "Ж", "日本語", "naïve", "voilà", "x", "Ünïté", "ſ", "understanding"] * 30
+    words = [w * (1 + n % 7) for n, w in enumerate(words)]
+    text = "first " + " ".join(words)
+    encoder, alone = Encoder(default_vocabulary()), []
+    piece = Encoder._piece
+    monkeypatch.setattr(Encoder, "_piece", lambda self, word, space: alone.append(word) or piece(self, word, space))
+    assert [x for _, ids, _ in encoder.column(pa.array([text])) for x in ids.tolist()] == library(text)
+    assert alone == ["first"]
+
+
+def test_a_token_that_crosses_blanks_forbids_rows(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    vocabulary = {c: i for i, c in enumerate(["a", "b", "Ġ", "Ċ", "aĠ", "Ġa", "ab"])}
+    tokenizer = Tokenizer(models.BPE(vocabulary, [("a", "Ġ"), ("Ġ", "a"), ("a", "b")]))
+    tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    tokenizer.save(str(tmp_path / "crossing.json"))
+    encoder, text = Encoder(str(tmp_path / "crossing.json")), "ab a a ab ba\na ab"
+    assert encoder.opens is None
+    assert [x for _, ids, _ in encoder.column(pa.array([text])) for x in ids.tolist()] == tokenizer.encode(text).ids
+
+
 def expected_index(rows, library):
     start, out = 0, []
     for doc_id, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
