@@ -56,32 +56,55 @@ def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
         yield held, [0, held.num_rows]
 
 
-def tiles(members: DataFrame, block: int, weight: str | None = None, most_weight: int = 1) -> DataFrame:
-    """``key, node, label, i, j``: members of buckets with several labels, once per pair of blocks to compare.
+#: Blocks that each of a bucket's two parts, its most common label and the rest, is cut into at most.
+MOST_BLOCKS = 16
+
+
+def tiles(
+    members: DataFrame, block: int, weight: str | None = None, most_weight: int = 1, most_blocks: int = MOST_BLOCKS
+) -> DataFrame:
+    """``node, tiles``: members of buckets with several labels, each with the groups ``key, label, i, j`` it is compared in.
 
     Only classes with different labels are of interest, so the members with a bucket's most common
-    label meet the others but not each other. Members are cut into blocks of about ``block``; a
-    group (key, i, j) has at most two blocks' rows, whatever the bucket's size. With a ``weight``
-    column a block is also of at most about ``most_weight``, so rows that are large come in smaller blocks.
+    label meet the others but not each other. Members are cut into blocks of about ``block``, or in
+    buckets that would have more than ``most_blocks`` of them into so many; so a member is in a bounded number of groups
+    and their rows grow with the bucket, not with its square. With a ``weight`` column a block
+    is also of at most about ``most_weight``, so rows that are large come in smaller blocks. One row
+    per node: what a group needs of it is joined once, before ``in_groups`` deals it out.
     """
     one = F.lit(1.0) if weight is None else F.greatest(F.lit(1.0), F.col(weight) * (block / most_weight))
     sizes = members.groupBy("key", "label").agg(F.sum(one).alias("m"))
     mixed = sizes.groupBy("key").agg(
         F.count(F.lit(1)).alias("labels"), F.max_by("label", "m").alias("main"), F.max("m").alias("most"), F.sum("m").alias("all")
     )
-    rest, most = F.ceil((F.col("all") - F.col("most")) / block), F.ceil(F.col("most") / block)
-    mixed = mixed.filter("labels > 1").select("key", "main", rest.cast("int").alias("rest"), most.cast("int").alias("most"))
+    blocks = lambda m: F.least(F.ceil(m / block), F.lit(most_blocks)).cast("int")
+    mixed = mixed.filter("labels > 1").select(
+        "key", "main", blocks(F.col("all") - F.col("most")).alias("rest"), blocks(F.col("most")).alias("most")
+    )
     rows, turn, is_main = members.join(mixed, "key"), F.xxhash64("node"), F.col("label") == F.col("main")
     own = F.when(is_main, F.col("rest") + F.pmod(turn, F.col("most"))).otherwise(F.pmod(turn, F.col("rest"))).cast("int")
     last = F.when(is_main, F.col("rest")).otherwise(F.col("rest") + F.col("most")) - 1
-    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
-    return rows.select("key", "node", "label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    bucket = F.struct("key", "label", own.alias("own"), last.alias("last"))
+    return rows.select("node", bucket.alias("bucket")).groupBy("node").agg(F.collect_list("bucket").alias("tiles"))
+
+
+def in_groups(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of ``tiles`` and what was joined to them, once per group, dealt and sorted so that a task holds one group at a time."""
+    rows = rows.select("node.d", "node.u", F.explode("tiles").alias("t"), *columns)
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("t.last"))))
+    i, j = F.least("t.own", "other").alias("i"), F.greatest("t.own", "other").alias("j")
+    rows = rows.select("t.key", i, j, "d", "u", F.xxhash64("t.label").alias("label"), *columns)
+    # most groups are a few rows, far too few for a call each
+    width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(width, "key", "i", "j").sortWithinPartitions("key", "i", "j")
 
 
 def mixed_rows(buckets: DataFrame, labels: DataFrame, block: int) -> DataFrame:
     """The tiles of buckets: key, node and the leader that all others were held against already."""
-    named = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    return tiles(named.filter("node != leader").select("key", "node", "label"), block)
+    # a class is in many buckets and has one label
+    keys = buckets.filter("node != leader").groupBy("node").agg(F.collect_list("key").alias("keys"))
+    named = keys.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    return tiles(named.select("node", "label", F.explode("keys").alias("key")), block)
 
 
 def pairs_across(buckets: DataFrame, classes: DataFrame, labels: DataFrame, near: Near, block: int) -> DataFrame:
@@ -91,10 +114,7 @@ def pairs_across(buckets: DataFrame, classes: DataFrame, labels: DataFrame, near
     longs), ``labels`` node and label. Only near pairs leave a group.
     """
     rows = mixed_rows(buckets, labels, block).join(classes.select("node", "n", "sketch"), "node")
-    rows = rows.select("key", "i", "j", "node.d", "node.u", F.xxhash64("label").alias("label"), "n", "sketch")
-    # most groups are a few rows, far too few for a call each
-    width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(width, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    rows = in_groups(rows, ["n", "sketch"])
     found = rows.mapInArrow(_near_pairs(near), "a_d long, a_u long, b_d long, b_u long")
     node = lambda c: F.struct(F.col(f"{c}_d").alias("d"), F.col(f"{c}_u").alias("u"))
     pairs = found.select(F.least(node("a"), node("b")).alias("a"), F.greatest(node("a"), node("b")).alias("b"))

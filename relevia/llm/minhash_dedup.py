@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relevia.llm.buckets import grouped, mixed_rows, tiles
+from relevia.llm.buckets import grouped, in_groups, mixed_rows, tiles
 from relevia.llm.components import connected_components
 from relevia.llm.textkit import NON_BLANK, Hasher, list_array, mix, slices, word_hashes
 from relevia.session import materialize, small_batches
@@ -44,6 +44,8 @@ _LAST = (1 << 63) - 1
 _HASHER = Hasher(seed=5)
 #: Shingles of the full sets in one block, 16 MB.
 BLOCK_ITEMS = 1 << 21
+#: Blocks that a part of a bucket is cut into at most where the full sets go along; more than of sketches, which are small.
+SET_BLOCKS = 64
 
 
 @dataclass(frozen=True)
@@ -263,28 +265,21 @@ def _joining_links(method: Method):
     return run
 
 
-def _in_groups(rows: DataFrame) -> DataFrame:
-    """Rows dealt and sorted by group, so that a task holds one group at a time."""
-    width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(width, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-
-
 def links_across(
     buckets: DataFrame, classes: DataFrame, labels: DataFrame, docs: DataFrame, method: Method, doc_id: str, text: str
 ) -> DataFrame:
     """Links (a, b) between components among classes that share a bucket; enough of them to join all that are linked."""
     parts = classes.select("node", "n", "sketch", "bands")
-    rows = mixed_rows(buckets, labels, method.block).join(parts, "node")
-    rows = rows.select("key", "i", "j", "node.d", "node.u", F.xxhash64("label").alias("label"), "n", "sketch", "bands")
-    active = _in_groups(rows).mapInArrow(_active(method), "key long, d long, u long, label long, n long").distinct()
+    rows = in_groups(mixed_rows(buckets, labels, method.block).join(parts, "node"), ["n", "sketch", "bands"])
+    active = rows.mapInArrow(_active(method), "key long, d long, u long, label long, n long").distinct()
     node = F.struct("d", "u").alias("node")
     active = materialize(active.select("key", node, "label", "n"), "near-active")
     wanted = active.select("node").distinct()
     sets = materialize(_sets_of(docs, classes.select("node", "f1", "f2").join(wanted, "node"), method.width, doc_id, text), "near-sets")
-    rows = tiles(active, method.block, "n", BLOCK_ITEMS).join(parts, "node").join(sets, "node")
-    rows = rows.select("key", "i", "j", "node.d", "node.u", "label", "n", "sketch", "bands", "items")
+    rows = tiles(active, method.block, "n", BLOCK_ITEMS, SET_BLOCKS).join(parts, "node").join(sets, "node")
     with small_batches(rows.sparkSession):
-        links = _in_groups(rows).mapInArrow(_joining_links(method), "a_d long, a_u long, b_d long, b_u long")
+        rows = in_groups(rows, ["n", "sketch", "bands", "items"])
+        links = rows.mapInArrow(_joining_links(method), "a_d long, a_u long, b_d long, b_u long")
         found = materialize(links, "near-joining")
     side = lambda c: F.struct(F.col(f"{c}_d").alias("d"), F.col(f"{c}_u").alias("u")).alias(c)
     return found.select(side("a"), side("b"))

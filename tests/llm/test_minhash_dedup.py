@@ -63,6 +63,22 @@ def test_equals_brute_force(spark, documents, block):
     assert sorted(map(tuple, got), key=str) == brute(rows)
 
 
+def test_rows_of_a_bucket_grow_in_proportion(spark):
+    """All pairs of different labels meet, and a class is copied a bounded number of times however large its bucket."""
+    per_class = {}
+    for m in (200, 800):
+        members = spark.range(m).selectExpr("1L AS key", "struct(id AS d, id AS u) AS node", "if(id % 4 = 0, -1, id) AS label")
+        tiles = D.tiles(members, 2)
+        assert tiles.count() == m
+        met, copies = set(), 0
+        for group in D.in_groups(tiles, []).groupBy("key", "i", "j").agg({"d": "collect_list"}).collect():
+            copies += len(group[3])
+            met |= {(a, b) for a in group[3] for b in group[3] if a < b}
+        assert met >= {(a, b) for b in range(m) for a in range(b) if a % 4 or b % 4}
+        per_class[m] = copies / m
+    assert per_class[800] < 1.2 * per_class[200]
+
+
 def test_chain_of_links(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 40)] + [(100, 102), (102, 101)], "a long, b long")
     got = {r.node: r.label for r in connected_components(links).collect()}
