@@ -140,3 +140,27 @@ def test_copies_among_null_and_equal_ids(spark, folder):
     got = Counter((r.doc_id, r.text) for r in C.drop_near_duplicates(spark, docs, folder).collect())
     want = [(2, texts["w"]), (None, texts["z"]), (7, texts["y"]), (9, texts["x"]), (last, "only here"), (5, ""), (6, None)]
     assert got == Counter(want)
+
+
+def test_workers_get_small_batches_and_give_them_back(spark, monkeypatch):
+    import pyarrow as pa
+
+    from relevia import session
+    from relevia.llm import textkit
+
+    before = spark.conf.get(session.BATCH_BYTES)
+    try:
+        spark.conf.set(session.BATCH_BYTES, "64m")
+        session.bound_batches(spark)
+        assert int(spark.conf.get(session.BATCH_BYTES).rstrip("b")) <= 2 << 20
+    finally:
+        spark.conf.set(session.BATCH_BYTES, before)
+
+    class Pool:
+        released = 0
+
+        def release_unused(self):
+            Pool.released += 1
+
+    monkeypatch.setattr(textkit.pa, "default_memory_pool", Pool)
+    assert len(list(textkit.slices(pa.array(["a text"] * 3)))) == 1 and Pool.released == 1
