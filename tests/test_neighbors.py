@@ -128,3 +128,33 @@ def test_lof(spark):
     assert max(found, key=found.get) == 50
     fresh = N.lof(df.where("row_id < 50"), 6, queries=df.where("row_id = 50")).first()
     assert fresh["lof"] > 2 and fresh["score"] == -fresh["lof"]
+
+
+@pytest.mark.parametrize("key", [None, "key"])
+def test_many_pairs_go_over_the_tree(spark, monkeypatch, key):
+    """Queries that would fit a broadcast are not held against every base row when there are many of both."""
+    monkeypatch.setattr(N, "SCAN_PAIRS", 100_000, raising=False)
+    x = np.random.default_rng(3).random((4_000, 2))
+    keys = np.array([f"k{i % 2}" for i in range(len(x))])
+    df = frame(spark, range(len(x)), x, keys.tolist()).repartition(4)
+    counter = spark.sparkContext.accumulator(0)
+    found = N.knn_join(df, df, 3, key=key, skip_same=True, cell_rows=100, compared=counter).where("query % 100 = 0")
+    some = np.arange(0, len(x), 100)
+    of = [keys[some], keys] if key else [None, None]
+    assert triples(found) == brute(some, x[some], np.arange(len(x)), x, 3, True, *of)
+    assert 0 < counter.value < len(x) ** 2 / 8
+
+
+def test_a_tile_keeps_few_rows_per_query(monkeypatch):
+    """Candidates of many cells never wait together, whatever the number of cells."""
+    rng = np.random.default_rng(4)
+    x, k, most = rng.normal(size=(3_000, 32)), 20, []
+    tree = N._Tree(x[:60], 8)
+    _, _, cell, r = tree.place(x)
+    whole = N._keep_best
+    monkeypatch.setattr(N, "_keep_best", lambda parts, k: (most.append(sum(len(p[0]) for p in parts)), whole(parts, k))[1])
+    ids = np.arange(len(x))
+    query, neighbor, _ = N._tile(tree, (ids, x, cell, np.full(len(x), np.inf)), (ids, x, cell, r), k, True, True)
+    assert max(most) <= 6 * k * N.TILE_QUERIES
+    got = {(q, n) for q, n in zip(query.tolist(), neighbor.tolist()) if q % 300 == 0}
+    assert got == {(q, n) for q, n, _ in brute(ids[::300], x[::300], ids, x, k, True)}
