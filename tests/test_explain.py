@@ -281,3 +281,30 @@ def test_baselines(spark, data):
 def test_plans_are_kept_per_width():
     coalitions = Coalitions()
     assert coalitions.plan(4) is coalitions.plan(4)
+
+
+def test_the_network_sees_few_rows_at_a_time(monkeypatch):
+    """However many points a search moves, a pass of the network holds the layers of few of them."""
+    network, seen, whole = Network(4, 1, 2, seed=3), [], Network.forward
+    monkeypatch.setattr(Network, "forward", lambda self, x, *a, **o: (seen.append(len(x)), whole(self, x, *a, **o))[1])
+    x = np.random.default_rng(1).normal(size=(3_000, 4))
+    error, gradient = network.error_and_gradient(x)
+    found = line_search_descent(Objective(network, x), np.zeros(x.shape, bool), steps=5)
+    assert np.allclose(network.error(x), error) and max(seen) <= 1_024
+    alone = [network.error_and_gradient(row[None, :]) for row in x[::100]]
+    assert np.allclose([e[0] for e, _ in alone], error[::100])
+    assert np.allclose([g[0] for _, g in alone], gradient[::100])
+    assert np.allclose(found[::100], line_search_descent(Objective(network, x[::100]), np.zeros((30, 4), bool), steps=5))
+
+
+@pytest.mark.parametrize("options", [{}, {"threshold": 0.5}, {"radius": 1.0}, {"radius": None}])
+def test_failed_steps_get_no_gradient(data, network, options):
+    _, x = data
+    avoid = x[:2] + 0.5 if "radius" in options else None
+    objective, rows = Objective(network, x, avoid=avoid, **options), np.arange(len(x))
+    value, gradient = objective(x + 0.1, rows)
+    below = np.where(rows % 3 == 0, value, value + 1.0)
+    some_value, some_gradient = objective(x + 0.1, rows, below)
+    assert np.allclose(some_value, value)
+    assert np.isnan(some_gradient[::3]).all()
+    assert np.allclose(some_gradient[rows % 3 > 0], gradient[rows % 3 > 0])
