@@ -226,3 +226,25 @@ def test_autoencoder_does_not_depend_on_the_layout(spark):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(300, 4)))], "row_id long, features array<double>")
     fits = [Autoencoder.fit(df.repartition(n), n_layers=1, n_bottleneck=2, epochs=2, batch_size=32, shard_rows=100) for n in (1, 7)]
     assert np.allclose(fits[0].network.flat(), fits[1].network.flat(), atol=1e-12)
+
+
+def test_forest_scores_rows_in_blocks(monkeypatch):
+    rng = np.random.default_rng(6)
+    from relevia.detectors.iforest import grow_tree
+
+    forest = IsolationForest([grow_tree(rng.random((64, 4)), np.array([0, 2, 3]), rng) for _ in range(5)], 64)
+    x, blocks = rng.random((20_000, 4)), []
+    x[7] = np.nan
+    whole = IsolationForest._depth
+    monkeypatch.setattr(IsolationForest, "_depth", lambda self, x: (blocks.append(len(x)), whole(self, x))[1])
+    found = forest.score_batch(x)
+    assert max(blocks) < len(x) / 2 and sum(blocks) == len(x)
+    for row in (0, 7, 8_191, 8_192, 19_999):
+        depth = 0.0
+        for tree in forest.trees:
+            at, following = -1, 0
+            while at != following:
+                at = following
+                following = int(tree["left"][at] if x[row, tree["field"][at]] <= tree["threshold"][at] else tree["right"][at])
+            depth += tree["path"][at]
+        assert found[row] == pytest.approx(-(2.0 ** (-depth / (5 * forest._scale()))))
